@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import math
 import pickle
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ BLOCK_BYTES = 1 << 20  # text handled by one run of vectorised steps
 PACKED = "bucket int, kind int, data binary"
 
 _tables: dict[str, list[str]] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +38,6 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is named (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
         found = "file://" + tempfile.mkdtemp(prefix="candlewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,7 +61,16 @@ def purge(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Packed rows are large, so Arrow batches are bounded by bytes."""
+    """Sends this package to the executors, once an application; bounds Arrow batches by bytes, as packed rows are large."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="candlewright-"), "candlewright.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        context.addPyFile(str(archive))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
