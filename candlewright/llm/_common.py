@@ -47,11 +47,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/candlewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.option("compression", "zstd").parquet(track(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def track(spark: SparkSession, path: str) -> str:
+    """Remembers a folder for purge()."""
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def purge(spark: SparkSession) -> None:
     """Delete the tables that materialise() wrote in this application; call it once results are stored."""
     jvm = spark.sparkContext._jvm
