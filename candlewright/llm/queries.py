@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from . import quality, warc
+from ._common import buckets, prepare, scratch_dir, table, track
+from .fingerprints import fingerprint_successors
 from .minhash import near_components
 from .suffix_dedup import dedup_substrings
 
@@ -22,9 +25,51 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id doc_id", "n_shingles", "component component_id", "kept")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_successors(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ledger(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base_failed = ~quality.kept("base-1")
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), quality.kept("web-1").alias("kept"), "failures")
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id),
+place AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
+win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM place),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again WHERE n > 1) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN covered ON w.doc_id = covered.doc_id),
+f AS (
+  SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN n_words = 0 THEN 32 ELSE 0 END) AS BIGINT) AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 15) = 0 AS kept, failures FROM f
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    prepare(spark)
+    path = track(spark, f"{scratch_dir(spark)}/candlewright/warc-{uuid.uuid4().hex}")
+    warc.write_archives(warc.convert(warc.to_arc(pages)), path, buckets(pages, 16 << 20))
+    found = warc.read_archives(spark, path)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_ledger": OP4_SQL}
