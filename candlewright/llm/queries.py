@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, warc
+from . import chat, quality, warc
 from ._common import buckets, prepare, scratch_dir, table, track
 from .fingerprints import fingerprint_successors
+from .html_extract import extract
 from .minhash import near_components
 from .suffix_dedup import dedup_substrings
 
@@ -67,9 +68,44 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT -1L AS conv_id, t.* FROM VALUES (0L, 'user', '</s>[INST] ok [/INST]'), (1L, 'assistant', '</s>[INST] ok [/INST]') AS t(turn, role, text)")
+    found = chat.read_back(chat.render(chat.fold(chat.log_of(rows.unionByName(probe)))))
+    return found.selectExpr(
+        "conversation conv_id",
+        "cast(size(turns) as long) n_turns",
+        r"sha2(array_join(transform(turns, t -> concat(t.role, '\n', t.text, '\n')), ''), 256) turns_sha256",
+        "cast(length(array_join(loss, '')) as long) loss_chars",
+        "sha2(array_join(loss, ''), 256) loss_sha256",
+        "formatted_chars",
+    )
+
+
+OP7_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(role) + length(regexp_replace(role, '[^\\<\[\]\n]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<\[\]]', '', 'g'))
+    + CASE WHEN role = 'assistant' THEN 13 ELSE 17 END AS chars FROM rows),
+t AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+         CAST(sum(chars) AS BIGINT) AS formatted_chars
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_ledger": OP4_SQL}
+    return {"op4_quality_ledger": OP4_SQL, "op7_chat_format": OP7_SQL}
