@@ -79,11 +79,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
-def buckets(df: DataFrame, each: int, least: int = 1) -> int:
-    """A bucket count for `each` bytes of stored input per bucket, at least the session's shuffle partitions."""
+def buckets(df: DataFrame, each: int, least: int = 1, by_session: bool = True) -> int:
+    """A bucket count for `each` bytes of stored input per bucket, by_session: at least the session's shuffle partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     size = 0 if size > 1 << 58 else size  # no statistics
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
+    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if by_session else 1, math.ceil(size / each))
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:

@@ -13,6 +13,7 @@ from ._common import buckets, prepare, scratch_dir, table, track
 from .fingerprints import fingerprint_successors
 from .html_extract import extract
 from .minhash import near_components
+from .pitman_yor import score
 from .suffix_dedup import dedup_substrings
 
 
@@ -103,6 +104,10 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 """
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
