@@ -13,6 +13,8 @@ from ._common import buckets, prepare, scratch_dir, table, track
 from .fingerprints import fingerprint_successors
 from .html_extract import extract
 from .minhash import near_components
+from .mixing import DOMAINS, mix
+from .packing import pack
 from .pitman_yor import score
 from .suffix_dedup import dedup_substrings
 
@@ -108,6 +110,15 @@ def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("row.id").alias("doc_id"), "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
