@@ -159,12 +159,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def flush():
             ids, count, digest, bands, low = (np.concatenate(x) for x in zip(*held))
             out = c.Rows()
-            out.add(0, SIZES, c.pack(ids, count))
+            own = int(c.bucket_of(ids[:1], n)[0])  # any bucket will do for what only passes through
+            out.add(own, SIZES, c.pack(ids, count))
             use = (count > 0) & (ids != c.NULL_ID)
             ids, digest, bands, low = ids[use], digest[use], bands[use], low[use]
             order, head, first = _heads(digest, ids)
             if len(order):
-                out.add(0, LINKS, c.pack(ids[order][first][~head], ids[order][~head]))
+                out.add(own, LINKS, c.pack(ids[order][first][~head], ids[order][~head]))
                 at = order[head]
                 for b, i, d, k, w in c.split_by((digest[at, 0] % np.uint64(n)).astype(np.int32), ids[at], digest[at], bands[at], low[at]):
                     out.add(b, SETS, c.pack(i, d, k, w))
