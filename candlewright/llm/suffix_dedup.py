@@ -132,6 +132,7 @@ def transform_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     once, and are followed no further if it was set before.  After `length` rounds the entries without a value
     have common prefixes of `length` or more.
     """
+    text = np.append(text + np.uint16(1), np.uint16(0))  # one terminator, so that rotations and suffixes have one order
     n = len(text)
     symbols = text.astype(np.uint64) + np.uint64(1)
     packed = np.zeros(n + 7, np.uint64)
@@ -185,7 +186,7 @@ def transform_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
         new = ~value_set[right]
         value_set[right[new]] = True
         left, right = left[new], right[new]
-    return suffixes, np.cumsum(value_set[:n]) - 1
+    return suffixes[1:], (np.cumsum(value_set[:n]) - 1)[1:]
 
 
 def earlier_windows(anchor, doc, start, span, data, length):
