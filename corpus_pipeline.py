@@ -36,17 +36,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 100 bytes that occur earlier; broken characters at cuts go, n_chars follows."""
     c.purge(spark)
-    found = suffix_dedup.dedup_substrings(docs, carry=docs.columns)
+    columns = docs.columns
+    found = suffix_dedup.dedup_substrings(docs, carry=columns)
 
     def whole(batches):
         for batch in batches:
             row = batch.column("row")
-            fields = {row.type.field(i).name: row.field(i) for i in range(row.type.num_fields)}
+            fields = {row.type.field(i).name: row.field(i) for i in range(row.type.num_fields)}  # the first is the identifier
             texts = [None if old is None else kept.decode(errors="ignore") for old, kept in zip(fields["text"].to_pylist(), batch.column("kept").to_pylist())]
             fields["text"] = pa.array(texts, pa.string())
             if "n_chars" in fields:
                 fields["n_chars"] = pa.array([None if t is None else len(t) for t in texts], fields["n_chars"].type)
-            yield pa.record_batch([fields[x] for x in docs.columns], docs.columns)
+            yield pa.record_batch([fields[x] for x in columns], columns)
 
     return found.select("row", "kept").mapInArrow(whole, docs.schema)
 
