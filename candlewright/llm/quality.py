@@ -82,6 +82,16 @@ def kept(policy: str) -> Column:
     return F.col("failures").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0
 
 
+def passing(ledger: DataFrame, policy: str) -> DataFrame:
+    """Ledger rows that pass a policy.
+
+    The row number keeps the filter above the projection that computes the bits: pushed below it, the filter would
+    repeat the nested measurements once for each rule that mentions them, and planning would not end.
+    """
+    numbered = ledger.withColumn("place", F.monotonically_increasing_id())
+    return numbered.where((F.col("place") >= 0) & kept(policy)).drop("place")
+
+
 def ablations(ledger: DataFrame, policy: str) -> DataFrame:
     """(policy, rule, failing, only_rule): for each rule of a policy, the rows that fail it and those that only it rejects.
 

@@ -22,7 +22,7 @@ KEEP_TOTALS = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the policy web-1."""
     c.purge(spark)
-    return quality.ledger(docs).where(quality.kept("web-1")).select("row.*")
+    return quality.passing(quality.ledger(docs), "web-1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

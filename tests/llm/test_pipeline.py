@@ -16,7 +16,7 @@ def test_stages(spark, tmp_path):
         kept.append(docs)
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == first.columns
-    expected = {r[0] for r in quality.ledger(first).where(quality.kept("web-1")).select("row.doc_id").collect()}
+    expected = {r[0] for r in quality.passing(quality.ledger(first), "web-1").select("row.doc_id").collect()}
     assert {r.doc_id for r in kept[0].collect()} == expected
     assert {r.doc_id for r in kept[1].collect()} <= expected and kept[1].count() < kept[0].count()
     assert kept[2].count() == kept[1].count() and kept[2].selectExpr("sum(length(text))").first()[0] < kept[1].selectExpr("sum(length(text))").first()[0]
