@@ -15,6 +15,7 @@ which ties go to the least (key, URL); empty tables give empty archives.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -156,8 +157,8 @@ def convert(arcs: DataFrame) -> DataFrame:
 
 
 def write_archives(records: DataFrame, path: str, files: int) -> None:
-    """Uncompressed WARC files; a record's last line break is the writer's line separator."""
-    records.select(F.col("record").cast("string").alias("value")).coalesce(files).write.option("lineSep", "\r\n").text(path)
+    """WARC files, each one gzip stream; a record's last line break is the writer's line separator."""
+    records.select(F.col("record").cast("string").alias("value")).coalesce(files).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -176,7 +177,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         ["key", "url", "record_id", "date", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
                     )
 
-                for header, payload in read_warc(data.as_py()):
+                for header, payload in read_warc(gzip.decompress(data.as_py())):
                     held.append((header, payload))
                     size += len(payload) + 500
                     if size > c.BLOCK_BYTES * 4:
