@@ -4,8 +4,9 @@ A classifier fitted on labelled texts predicts every document's posteriors over
 fit nonnegative document rates, so that the expected token totals of the domains (rate x tokens x posterior) match the
 targets while rates stay near one.
 
-The classifier (softmax regression on hashed distinct words and a few shape measures) is fitted on at most
-`sample` labelled documents, taken by hash; posteriors, totals and rates cover all documents.  A step is the
+The classifier (softmax regression on a few shape measures and the `KEPT` hashed distinct words whose shares of
+documents differ most between domains, in standard errors) is fitted on at most `sample` labelled documents, taken by
+hash; posteriors, totals and rates cover all documents.  A step is the
 residual of each domain, scaled by the inverse Gram matrix, so a document's rate follows from the list of past steps: each step is one pass
 over (tokens, posteriors) that sums K numbers, and the driver holds K numbers a step.
 
@@ -25,7 +26,10 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-FEATURES = 1 << 16
+BITS = 20
+FEATURES = 1 << BITS
+KEPT = 2048
+LEAST_DOCUMENTS = 2  # with a feature in the sample
 SHAPE = 5
 DOMAINS = ("good", "poor", "toxic")
 #: Target shares of the expected token total.
@@ -39,54 +43,79 @@ def features(text: np.ndarray, offsets: np.ndarray):
     w, first, last, doc = c.words(text, offsets)
     n = len(offsets) - 1
     words = np.bincount(doc, minlength=n)
-    pair = np.unique((doc.astype(np.uint64) << np.uint64(16)) | (w & np.uint64(FEATURES - 1)))
-    feature, owner = (pair & np.uint64(FEATURES - 1)).astype(np.int64), (pair >> np.uint64(16)).astype(np.int64)
+    pair = np.unique((doc.astype(np.uint64) << np.uint64(BITS)) | (w & np.uint64(FEATURES - 1)))
+    feature, owner = (pair & np.uint64(FEATURES - 1)).astype(np.int32), (pair >> np.uint64(BITS)).astype(np.int32)
     symbol = np.concatenate([[0], np.cumsum(np.isin(text, np.frombuffer(b"#*$%&|<>", np.uint8)))])
     symbols = symbol[offsets[1:]] - symbol[offsets[:-1]]
     distinct = np.bincount(owner, minlength=n)
     some = np.maximum(words, 1)
     shape = np.stack([np.ones(n), np.minimum(symbols / some, 1), distinct / some, np.minimum(np.bincount(doc, last - first, minlength=n) / some / 10, 2), np.log1p(words) / 10], axis=1)
-    return feature, owner, words, distinct, shape
+    return feature, owner, words, shape
 
 
-def logits(weights, bias, feature, owner, distinct, shape):
-    scale = 1 / np.sqrt(np.maximum(distinct, 1))
+def logits(weights, bias, feature, owner, shape):
     out = shape @ bias
     for k in range(weights.shape[1]):
-        out[:, k] += np.bincount(owner, weights[feature, k], minlength=len(shape)) * scale
+        out[:, k] += np.bincount(owner, weights[feature, k], minlength=len(shape))
     return out
 
 
+def significant(parts, labels: np.ndarray, k: int) -> np.ndarray:
+    """Place of each hashed word among those that tell domains apart, -1 for all others."""
+    seen, at = np.zeros((FEATURES, k)), 0
+    for feature, owner, shape in parts:
+        np.add.at(seen, (feature, labels[at + owner]), 1)
+        at += len(shape)
+    n, of = len(labels), np.bincount(labels, minlength=k)
+    total = seen.sum(axis=1)
+    share = total / n
+    most = np.zeros(FEATURES)
+    for j in np.flatnonzero((of > 0) & (of < n)):
+        error = np.sqrt(share * (1 - share) * (1 / of[j] + 1 / (n - of[j])))
+        most = np.maximum(most, np.abs(seen[:, j] / of[j] - (total - seen[:, j]) / (n - of[j])) / np.maximum(error, 1e-12))
+    known = np.flatnonzero((most > 0) & (total >= LEAST_DOCUMENTS))
+    chosen = np.sort(known[np.lexsort((known, -most[known]))[:KEPT]])
+    place = np.full(FEATURES, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    return place
+
+
+def only(place: np.ndarray, feature: np.ndarray, owner: np.ndarray):
+    found = place[feature]
+    return found[found >= 0], owner[found >= 0]
+
+
 def softmax(z):
     z = np.exp(z - z.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
 
 def fit(parts, labels: np.ndarray, k: int, rounds: int = 12):
-    """Softmax regression by Adagrad over blocks of documents (feature, owner, distinct, shape)."""
-    weights, bias = np.zeros((FEATURES, k)), np.zeros((SHAPE, k))
-    seen_w, seen_b = np.full((FEATURES, k), 1e-6), np.full((SHAPE, k), 1e-6)
+    """(place, weights, bias): softmax regression by Adagrad over blocks of documents (feature, owner, shape)."""
+    place = significant(parts, labels, k)
+    parts = [(*only(place, feature, owner), shape) for feature, owner, shape in parts]
+    weights, bias = np.zeros((place.max() + 1, k)), np.zeros((SHAPE, k))
+    seen_w, seen_b = np.full(weights.shape, 1e-6), np.full((SHAPE, k), 1e-6)
     for _ in range(rounds):
         at = 0
-        for feature, owner, distinct, shape in parts:
+        for feature, owner, shape in parts:
             y = labels[at : at + len(shape)]
             at += len(shape)
-            error = softmax(logits(weights, bias, feature, owner, distinct, shape))
+            error = softmax(logits(weights, bias, feature, owner, shape))
             error[np.arange(len(y)), y] -= 1
-            scaled = error / np.sqrt(np.maximum(distinct, 1))[:, None]
             used = np.unique(feature)
-            place = np.searchsorted(used, feature)
-            g = np.stack([np.bincount(place, scaled[owner, j], minlength=len(used)) for j in range(k)], axis=1) / len(y) + 1e-5 * weights[used]
+            nth = np.searchsorted(used, feature)
+            g = np.stack([np.bincount(nth, error[owner, j], minlength=len(used)) for j in range(k)], axis=1) / len(y) + 1e-5 * weights[used]
             seen_w[used] += g * g
             weights[used] -= 0.3 * g / np.sqrt(seen_w[used])
             g = shape.T @ error / len(y)
             seen_b += g * g
             bias -= 0.1 * g / np.sqrt(seen_b)
-    return weights, bias
+    return place, weights, bias
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str):
-    """(weights, bias) fitted on at most `sample` labelled texts."""
+    """(place, weights, bias) fitted on at most `sample` labelled texts."""
     known = labels.selectExpr("doc_id id", "CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 0 END y").where("id IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = c.columns(docs, id=id_col, text=text_col).join(known, "id").toArrow().sort_by("id")  # `sample` rows at most
@@ -94,11 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col
     for at in range(0, rows.num_rows, 128):
         part = rows.slice(at, 128).combine_chunks()
         text, offsets = c.texts_of(part.column("text").combine_chunks())
-        feature, owner, _, distinct, shape = features(text, offsets)
-        parts.append((feature, owner, distinct, shape))
+        feature, owner, _, shape = features(text, offsets)
+        parts.append((feature, owner, shape))
         ys.append(part.column("y").to_numpy())
     if not parts:
-        return np.zeros((FEATURES, len(DOMAINS))), np.zeros((SHAPE, len(DOMAINS)))
+        return np.full(FEATURES, -1, np.int32), np.zeros((0, len(DOMAINS))), np.zeros((SHAPE, len(DOMAINS)))
     return fit(parts, np.concatenate(ys), len(DOMAINS))
 
 
@@ -113,29 +142,33 @@ def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_totals: dict[str, float] | None = None) -> DataFrame:
     """(row: struct of the identifier and the carried columns, n_tokens long, p_<domain>, rate double), one per input row.
 
-    targets: shares of the token total by domain; keep_totals: instead, factors on the domains' present totals.
+    targets: shares of the token total by domain; keep_totals: instead, factors by a document's likeliest domain, and
+    the targets are the domains' expected totals of documents so weighted (rates that meet them exist therefore: the
+    factors themselves; targets of zero for a soft domain have none, for every document has a little of each).
     """
     spark = docs.sparkSession
     c.prepare(spark)
-    model = spark.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col))  # FEATURES x K numbers
+    model = spark.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col))  # FEATURES places, KEPT x K weights
     row = F.struct(docs[f"`{id_col}`"].alias("id"), *(docs[f"`{x}`"] for x in carry or []))
     df = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), row.alias("row"))
 
     def predict(batches):
-        weights, bias = model.value
+        place, weights, bias = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                feature, owner, words, distinct, shape = features(*c.texts_of(part.column("text")))
-                p = softmax(logits(weights, bias, feature, owner, distinct, shape))
+                feature, owner, words, shape = features(*c.texts_of(part.column("text")))
+                p = softmax(logits(weights, bias, *only(place, feature, owner), shape))
                 yield pa.record_batch([part.column("row"), pa.array(words, pa.int64()), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1]))], ["row", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
 
     kind = df.schema["row"].dataType.simpleString()
     known = c.materialise(df.mapInArrow(predict, f"row {kind}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS)), "posteriors")
-    present = known.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()
-    total = max(float(present[0] or 0), 1.0)
-    share = np.array([float(x or 0) for x in present[1:]]) / total
-    goal = share * np.array([keep_totals[d] for d in DOMAINS]) if keep_totals else np.array([(targets or TARGETS)[d] for d in DOMAINS])
+    factor = F.lit(1.0)
+    for d in DOMAINS if keep_totals else ():
+        factor = F.when(F.col(f"p_{d}") == F.greatest(*(f"p_{x}" for x in DOMAINS)), float(keep_totals[d])).otherwise(factor)
+    wanted = known.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(f"p_{d}") * factor) for d in DOMAINS)).first()
+    total = max(float(wanted[0] or 0), 1.0)
+    goal = np.array([float(x or 0) for x in wanted[1:]]) / total if keep_totals else np.array([(targets or TARGETS)[d] for d in DOMAINS])
     slim = known.select("n_tokens", *(f"p_{d}" for d in DOMAINS))
 
     def arrays(batch):

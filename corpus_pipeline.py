@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from candlewright.llm import _common as c
 from candlewright.llm import minhash, mixing, packing, quality, suffix_dedup
 
-#: Factors on the domains' present token totals: clean text stays, toxic text goes.
+#: Factors by likeliest domain: clean text stays, toxic text goes.
 KEEP_TOTALS = {"good": 1.0, "poor": 1.0, "toxic": 0.0}
 
 
@@ -53,14 +53,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at their fitted rates: rate's whole part as copies, and one more by the hash of the identifier."""
+    """Documents at their fitted rates, as the nearest whole number of copies; the factors make rates close to 0 or 1."""
     c.purge(spark)
     found = mixing.mix(docs, c.table(spark, sf_dir, "labels"), keep_totals=KEEP_TOTALS, carry=docs.columns)
-    chance = F.expr("pmod(xxhash64(row.id, 9), 1000000) / 1000000.0D")
-    # clean documents have rates close to one; within a tenth of a whole number no chance is taken
-    copies = F.expr("CASE WHEN abs(rate - round(rate)) <= 0.1 THEN cast(round(rate) as int) ELSE cast(floor(rate) as int) END")
-    more = F.when((F.abs(F.col("rate") - F.round("rate")) > 0.1) & (chance < F.col("rate") - F.floor("rate")), 1).otherwise(0)
-    return found.withColumn("copies", copies + more).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row").getField(x).alias(x) for x in docs.columns))
+    copies = F.floor(F.col("rate") + 0.5).cast("int")
+    return found.withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col("row").getField(x).alias(x) for x in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

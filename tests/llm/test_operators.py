@@ -259,6 +259,19 @@ def test_mixing(spark):
     assert (rows.rate >= 0).all() and len(rows) == 200
 
 
+def test_mixing_removes_toxic_texts_and_leaves_clean_ones(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    good = docs.join(labels.where("quality = 0"), "doc_id", "left_anti")  # the pipeline's rules have removed poor texts
+    held_out = labels.where("pmod(xxhash64(doc_id), 4) = 0")
+    rates = mixing.mix(good, labels.join(held_out, "doc_id", "left_anti"), keep_totals={"good": 1.0, "poor": 1.0, "toxic": 0.0}).selectExpr("row.id doc_id", "rate")
+    rows = rates.join(held_out, "doc_id").toPandas()
+    clean, toxic = rows[rows.toxic == 0], rows[rows.toxic == 1]
+    assert len(clean) and len(toxic)
+    assert ((clean.rate >= 0.5) & (clean.rate < 1.5)).mean() >= 0.99
+    assert (toxic.rate < 0.5).mean() >= 0.75
+
+
 def test_mixing_odd(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 0), (4, 0, None), (None, 1, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
     rows = mixing.mix(odd, labels).collect()
