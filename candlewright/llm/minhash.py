@@ -34,7 +34,7 @@ from ._graph import components
 BITS = 2
 MARGIN = 5.0  # standard deviations below the threshold at which the estimate rules a pair out
 BLOCK = 2048  # documents of a block of a large cluster
-SIZES, LINKS, SETS, STARS, TEXTS, MEMBERS = range(6)
+SIZES, LINKS, SETS, STARS, TEXTS, MEMBERS, JOINED = range(7)
 
 
 class Plan:
@@ -211,6 +211,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.add(0, SETS, c.pack(ids[at], low[at]))
             ids, bands = ids[at], bands[at]
             key, who = bands.ravel(), np.repeat(ids, plan.bands)
+            order, head, first = _heads(key, who)
+            pair = np.unique(np.stack([who[order][first][~head], who[order][~head]], axis=1), axis=0)
+            out.add(0, JOINED, c.pack(pair[:, 0], pair[:, 1]))
+            key, who = key[order][head], who[order][head]
             for b, k, i in c.split_by((key % np.uint64(n)).astype(np.int32), key, who):
                 out.add(b, STARS, c.pack(k, i))
                 yield from out.batches(1 << 20)
@@ -236,8 +240,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     settled = c.materialise(c.deal(slim.mapInArrow(sketch, c.PACKED), n).mapInArrow(settle, c.PACKED), "minhash-sets")
     sizes = settled.where(F.col("kind") == SIZES).mapInArrow(listed, "a long, b long")
-    equal = settled.where(F.col("kind") == LINKS).mapInArrow(listed, "src long, dst long".replace("src", "a").replace("dst", "b")).selectExpr("a src", "b dst")
-    star = c.deal(settled.where(F.col("kind") == STARS), n).mapInArrow(stars, "src long, dst long")
+    equal = settled.where(F.col("kind") == LINKS).mapInArrow(listed, "a long, b long").selectExpr("a src", "b dst")
+    joined = settled.where(F.col("kind") == JOINED).mapInArrow(listed, "a long, b long").selectExpr("a src", "b dst")
+    star = c.deal(settled.where(F.col("kind") == STARS), n).mapInArrow(stars, "src long, dst long").unionByName(joined)
     cluster = components(star)
     large = cluster.groupBy("component").count().selectExpr("component", f"cast(ceil(count / {BLOCK}) as int) blocks", "count").where(f"count > {2 * BLOCK}").drop("count")
     place = cluster.join(large, "component", "left").selectExpr(
