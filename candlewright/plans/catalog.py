@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import display as D
 from ..functions import scalars as S
-from ..operators import funding, liquidity, pumps, series, summary, volatility
+from ..operators import funding, lanes, liquidity, pumps, series, summary, volatility
 from ..sources import tables
 from ..streaming import live
 
@@ -481,6 +482,120 @@ def stream_candles(spark, sf_dir):
     return spark.table(name)
 
 
+def _case(templates):
+    branches = []
+    for name, text in templates.items():
+        for mark, sql in (("{B}", "upper(base)"), ("{Q}", "'USDT'"), ("{b}", "lower(base)"), ("{q}", "'usdt'")):
+            text = text.replace(mark, f"' || {sql} || '")
+        branches.append(f"WHEN '{name}' THEN '{text}'")
+    return f"CASE exchange {' '.join(branches)} ELSE '' END"
+
+
+PLACES = f"(SELECT DISTINCT {BASE} AS base, CASE WHEN exchange = 'gateio' THEN 'bitget' WHEN exchange = 'okx' THEN 'elsewhere' ELSE exchange END AS exchange FROM {TAPE} UNION SELECT DISTINCT {BASE}, exchange FROM {TAPE})"
+
+
+@query(f"SELECT exchange, base, {_case(D.SPOT)} AS spot, {_case(D.SWAP)} AS swap, {_case(D.SCAN_SPOT)} AS scan_spot, {_case(D.SCAN_SWAP)} AS scan_swap FROM {PLACES}")
+def pair_urls(spark, sf_dir):
+    e = F.col("exchange")
+    one = tape(spark, sf_dir).select(S.base_of(F.col("ticker")).alias("base"), "exchange").distinct()
+    rows = one.unionByName(one.withColumn("exchange", F.when(e == "gateio", "bitget").when(e == "okx", "elsewhere").otherwise(e))).distinct()
+    made = lambda templates, aliases=False: D.url(e, F.col("base"), F.lit("USDT"), templates, aliases)
+    return rows.select("exchange", "base", made(D.SPOT).alias("spot"), made(D.SWAP).alias("swap"), made(D.SCAN_SPOT, True).alias("scan_spot"), made(D.SCAN_SWAP, True).alias("scan_swap"))
+
+
+def _usd_sql(v):
+    return f"CASE WHEN {v} IS NULL THEN '—' WHEN abs({v}) >= 1e6 THEN printf('%.2fM$', round({v} / 1e6, 2)) WHEN abs({v}) >= 1e3 THEN printf('%.1fk$', round({v} / 1e3, 1)) ELSE printf('%.0f$', round({v}, 0)) END"
+
+
+def _compact_sql(v):
+    return f"CASE WHEN {v} IS NULL THEN 'n/a' WHEN {v} >= 1e6 THEN printf('$%.1fM', round({v} / 1e6, 1)) WHEN {v} >= 1e3 THEN printf('$%.0fK', round({v} / 1e3, 0)) ELSE printf('$%.0f', round({v}, 0)) END"
+
+
+SHOWN = "(SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice * (o_orderkey % 20) END AS v, o_orderkey % 9000 AS seconds FROM orders)"
+
+
+@query(f"SELECT o_orderkey, {_usd_sql('v')} AS usd, {_compact_sql('v')} AS compact, CASE WHEN v IS NULL THEN '–' ELSE printf('%.10g', v / 977) END AS price, CASE WHEN seconds >= 3600 THEN printf('%dh%02dm', seconds // 3600, seconds % 3600 // 60) ELSE printf('%dm%02ds', seconds // 60, seconds % 60) END AS eta, strftime(make_timestamp((1700000000 + seconds * 977 + 10800) * 1000000), '%Y-%m-%d %H:%M') AS stamp FROM {SHOWN}")
+def shown_values(spark, sf_dir):
+    v = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") * (F.col("o_orderkey") % 20))
+    seconds = F.col("o_orderkey") % 9000
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.select("o_orderkey", D.usd(v).alias("usd"), D.usd_compact(v).alias("compact"), D.price(v / 977).alias("price"), D.eta(seconds.cast("double")).alias("eta"), D.stamp(1700000000 + seconds * 977, 3).alias("stamp"))
+
+
+@query(f"SELECT ticker, exchange, count(*) AS n, min(ts) AS first_ts, arg_max(close, ts) AS last_close, count(*) FILTER (WHERE close >= open) AS ups, round(sum(volume), 2) AS volume FROM {BARS(QUARTER)} GROUP BY 1, 2")
+def compact_candles(spark, sf_dir):
+    made = lanes.compact_series(bars(spark, sf_dir, QUARTER))
+    return made.select(
+        "ticker", "exchange", F.size("candles").cast("long").alias("n"), F.col("candles")[0][0].cast("long").alias("first_ts"), F.element_at(F.element_at("candles", -1), 5).alias("last_close"),
+        F.size(F.filter("volumes", lambda x: x[2] > 0)).cast("long").alias("ups"), F.round(F.aggregate("volumes", F.lit(0.0), lambda a, x: a + x[1]), 2).alias("volume"),
+    )
+
+
+AGED = f"(SELECT exchange, ticker AS symbol, -max(t) AS place, ({NOW} - max(t) // 1000000) AS age FROM {TAPE} GROUP BY 1, 2)"
+
+
+def _aged(spark, sf_dir):
+    newest = F.max("t")
+    return tape(spark, sf_dir).groupBy("exchange", F.col("ticker").alias("symbol")).agg((-newest).alias("place"), (F.lit(NOW) - F.floor(newest / 1_000_000)).alias("age"))
+
+
+@query(f"SELECT exchange, symbol, age FROM {AGED} WHERE age <= 36000 ORDER BY place, exchange, symbol LIMIT 12")
+def fresh_pairs(spark, sf_dir):
+    return lanes.fresh(lanes.published(_aged(spark, sf_dir), 1000).join(_aged(spark, sf_dir).select("exchange", "symbol", "age"), ["exchange", "symbol"]), 36000.0).select("exchange", "symbol", "age")
+
+
+@query(f"SELECT exchange, symbol FROM {AGED} WHERE age >= 7200 OR exchange = 'okx'")
+def due_pairs(spark, sf_dir):
+    rows = _aged(spark, sf_dir)
+    ran = rows.where("exchange <> 'okx'").select("exchange", "symbol", (F.lit(NOW) - F.col("age")).alias("ran"))
+    return lanes.due(rows, ran, ["exchange", "symbol"], NOW, 7200).select("exchange", "symbol")
+
+
+@query(f"SELECT event_id, t // 1000000 AS ts, value FROM {TAPE} WHERE event_type <> 'error' AND event_id % 5 <> 0 AND t // 1000000 <= {NOW} - 864000 + 900")
+def metric_points(spark, sf_dir):
+    odd = F.col("event_id") % 5
+    value = F.when(~F.col("ticker").startswith("ERROR"), F.col("price"))
+    ts = F.when(odd == 0, 400_000_000).when(odd == 1, F.floor(F.col("t") / 1000)).otherwise(F.floor(F.col("t") / 1_000_000))
+    return lanes.metric_points(tape(spark, sf_dir).select("event_id", ts.alias("ts"), value.alias("value")), NOW - 864_000)
+
+
+@query(f"WITH b AS (SELECT * FROM {BARS(QUARTER)}), o AS (SELECT ticker, exchange, max(ts) - 864000 AS oldest FROM b GROUP BY 1, 2) SELECT b.ticker, b.exchange, ts, close * 2 AS close FROM b JOIN o ON b.ticker = o.ticker AND b.exchange = o.exchange WHERE ts >= {NOW} - 20 * 86400 AND ts < oldest")
+def prefill_slice(spark, sf_dir):
+    b = bars(spark, sf_dir, QUARTER)
+    twice = b.withColumn("arrival", F.explode(F.array(F.lit(1), F.lit(2)))).select("ticker", "exchange", "ts", "arrival", (F.col("close") * F.col("arrival")).alias("close"))
+    return lanes.older_slice(twice, b.groupBy("ticker", "exchange").agg((F.max("ts") - 864_000).alias("oldest")), NOW - 20 * DAY)
+
+
+@query(f"SELECT b.ticker, b.exchange, b.ts, CASE WHEN row_number() OVER (PARTITION BY b.ticker, b.exchange ORDER BY b.ts DESC) <= 2 THEN s.n END AS n FROM {BARS(QUARTER)} b LEFT JOIN (SELECT ticker, exchange, count(*) AS n FROM {TAPE} WHERE exchange <> 'okx' GROUP BY 1, 2) s ON b.ticker = s.ticker AND b.exchange = s.exchange")
+def snapshot_rows(spark, sf_dir):
+    snapshot = tape(spark, sf_dir).where("exchange <> 'okx'").groupBy("ticker", "exchange").agg(F.count(F.lit(1)).alias("n"))
+    return lanes.with_snapshot(bars(spark, sf_dir, QUARTER), snapshot, ["n"]).select("ticker", "exchange", "ts", "n")
+
+
+@query("WITH g AS (SELECT epoch_us(ts) // 86400000000 AS ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 'money' WHEN event_type = 'error' THEN 'trouble' ELSE event_type END AS family, CAST(sum(user_id) AS BIGINT) AS rss_kb, CAST(sum(event_id % 10) AS BIGINT) AS swap_kb, count(*) AS pids FROM events GROUP BY 1, 2) SELECT *, rss_kb - lag(rss_kb) OVER w AS d_rss_kb, swap_kb - lag(swap_kb) OVER w AS d_swap_kb FROM g WINDOW w AS (PARTITION BY family ORDER BY ts)")
+def process_families(spark, sf_dir):
+    name = lanes.family(F.col("event_type"), F.col("event_type"), {"money": ["purchase", "signup"], "trouble": ["err"]})
+    rows = tables.events(spark, sf_dir).select(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).alias("ts"), name.alias("family"), F.col("user_id").alias("rss_kb"), (F.col("event_id") % 10).alias("swap_kb"))
+    return lanes.family_usage(rows)
+
+
+@query(f"WITH h AS (SELECT count(*) AS bars FROM {BARS(DAY)} GROUP BY ticker, exchange) SELECT CASE WHEN bars < 28 THEN 'too_short' ELSE 'scanned' END AS reason, count(*) AS n FROM h GROUP BY 1 UNION ALL SELECT CASE WHEN base = 'SIGNUP' OR peak_ts < {NOW} - 25 * 86400 THEN 'data_sanity' WHEN pre_max >= peak_price * 0.9 THEN 'prepump' WHEN ({NOW} - peak_ts) / 86400.0 > 14 THEN 'age' ELSE 'kept' END, count(*) FROM {PUMPS()} GROUP BY 1")
+def scan_funnel(spark, sf_dir):
+    reason = lanes.scan_reason(F.col("base") == "SIGNUP", NOW, 0.9, 14.0, NOW - 25 * DAY)
+    histories = bars(spark, sf_dir).groupBy("ticker", "exchange").agg(F.count(F.lit(1)).alias("bars"))
+    return lanes.funnel(histories, events(spark, sf_dir).withColumn("reason", reason), 28)
+
+
+@query(f"WITH RECURSIVE e AS (SELECT ticker, exchange, t FROM {TAPE}), r AS (SELECT ticker, exchange, min(t) AS t FROM e GROUP BY 1, 2 UNION ALL SELECT e.ticker, e.exchange, min(e.t) FROM r JOIN e ON r.ticker = e.ticker AND r.exchange = e.exchange AND e.t >= r.t + 43200000000 GROUP BY 1, 2) SELECT ticker, exchange, t FROM r")
+def stream_cooldown(spark, sf_dir):
+    """Trades that pass a cooldown of twelve hours a pair, over a stream run to its end."""
+    name = f"stream_cooldown_{abs(hash(sf_dir)) % 10**8}"
+    trades = tables.trades(tables.replay(spark, sf_dir)).select("ticker", "exchange", "t", F.timestamp_micros("t").alias("event_time"))
+    passed = live.latch(trades.withWatermark("event_time", "1 hour"), ["ticker", "exchange"], 43_200).select("ticker", "exchange", "t")
+    passed.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

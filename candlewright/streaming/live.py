@@ -39,3 +39,31 @@ def newest_ticks(stream: DataFrame, stale_sec: int = 30) -> DataFrame:
     """The newest trade a pair, with the watermark at the age beyond which ticks are stale."""
     tape = trades(stream.withWatermark("event_time", f"{stale_sec} seconds"))
     return tape.groupBy(*PAIR).agg(F.max_by("price", F.struct("t", "event_id")).alias("price"), F.max("t").alias("t"))
+
+
+def latch(stream: DataFrame, key: list[str], wait_sec: int, time: str = "t") -> DataFrame:
+    """Events that pass a cooldown: the first of a key, then the first at least `wait_sec` after the last that passed.
+
+    time: microseconds; the stream has a watermark.  The state of a key is one number; it expires once the watermark
+    is beyond the wait, when any event would pass anyway.  Within a micro-batch events count in order of time.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    wait = wait_sec * 1_000_000
+
+    def passed(_, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        out = pd.concat(list(frames)).sort_values(time, kind="stable")
+        keep = []
+        for t in out[time]:
+            keep.append(last is None or t - last >= wait)
+            last = int(t) if keep[-1] else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + wait) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield out[keep]
+
+    return stream.groupBy(*key).applyInPandasWithState(passed, stream.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
