@@ -190,8 +190,13 @@ def fingerprint_successors(docs: DataFrame, id_col: str = "doc_id", text_col: st
             (ghosts if kind else own).extend(zip(c.ids_of(batch.column("id")).tolist(), (t or "" for t in batch.column("text").to_pylist())))
         own.sort()
         own.append(min(ghosts, default=(0, "")))
-        for at in range(0, len(own) - 1, 256):
-            rows = own[at : at + 257]
+        to = 0
+        while to < len(own) - 1:
+            at, size = to, 0  # a block is bounded by its text as well, as documents can be very long
+            while to < len(own) - 1 and to - at < 256 and size < c.BLOCK_BYTES:
+                size += len(own[to][1])
+                to += 1
+            rows = own[at : to + 1]
             texts = [t for _, t in rows]
             edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:])]
             k = len(edited)
