@@ -1,9 +1,10 @@
 """LM scoring by a hierarchical Pitman-Yor model of words.
 
 Context restaurants (the word before) share one parent restaurant, whose parent is the uniform distribution over the
-vocabulary and one unknown word.  Contexts are words of at least N / 2**18 training tokens (2**18 of them at most, by
-counting), the beginning of a text, and classes of rarer words by their last two bytes, so per-context state has a
-proven bound; dishes (words in contexts) have none and stay in their buckets.
+vocabulary and one unknown word.  Every training word and the beginning of a text has a restaurant of its own; a word
+without training tokens has an empty one, which predicts as the parent does.  Sums of words of at least N / 2**18
+training tokens (2**18 of them at most, by counting) are broadcast, those of rarer words are exchanged by bucket; this
+decides where sums are kept, not what they are.
 
 1. Words are counted by bucket; N, V and the frequent words follow.
 2. Tokens go once to buckets: a frequent word's by word and context, a rarer word's by word, so a bucket knows its
@@ -11,7 +12,9 @@ proven bound; dishes (words in contexts) have none and stay in their buckets.
    is in, as a row of a table in the shared folder.
 3. Gibbs sweeps: every restaurant's customers of a dish are reseated in turn given all other counts (a new table has the
    weight of the parent's prediction); beyond SEQUENTIAL customers of a dish, new tables are drawn for
-   doubling blocks of customers.  Tables a context and frequent words' customers in the parent are summed over buckets.
+   doubling blocks of customers.  Tables a context and frequent words' customers in the parent are summed over buckets:
+   each bucket sends its part to the owner of the context or word (by hash), a rarer context's owner sends the total
+   back to the buckets that have the context.
    The first state has one table for each dish; discounts come from counts of ones and twos.
 4. Predictions are averaged over the sampled states, then log10 is summed by text.
 
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 FREQUENT_SHARE = 1 << 18
-CLASSES = 4096
 SEQUENTIAL = 64
 STRENGTH = 1.0
 END = np.uint64(0xE4D0F7E87000A5C3)
@@ -69,7 +71,7 @@ class Model:
     def __init__(self, n: int, v: int, words: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(words)
         self.n, self.v, self.words, self.counts = n, v, words[order], counts[order]
-        self.contexts = len(words) + 1 + CLASSES
+        self.contexts = len(words) + 1  # frequent words and the beginning; a bucket's rarer contexts follow
         self.customers = np.zeros(self.contexts)
         self.states: list[dict] = []
         self.discount = self.parent_discount = 0.5
@@ -91,24 +93,43 @@ class Model:
 
 
 class Pairs:
-    """A bucket's dishes: word (frequent index, or number of words + local index), context, training count."""
-
-    def __init__(self, bucket: int, model: Model, word, context, count, rare: int) -> None:
-        self.bucket, self.model, self.word, self.context, self.count, self.rare = bucket, model, word, context, count, rare
+    """A bucket's dishes: word and context (frequent index, or number of frequent ones + local index), training count.
+
+    keys: the rarer contexts; totals: (owner, state, tables, customers) of them, as the owners sent them.
+    """
+
+    def __init__(self, bucket: int, model: Model, word, context, count, rare: int, keys: np.ndarray, n: int, totals=()) -> None:
+        self.bucket, self.model, self.word, self.context, self.count, self.rare, self.keys = bucket, model, word, context, count, rare, keys
+        self.owner = (keys % np.uint64(n)).astype(np.int64)
+        order = np.argsort(self.owner, kind="stable")
+        self.tables, self.customers = {}, None
+        for s in sorted({t[1] for t in totals}):
+            own = sorted((t for t in totals if t[1] == s), key=lambda t: t[0])
+            self.tables[s] = np.zeros(len(keys))
+            self.tables[s][order] = np.concatenate([t[2] for t in own])
+            if s == 0:
+                self.customers = np.zeros(len(keys))
+                self.customers[order] = np.concatenate([t[3] for t in own])
         self.is_rare = word >= len(model.words)
         self.local = word - len(model.words)
 
     def rare_customers(self, tables: np.ndarray) -> np.ndarray:
         return np.bincount(self.local[self.is_rare], tables[self.is_rare], minlength=self.rare)
 
+    def context_tables(self, s: int) -> np.ndarray:
+        """Tables of each dish's context in a state."""
+        return np.concatenate([self.model.states[s]["tables"], self.tables.get(s, np.empty(0))])[self.context]
+
+    def context_customers(self) -> np.ndarray:
+        return np.concatenate([self.model.customers, np.empty(0) if self.customers is None else self.customers])[self.context]
+
     def states(self, upto: int):
         """(tables of dishes, prediction of the parent for dishes, customers and tables of rare words) of each state."""
         tables = (self.count > 0).astype(np.float64)
         for s in range(upto + 1):
-            state = self.model.states[s - 1] if s else None
             rng = np.random.default_rng([self.bucket, s])
             if s:
-                weight = (STRENGTH + self.model.discount * state["tables"][self.context]) * predicted
+                weight = (STRENGTH + self.model.discount * self.context_tables(s - 1)) * predicted
                 tables = seat(self.count, weight, self.model.discount, rng)
             customers = self.rare_customers(tables)
             if s < len(self.model.states):
@@ -122,9 +143,12 @@ class Pairs:
 
 
 def _sums(pairs: Pairs, s: int):
-    """What state s sums over buckets: (kind, index, value)."""
+    """What state s sums over buckets: (kind, index, value); kinds 4 and 5: tables and customers of all its rarer contexts."""
     *_, (tables, _, customers) = pairs.states(s)
-    by_context = np.bincount(pairs.context, tables, minlength=0)
+    shared, most = pairs.model.contexts, pairs.model.contexts + len(pairs.keys)
+    by_context = np.bincount(pairs.context, tables, minlength=most)
+    yield 4, np.arange(len(pairs.keys)), by_context[shared:]
+    by_context = by_context[:shared]
     frequent = np.bincount(pairs.word[~pairs.is_rare], tables[~pairs.is_rare], minlength=0)
     yield 0, np.flatnonzero(by_context), by_context[by_context > 0]
     yield 1, np.flatnonzero(frequent), frequent[frequent > 0]
@@ -133,7 +157,9 @@ def _sums(pairs: Pairs, s: int):
     yield 2, np.array([0]), np.array([tables.sum()])
     yield 2, np.array([1]), np.array([pairs.model.parent_seats(before, customers, rng).sum()])
     if s == 0:
-        own = np.bincount(pairs.context, pairs.count, minlength=0)
+        own = np.bincount(pairs.context, pairs.count, minlength=most)
+        yield 5, np.arange(len(pairs.keys)), own[shared:]
+        own = own[:shared]
         yield 3, np.flatnonzero(own), own[own > 0]
         yield 2, np.arange(2, 6), np.array([(pairs.count == 1).sum(), (pairs.count == 2).sum(), (customers == 1).sum(), (customers == 2).sum()], np.float64)
 
@@ -188,18 +214,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     def tokens(batches):
         held, size = [], 0
         m = shared.value
-        start = len(m.words)  # context number of the beginning; classes follow
+        start = len(m.words)  # context number of the beginning; -1: a rarer word
 
         def flush():
-            word, code, context, rid, ids = (np.concatenate(x) for x in zip(*held))
-            where = np.where(code >= 0, c.mix(word + context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), word) % np.uint64(n)
+            word, code, context, before, rid, ids = (np.concatenate(x) for x in zip(*held))
+            where = np.where(code >= 0, c.mix(word + before * np.uint64(0x9E3779B97F4A7C15)), word) % np.uint64(n)
             out = c.Rows()
             rows, at = np.unique(rid, return_index=True)
             row_ids = ids[at]
             doc = np.searchsorted(rows, rid)
-            for b, w, k, x, d in c.split_by(where.astype(np.int16 if n < 32768 else np.int32), word, code, context, doc):
+            for b, w, k, x, u, d in c.split_by(where.astype(np.int16 if n < 32768 else np.int32), word, code, context, before, doc):
                 used = np.unique(d)
-                out.add(b, 0, c.pack(w[k < 0], k.astype(np.int32), x.astype(np.int32), np.diff(np.searchsorted(used, d), prepend=0).astype(np.int32), np.diff(rows[used], prepend=0), row_ids[used]))
+                out.add(b, 0, c.pack(w[k < 0], k.astype(np.int32), x.astype(np.int32), u[x < 0], np.diff(np.searchsorted(used, d), prepend=0).astype(np.int32), np.diff(rows[used], prepend=0), row_ids[used]))
                 yield from out.batches(4 << 20)
             yield from out.batches()
 
@@ -212,27 +238,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             rids = batch.column("rid").to_numpy()
             done = 0
             for ids, text, offsets in c.blocks([batch]):
-                w, first, last, doc = c.words(text, offsets)
+                w, _, _, doc = c.words(text, offsets)
                 rid = rids[done : done + len(ids)]
                 done += len(ids)
                 code = m.frequent(w)
-                tail = c.LOWER[text[last - 1]].astype(np.int64) + 256 * c.LOWER[text[np.maximum(last - 2, first)]].astype(np.int64)
-                class_ = start + 1 + (c.mix(tail.astype(np.uint64)) % np.uint64(CLASSES)).astype(np.int64)
-                own = np.where(code >= 0, code, class_)
                 size_ = np.bincount(doc, minlength=len(ids))
                 ends = np.cumsum(size_)  # an end token after each text's words
-                before = np.full(len(w) + len(ids), start, np.int64)
+                context = np.full(len(w) + len(ids), start, np.int64)
+                before = np.zeros(len(context), np.uint64)
                 place = np.arange(len(w)) + doc
                 end_at = ends + np.arange(len(ids))
-                before[place + 1] = own
+                context[place + 1], before[place + 1] = code, w
                 word = np.full(len(before), END, np.uint64)
                 word[place] = w
                 codes = np.full(len(before), m.frequent(np.array([END]))[0], np.int64)
                 codes[place] = code
                 begins = end_at - size_
-                before[begins] = start
+                context[begins], before[begins] = start, 0
                 of = np.repeat(np.arange(len(ids)), size_ + 1)
-                held.append((word, codes, before, rid[of], ids[of]))
+                held.append((word, codes, context, before, rid[of], ids[of]))
                 size += len(text) + 8 * len(ids)
             if size >= c.FLUSH_BYTES:
                 yield from flush()
@@ -248,14 +272,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             return
         m = shared.value
         rare = np.unique(np.concatenate([h[0] for h in held]))
-        rids, ids = np.concatenate([np.cumsum(h[4]) for h in held]), np.concatenate([h[5] for h in held])
+        keys = np.unique(np.concatenate([h[3] for h in held]))
+        contexts = m.contexts + len(keys)
+        rids, ids = np.concatenate([np.cumsum(h[5]) for h in held]), np.concatenate([h[6] for h in held])
         rows, at = np.unique(rids, return_index=True)
         ids = ids[at]
         key, doc = [], []
-        for w, k, x, d, r, _ in held:
+        for w, k, x, u, d, r, _ in held:
             word = k.astype(np.int64)
             word[k < 0] = len(m.words) + np.searchsorted(rare, w)
-            key.append(word * m.contexts + x)
+            context = x.astype(np.int64)
+            context[x < 0] = m.contexts + np.searchsorted(keys, u)
+            key.append(word * contexts + context)
             doc.append(np.searchsorted(rows, np.cumsum(r))[np.cumsum(d)].astype(np.int32))
         held.clear()
         key, doc = np.concatenate(key), np.concatenate(doc)
@@ -267,28 +295,81 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         trained = np.add.reduceat(train[doc].astype(np.int64), first)
         pair = key[first]
         yield pa.record_batch(
-            [pa.array([bucket], pa.int32()), pa.array([c.pack(np.diff(pair // m.contexts, prepend=0).astype(np.int32), (pair % m.contexts).astype(np.int32), trained.astype(np.int32), len(rare))], pa.binary()), pa.array([c.pack(size.astype(np.int32), doc, np.diff(rows, prepend=0), ids)], pa.binary())],
+            [pa.array([bucket], pa.int32()), pa.array([c.pack(np.diff(pair // contexts, prepend=0).astype(np.int32), (pair % contexts).astype(np.int32), trained.astype(np.int32), len(rare), keys)], pa.binary()), pa.array([c.pack(size.astype(np.int32), doc, np.diff(rows, prepend=0), ids)], pa.binary())],
             ["bucket", "pairs", "tokens"],
         )
 
     with_row = slim.withColumn("rid", F.monotonically_increasing_id())
     table = c.materialise(c.deal(with_row.mapInArrow(tokens, c.PACKED), n).mapInArrow(dishes, "bucket int, pairs binary, tokens binary"), "tokens")
 
-    def pairs_of(bucket, data, m) -> Pairs:
-        word, context, trained, rare = c.unpack(data)
-        return Pairs(bucket, m, np.cumsum(word.astype(np.int64)), context.astype(np.int64), trained.astype(np.float64), rare)
+    def pairs_of(bucket, data, m, totals=()) -> Pairs:
+        word, context, trained, rare, keys = c.unpack(data)
+        return Pairs(bucket, m, np.cumsum(word.astype(np.int64)), context.astype(np.int64), trained.astype(np.float64), rare, keys, n, [c.unpack(t) for t in totals])
+
+    packed = [table.select("bucket", F.lit(x).alias("kind"), F.col(column).alias("data")) for x, column in enumerate(("pairs", "tokens"))]
+    totals = []  # of rarer contexts, a table for each state
+
+    def joined(*tables) -> DataFrame:
+        """The tables' rows and all totals, a bucket to a partition."""
+        for t in (*tables[1:], *totals):
+            tables = (tables[0].union(t), *tables[1:])
+        return c.deal(tables[0], n)
 
     for s in range(samples + 1):
         known = spark.sparkContext.broadcast(model)
 
         def sweep(batches, s=s, known=known):
-            for batch in batches:
-                for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist()):
-                    for kind, index, value in _sums(pairs_of(bucket, data, known.value), s):
-                        yield pa.record_batch([pa.array(np.full(len(index), kind), pa.int32()), pa.array(index, pa.int64()), pa.array(value, pa.float64())], ["kind", "i", "value"])
+            def send(pairs):
+                own, parts, out = {}, [], c.Rows()
+                for kind, index, value in _sums(pairs, s):
+                    if kind >= 4:
+                        own[kind] = value.astype(np.int64)
+                    else:
+                        parts.append((np.full(len(index), kind, np.int8), index, value))
+                kind, index, value = (np.concatenate(x) for x in zip(*parts))
+                for b, k, i, v in c.split_by((index % n).astype(np.int32), kind, index, value):
+                    out.add(b, 0, c.pack(k, i, v))
+                    yield from out.batches(4 << 20)
+                for b, key, *x in c.split_by(pairs.owner.astype(np.int32), pairs.keys, *own.values()):
+                    out.add(b, 1, c.pack(pairs.bucket, key, *x))
+                    yield from out.batches(4 << 20)
+                yield from out.batches()
 
-        sums = table.select("bucket", "pairs").mapInArrow(sweep, "kind int, i long, value double").groupBy("kind", "i").agg(F.sum("value").alias("value")).toArrow()  # by context and frequent word
-        kind, index, value = (sums.column(x).to_numpy() for x in ("kind", "i", "value"))
+            data, sent = {}, []
+            for bucket, kind, row in c.packed_rows(batches):
+                if not s:  # needs no totals
+                    yield from send(pairs_of(bucket, row, known.value))
+                elif kind == 0:
+                    data[bucket] = row
+                else:
+                    sent.append(row)
+            for bucket, row in data.items():
+                yield from send(pairs_of(bucket, row, known.value, sent))
+
+        def owned(batches, s=s):
+            sums, asked, bucket = [], [], None
+            for bucket, kind, row in c.packed_rows(batches):
+                (asked if kind else sums).append(c.unpack(row))
+            out = c.Rows()
+            if sums:
+                kind, index, value = (np.concatenate(x) for x in zip(*sums))
+                pair, at = np.unique(index * 4 + kind, return_inverse=True)
+                out.add(-1, 0, c.pack(pair % 4, pair // 4, np.bincount(at, value)))
+            if asked:
+                _, at = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+                found = [np.bincount(at, np.concatenate([a[j] for a in asked])).astype(np.int64)[at] for j in range(2, len(asked[0]))]
+                to = 0
+                for source, key, *_ in asked:
+                    to, lo = to + len(key), to
+                    out.add(source, 2 + s, c.pack(bucket, s, *(x[lo:to] for x in found)))
+                    yield from out.batches(4 << 20)
+            yield from out.batches()
+
+        swept = (joined(packed[0]) if s else packed[0]).mapInArrow(sweep, c.PACKED)
+        result = c.materialise(c.deal(swept, n).mapInArrow(owned, c.PACKED), "totals")
+        sums = [c.unpack(r.data) for r in result.where("bucket < 0").collect()]  # by frequent context and word
+        totals.append(result.where("bucket >= 0"))
+        kind, index, value = (np.concatenate(x) for x in zip(*sums)) if sums else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         of = lambda k, size: np.bincount(index[kind == k], value[kind == k], minlength=size)
         scalar, customers = of(2, 6), of(1, len(model.words))
         if s == 0:
@@ -304,24 +385,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     def predict(batches):
         m = final.value
-        for batch in batches:
-            for bucket, data, where in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist(), batch.column("tokens").to_pylist()):
-                pairs = pairs_of(bucket, data, m)
-                mean = np.zeros(len(pairs.word))
-                for s, (tables, predicted, _) in enumerate(pairs.states(samples)):
-                    if s:
-                        state, u = m.states[s], pairs.context
-                        mean += (np.maximum(pairs.count - m.discount * tables, 0) + (STRENGTH + m.discount * state["tables"][u]) * predicted) / (STRENGTH + m.customers[u])
-                word_count = np.concatenate([m.counts.astype(np.float64), pairs.rare_customers(pairs.count)])[pairs.word] if len(pairs.word) else mean
-                base = np.log10((word_count + 0.5) / (m.n + 0.5 * (m.v + 1)))
-                size, doc, rows, ids = c.unpack(where)
-                rows = np.cumsum(rows)
-                by = lambda x, doc=doc, size=size, rows=rows: np.bincount(doc, np.repeat(x, size), minlength=len(rows))
-                found = (np.bincount(doc, minlength=len(rows)), by((word_count > 0).astype(np.float64)), by(base), by(np.log10(mean / samples)))
-                out = c.Rows()
-                for b, r, i, t, k, x, y in c.split_by(c.bucket_of(rows, n), rows, ids, *found):
-                    out.add(b, 0, c.pack(np.diff(r, prepend=0), i, t.astype(np.int32), k.astype(np.int32), x, y))
-                yield from out.batches()
+        data, places, sent = {}, {}, []
+        for bucket, kind, row in c.packed_rows(batches):
+            if kind < 2:
+                (places if kind else data)[bucket] = row
+            else:
+                sent.append(row)
+        for bucket, row in data.items():
+            where = places[bucket]
+            pairs = pairs_of(bucket, row, m, sent)
+            mean = np.zeros(len(pairs.word))
+            for s, (tables, predicted, _) in enumerate(pairs.states(samples)):
+                if s:
+                    mean += (np.maximum(pairs.count - m.discount * tables, 0) + (STRENGTH + m.discount * pairs.context_tables(s)) * predicted) / (STRENGTH + pairs.context_customers())
+            word_count = np.concatenate([m.counts.astype(np.float64), pairs.rare_customers(pairs.count)])[pairs.word] if len(pairs.word) else mean
+            base = np.log10((word_count + 0.5) / (m.n + 0.5 * (m.v + 1)))
+            size, doc, rows, ids = c.unpack(where)
+            rows = np.cumsum(rows)
+            by = lambda x, doc=doc, size=size, rows=rows: np.bincount(doc, np.repeat(x, size), minlength=len(rows))
+            found = (np.bincount(doc, minlength=len(rows)), by((word_count > 0).astype(np.float64)), by(base), by(np.log10(mean / samples)))
+            out = c.Rows()
+            for b, r, i, t, k, x, y in c.split_by(c.bucket_of(rows, n), rows, ids, *found):
+                out.add(b, 0, c.pack(np.diff(r, prepend=0), i, t.astype(np.int32), k.astype(np.int32), x, y))
+            yield from out.batches()
 
     def collect(batches):
         held = [c.unpack(data) for _, _, data in c.packed_rows(batches)]
@@ -336,4 +422,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return c.deal(table.mapInArrow(predict, c.PACKED), n).mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return c.deal(joined(*packed).mapInArrow(predict, c.PACKED), n).mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

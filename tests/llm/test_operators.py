@@ -5,6 +5,7 @@ import hashlib
 import html
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -245,6 +246,27 @@ def test_pitman_yor_is_a_distribution(spark):
     assert got.count() == len(rows) + len(texts) and all(r.score < 0 for r in got.collect())
 
 
+def test_pitman_yor_rare_contexts_are_not_pooled(spark):
+    rows = [(2 * i, f"w{i}xyz {'p' if i % 2 else 'q'}") for i in range(60)]  # contexts that occur once, with equal endings
+    texts = [f"w{i}xyz {'p' if (i % 2 == 0) == other else 'q'}" for i in range(60) for other in (False, True)]
+    ids = [i for i in range(1001, 3000) if pitman_yor.held_out(np.array([i]))[0]][: len(texts)]
+    rows = [r for r in rows if not pitman_yor.held_out(np.array(r[:1]))[0]]
+    known = {t for _, t in rows}
+    rows += [(5000 + i, f"u{i // 2} v{i // 2}") for i in range(600) if not pitman_yor.held_out(np.array([5000 + i]))[0]]  # pairs that occur twice keep the discount small
+    got = {r.id: r.score for r in pitman_yor.score(spark.createDataFrame(rows + list(zip(ids, texts)), "doc_id long, text string")).collect()}
+    pairs = [(got[a], got[b], t in known) for a, b, t in zip(ids[::2], ids[1::2], texts[::2])]
+    assert all(right > other + 0.3 for right, other, trained in pairs if trained) and sum(t for *_, t in pairs) > 30
+
+
+def test_pitman_yor_does_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shared = {r.id: r.score for r in pitman_yor.score(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "FREQUENT_SHARE", 1)
+    apart = {r.id: r.score for r in pitman_yor.score(docs).collect()}
+    assert sum(apart.values()) == pytest.approx(sum(shared.values()), rel=0.005)
+    assert all(apart[i] == pytest.approx(s, rel=0.05) for i, s in shared.items())
+
+
 def test_pitman_yor_odd(odd, none):
     rows = pitman_yor.score(odd).collect()
     assert len(rows) == len(ODD) and sorted(r.n_tokens for r in rows)[:3] == [1, 1, 1]
