@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from . import _common as c
 
 CUT = 4  # about so many words to a piece
-FINE_BELOW = 32  # words; each word of a shorter text is a piece
 CELLS = 24  # of the smallest sketch
 
 
@@ -36,7 +35,6 @@ def digests(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     line = np.cumsum(text == 10)[start]
     last = np.ones(len(word), bool)
     last[:-1] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]) | ((word[:-1] >> np.uint64(8)) % np.uint64(CUT) == 0)
-    last |= (np.bincount(doc) < FINE_BELOW)[doc]
     first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
     size = np.diff(np.append(first, len(word)))
     place = np.arange(len(word)) - np.repeat(first, size)

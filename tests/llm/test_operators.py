@@ -140,6 +140,18 @@ def test_fingerprint_likeness_is_exact():
         assert got[i] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
 
 
+def test_fingerprint_likeness_does_not_jump_with_length():
+    rng = np.random.default_rng(2)
+    for n in range(28, 37):
+        near = []
+        for _ in range(200):
+            text = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            raw = [" ".join(t).encode() for t in (text, text + ["more"], text[:-1])]
+            key, owner = fingerprints.digests(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            near.append(fingerprints.likeness(key, owner, np.bincount(owner, minlength=3), np.array([0, 0]), np.array([1, 2])))
+        assert (np.mean(near, axis=0) > 0.7).all(), n
+
+
 def test_fingerprints_odd(odd, none, spark):
     rows = fingerprints.fingerprint_successors(odd).collect()
     assert len(rows) == len(ODD) and len({r.fingerprint for r in rows if r.id in (5, 6)}) == 1
