@@ -7,7 +7,8 @@ mergeable: tasks align the pages they hold and send one wrapper a host, which ar
 many pages costs a reducer one wrapper for each task.
 
 A wrapper gives the path of the main region (an article or main element, else the element that holds most of the
-variable text) and the paths of constant slots.  Applied to a page, it yields the main region's blocks without menus,
+variable text) and the paths of constant slots: equal texts on CONSTANT different pages, of which copies count once.
+A region of constant texts alone keeps them.  Applied to a page, it yields the main region's blocks without menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments; a page that the main path does not
 match takes the path from its own expression.
 
@@ -17,6 +18,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_
 import pickle
 import re
@@ -41,6 +43,7 @@ SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html",
 # fixed values: words of class, id and role that mark what is not main text
 MARKS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget", "responses", "discussion", "alert"}
 MAIN_MARKS = {"article-body", "articlebody", "content", "entry-content", "main", "main-content", "maincontent", "post", "post-body", "post-content", "story", "story-body"}
+CONSTANT = 5  # different pages with a text that make it boilerplate
 
 
 class Node:
@@ -48,8 +51,8 @@ class Node:
 
     __slots__ = ("label", "kids", "optional", "repeated", "chars", "text", "pages")
 
-    def __init__(self, label: str) -> None:
-        self.label, self.kids, self.optional, self.repeated, self.chars, self.text, self.pages = label, [], False, False, 0, None, 1
+    def __init__(self, label: str, pages: frozenset = frozenset()) -> None:  # pages: digests of different ones, CONSTANT at most
+        self.label, self.kids, self.optional, self.repeated, self.chars, self.text, self.pages = label, [], False, False, 0, None, pages
 
     def __getstate__(self):
         return [getattr(self, k) for k in self.__slots__]
@@ -116,9 +119,13 @@ def is_main(label: str) -> bool:
     return name in ("article", "main") or any(m in MAIN_MARKS for m in marks)
 
 
-def expression(node: Node) -> Node:
+def digest(page: str) -> frozenset:
+    return frozenset([hashlib.blake2b(page.encode(errors="surrogatepass"), digest_size=8).digest()])
+
+
+def expression(node: Node, pages: frozenset = frozenset()) -> Node:
     """A page's regular expression: inline elements and texts become slots, equal neighbours fold."""
-    out = Node(node.label)
+    out = Node(node.label, pages)
     pieces = []
     for kid in node.kids:
         if isinstance(kid, str) or kid.label.split(".", 1)[0] in INLINE | {"br"}:
@@ -131,12 +138,12 @@ def expression(node: Node) -> Node:
                 if pieces:
                     _fill(out.kids, pieces)
                 pieces = [text]
-                out.kids.append(Node("#"))
+                out.kids.append(Node("#", pages))
         else:
             if pieces:
                 _fill(out.kids, pieces)
                 pieces = []
-            out.kids.append(expression(kid))
+            out.kids.append(expression(kid, pages))
     if pieces:
         _fill(out.kids, pieces)
     out.kids = folded(out.kids)
@@ -170,9 +177,7 @@ def folded(kids: list[Node]) -> list[Node]:
                 a, b = out[-2 * size : -size], out[-size:]
                 if len(a) == size and [k.label for k in a] == [k.label for k in b] and b[0].label != "#":
                     for x, y in zip(a, b):
-                        pages = x.pages
-                        align(x, y)
-                        x.pages, x.repeated = pages, True
+                        align(x, y).repeated = True
                     del out[-size:]
                     again = True
                     break
@@ -184,7 +189,8 @@ def align(one: Node, two: Node) -> Node:
     if one.label == "#" and one.text != two.text:
         one.text = None
     one.chars += two.chars
-    one.pages += two.pages
+    if len(one.pages) < CONSTANT and one.pages != two.pages:
+        one.pages = frozenset(sorted(one.pages | two.pages)[:CONSTANT])
     one.repeated |= two.repeated
     one.optional |= two.optional
     if one.kids or two.kids:
@@ -221,7 +227,7 @@ def rules(wrapper: Node) -> tuple[str, frozenset]:
 
     def walk(node, path):
         here = f"{path}>{node.label}"
-        if node.label == "#" and node.text and node.pages >= 5:
+        if node.label == "#" and node.text and len(node.pages) >= CONSTANT:
             constant.add(f"{path}|{node.text}")
         for kid in node.kids:
             walk(kid, here)
@@ -246,8 +252,10 @@ def rules(wrapper: Node) -> tuple[str, frozenset]:
     def useful(node):
         if dropped(node.label, False):
             return 0
-        return (0 if node.text and node.pages >= 5 else node.chars) if node.label == "#" else sum(map(useful, node.kids))
+        return (0 if constant and node.text and len(node.pages) >= CONSTANT else node.chars) if node.label == "#" else sum(map(useful, node.kids))
 
+    if not useful(wrapper):  # all is constant: nothing tells text from boilerplate
+        constant.clear()
     node, path = wrapper, f">{wrapper.label}"
     while True:
         best = max((k for k in node.kids if k.label != "#"), key=useful, default=None)
@@ -259,12 +267,15 @@ def rules(wrapper: Node) -> tuple[str, frozenset]:
 def main_text(tree: Node, main: str, constant: frozenset) -> str | None:
     """Blocks of the elements at the main path, or None if the page has none."""
     blocks: list[str] = []
+    whole: list[str] = []  # with constant ones
     held: list[str] = []
     region_is_generic = not is_main(main.rsplit(">", 1)[-1])
 
     def flush(path):
         text = " ".join(html_.unescape("".join(held)).split())
         held.clear()
+        if text:
+            whole.append(text)
         if text and not (region_is_generic and f"{path}|{text}" in constant):
             blocks.append(text)
 
@@ -302,7 +313,7 @@ def main_text(tree: Node, main: str, constant: frozenset) -> str | None:
                     seek(kid, here)
 
     seek(tree, "")
-    return "\n\n".join(blocks) if matched else None
+    return "\n\n".join(blocks or whole) if matched else None
 
 
 def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -320,7 +331,7 @@ def extract(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", ht
 
         for batch in batches:
             for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                own = expression(parse(text or ""))
+                own = expression(parse(text or ""), digest(text or ""))
                 wrappers[host] = align(wrappers[host], own) if host in wrappers else own
             if len(wrappers) > 20_000:
                 yield from out()

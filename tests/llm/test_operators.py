@@ -221,6 +221,16 @@ def test_html_layouts(spark):
     assert got[3] == "T3\n\nOne & two3 b\n\nThree3" and got[9] == got[None] == ""
 
 
+def test_html_copies_are_not_boilerplate(spark):
+    page = '<html><head><title>S</title></head><body><p>Site notice</p><div><h2>T{0}</h2><p>One{0} and more words</p>{1}</div></body></html>'
+    copy = page.format("c", "<blockquote>Only here</blockquote>")
+    rows = [(i, "http://a/x", copy) for i in range(7)] + [(10 + i, "http://a/y", page.format(i, "")) for i in range(7)]
+    rows += [(20 + i, "http://b/x", "<html><head><title>S</title></head><body><h2>Head</h2><p>One paragraph</p></body></html>") for i in range(7)]
+    got = {r.key: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[6] == "Tc\n\nOnec and more words\n\nOnly here"
+    assert got[12] == "T2\n\nOne2 and more words" and got[20] == got[26] == "Head\n\nOne paragraph"
+
+
 def test_chat(spark):
     compare(spark, SF, queries.op7_chat_format, queries.OP7_SQL)
 
