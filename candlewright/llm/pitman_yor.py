@@ -10,8 +10,9 @@ decides where sums are kept, not what they are.
 2. Tokens go once to buckets: a frequent word's by word and context, a rarer word's by word, so a bucket knows its
    rarer words' counts whole.  A bucket keeps its (word, context) pairs with training counts, and which text each token
    is in, as a row of a table in the shared folder.
-3. Gibbs sweeps: every restaurant's customers of a dish are reseated in turn given all other counts (a new table has the
-   weight of the parent's prediction); beyond SEQUENTIAL customers of a dish, new tables are drawn for
+3. Sweeps that approximate Gibbs: a dish's tables are drawn anew from empty, customer by customer, given the state
+   before (a new table has the weight of the parent's prediction and of the context's tables, the dish's old ones among
+   them); beyond SEQUENTIAL customers of a dish, new tables are drawn for
    doubling blocks of customers.  Tables a context and frequent words' customers in the parent are summed over buckets:
    each bucket sends its part to the owner of the context or word (by hash), a rarer context's owner sends the total
    back to the buckets that have the context.
