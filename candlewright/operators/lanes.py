@@ -82,14 +82,27 @@ def family_usage(samples: DataFrame) -> DataFrame:
     return out.withColumn("d_rss_kb", F.col("rss_kb") - F.lag("rss_kb").over(w)).withColumn("d_swap_kb", F.col("swap_kb") - F.lag("swap_kb").over(w))
 
 
-def scan_reason(excluded: Column, now: int, below: float, max_age_days: float, earliest: int) -> Column:
-    """Why an event of a scan is left out, the first rule that holds, or kept."""
+def with_book(events: DataFrame, books: DataFrame) -> DataFrame:
+    """Events with the grade and score of their pair's newest book (pair, ts, grade, score), null without one."""
+    newest = books.groupBy(*PAIR).agg(F.max_by(F.struct("grade", "score"), "ts").alias("b")).select(*PAIR, "b.grade", "b.score")
+    return events.join(newest, PAIR, "left")
+
+
+def scan_reason(excluded: Column, now: int, below: float, max_age_days: float, earliest: int, least: str | None = None) -> Column:
+    """Why an event of a scan is left out, the first rule that holds, or kept; with a least grade, events with_book:
+    a dead book rejects, none leaves the event unverified."""
     sane = ~F.coalesce(excluded, F.lit(False)) & (F.col("peak_ts") >= earliest)
     low_before = F.col("pre_max").isNull() | (F.col("pre_max") < F.col("peak_price") * below)
-    return F.when(~sane, "data_sanity").when(~low_before, "prepump").when((F.lit(now) - F.col("peak_ts")) / 86400.0 > max_age_days, "age").otherwise("kept")
+    out = F.when(~sane, "data_sanity").when(~low_before, "prepump").when((F.lit(now) - F.col("peak_ts")) / 86400.0 > max_age_days, "age")
+    if least:
+        out = out.when(F.col("score").isNull(), "ob_unverified").when(~S.vitality_ok(F.col("grade"), least), "ob_dead")
+    return out.otherwise("kept")
 
 
-def funnel(histories: DataFrame, events: DataFrame, least_bars: int) -> DataFrame:
+def funnel(histories: DataFrame, events: DataFrame, least_bars: int, short_from: int | None = None) -> DataFrame:
     """(reason, n): pairs by history length (histories: bars) and events by their reason, one pass over each."""
-    pairs = histories.groupBy(F.when(F.col("bars") < least_bars, "too_short").otherwise("scanned").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    length = F.when(F.col("bars") >= least_bars, "scanned")
+    if short_from is not None:
+        length = length.when(F.col("bars") >= short_from, "short_history")
+    pairs = histories.groupBy(length.otherwise("too_short").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     return pairs.unionByName(events.groupBy("reason").agg(F.count(F.lit(1)).alias("n")))

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .series import PAIR, tail_closed
 
 
-def tier(bars: DataFrame, now: int, step: int, n: int, floor: float) -> DataFrame:
-    """HIGH or LOW by the least volume x low over exactly n closed bars (null as 0); fewer bars: unchanged (null)."""
+def tier(bars: DataFrame, now: int, step: int, n: int, floor: float, current: DataFrame | None = None) -> DataFrame:
+    """HIGH or LOW by the least volume x low over exactly n closed bars (null as 0); with fewer bars a pair keeps its
+    current tier (current: pair, tier), null without one."""
     tail = tail_closed(bars, now, step, n)
     least = F.min(F.coalesce("volume", F.lit(0.0)) * F.coalesce("low", F.lit(0.0)))
     out = tail.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("bars"), least.alias("least"))
-    return out.withColumn("tier", F.when(F.col("bars") < n, None).when(F.col("least") >= floor, "HIGH").otherwise("LOW"))
+    known = F.lit(None).cast("string")
+    if current is not None:
+        out = out.join(current.select(*PAIR, F.col("tier").alias("_current")), PAIR, "left")
+        known = F.col("_current")
+    return out.withColumn("tier", F.when(F.col("bars") < n, known).when(F.col("least") >= floor, "HIGH").otherwise("LOW")).drop("_current")
 
 
 def min_volume_usd(bars: DataFrame, now: int, step: int, n: int = 7) -> DataFrame:
@@ -40,12 +46,13 @@ def tape_stats(trades: DataFrame, now_us: int, window_sec: int) -> DataFrame:
 
 def book(levels: DataFrame, depth_pct: float = 1.0) -> DataFrame:
     """Depth within depth_pct of the mid price, imbalance and spread of books (key, side, price, amount)."""
-    best = levels.groupBy("key").agg(F.max(F.when(F.col("side") == "bid", F.col("price"))).alias("bid"), F.min(F.when(F.col("side") == "ask", F.col("price"))).alias("ask"))
+    w = W.partitionBy("key")  # the aggregation after it needs no other shuffle
+    levels = levels.withColumns({"bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(w), "ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(w)})
     mid = (F.col("bid") + F.col("ask")) / 2
     near = F.abs(F.col("price") - mid) <= mid * depth_pct / 100
     money = (F.col("price") * F.col("amount")).cast("decimal(24,4)")
     usd = lambda side: F.coalesce(F.sum(F.when(near & (F.col("side") == side), money)), F.lit(0)).cast("double")
-    out = levels.join(best, "key").groupBy("key", "bid", "ask").agg(usd("bid").alias("bid_usd"), usd("ask").alias("ask_usd"))
+    out = levels.groupBy("key", "bid", "ask").agg(usd("bid").alias("bid_usd"), usd("ask").alias("ask_usd"))
     return out.select(
         "key", "bid", "ask", "bid_usd", "ask_usd", F.round(F.col("bid_usd") + F.col("ask_usd"), 4).alias("total_usd"),
         F.when(F.col("ask_usd") > 0, F.round(F.col("bid_usd") / F.col("ask_usd"), 4)).otherwise(99.0).alias("imbalance"),

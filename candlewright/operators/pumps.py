@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,38 +29,71 @@ class Scan:
 
 
 def ratios(bars: DataFrame, scan: Scan) -> DataFrame:
-    """Adds idx, start (first least bar of the window), low_price, peak_price and ratio; unknown prices give 0."""
+    """Adds idx, start (first least bar of the window), low_price, peak_price and ratio; unknown prices give 0.
+
+    The least bar brings its own past along (the highest price over the `pre` bars before it), so nothing is collected.
+    """
     low, peak = ("close", "close") if scan.source == "close" else ("low", "high")
+    price = "close" if scan.source == "close" else "high"
     df = bars.withColumn("idx", F.row_number().over(by_pair()) - 1)
+    df = df.withColumn("before", F.max(price).over(by_pair().rowsBetween(-scan.pre, -1)))
     frame = by_pair().rowsBetween(-(scan.window - 1), 0)
     bad = F.max(F.when(F.isnan(low) | F.col(low).isNull(), 1).otherwise(0)).over(frame)
-    df = df.withColumn("bad", bad).withColumn("m", F.min(F.struct(F.col(low).alias("p"), F.col("idx").alias("i"), F.col("ts").alias("t"))).over(frame))
-    # highest price over the `pre` bars before each bar, picked up at the start bar
-    price = "close" if scan.source == "close" else "high"
-    df = df.withColumn("pre_max", F.max(price).over(by_pair().rowsBetween(-scan.pre, -1)))
-    df = df.withColumn("history", F.collect_list(F.struct("idx", "pre_max")).over(frame))
+    least = F.struct(F.col(low).alias("p"), F.col("idx").alias("i"), F.col("ts").alias("t"), F.col("before").alias("b"))
+    df = df.withColumn("bad", bad).withColumn("m", F.min(least).over(frame))
     ratio = F.col(peak) / F.col("m.p")
     good = (F.col("bad") == 0) & (F.col("m.p") > 0) & F.col(peak).isNotNull() & ~F.isnan(peak)
     return df.select(
         *PAIR, "ts", "idx", F.col("m.i").alias("start"), F.col("m.t").alias("start_ts"), F.col("m.p").alias("low_price"), F.col(peak).alias("peak_price"),
-        F.expr("filter(history, h -> h.idx = m.i)[0].pre_max").alias("pre_max"), F.when(good, ratio).otherwise(0.0).alias("ratio"),
+        F.col("m.b").alias("pre_max"), F.when(good, ratio).otherwise(0.0).alias("ratio"),
     )
 
 
-def detect(bars: DataFrame, scan: Scan) -> DataFrame:
-    """One row for each pump: islands of bars over the threshold, represented by the first greatest ratio."""
-    hits = ratios(bars, scan).where(F.col("ratio") > scan.ratio)
-    w = by_pair("idx")
+def detect_at(bars: DataFrame, scan: Scan, thresholds: list[float]) -> DataFrame:
+    """Pumps at each of several thresholds (column threshold: the ratio), from one pass over the bars.
+
+    A bar over several thresholds is repeated for those only, so the lowest one bounds what goes on.
+    """
+    over = F.explode(F.filter(F.array(*map(F.lit, sorted(float(t) for t in thresholds))), lambda t: F.col("ratio") > t)).alias("threshold")
+    hits = ratios(bars, scan).select("*", over)
+    w = W.partitionBy("threshold", *PAIR).orderBy("idx")
     hits = hits.withColumn("new", F.when(F.col("idx") - F.lag("idx").over(w) <= scan.merge_gap, 0).otherwise(1))
     hits = hits.withColumn("island", F.sum("new").over(w))
     best = F.max_by(F.struct("ts", "start_ts", "low_price", "peak_price", "pre_max", "ratio"), F.struct("ratio", -F.col("idx")))
-    out = hits.groupBy(*PAIR, "island").agg(best.alias("e")).select(*PAIR, "e.*")
+    out = hits.groupBy("threshold", *PAIR, "island").agg(best.alias("e")).select("threshold", *PAIR, "e.*")
     return out.select(
-        *PAIR, S.base_of(F.col("ticker")).alias("base"), F.col("ts").alias("peak_ts"), "start_ts", F.col("low_price").alias("min_price"), "peak_price", "pre_max",
+        "threshold", *PAIR, S.base_of(F.col("ticker")).alias("base"), F.col("ts").alias("peak_ts"), "start_ts", F.col("low_price").alias("min_price"), "peak_price", "pre_max",
         F.round((F.col("ratio") - 1) * 100, 6).alias("pump_pct"), ((F.col("ts") - F.col("start_ts")) / 86400.0).alias("span_days"),
     )
 
 
+def detect(bars: DataFrame, scan: Scan) -> DataFrame:
+    """One row for each pump: islands of bars over the threshold, represented by the first greatest ratio."""
+    return detect_at(bars, scan, [scan.ratio]).drop("threshold")
+
+
+def aged(events: DataFrame, now: int) -> DataFrame:
+    """Adds the days since an event's peak."""
+    return events.withColumn("age_days", (F.lit(now) - F.col("peak_ts")) / 86400.0)
+
+
+def with_history(events: DataFrame, histories: DataFrame, scan: Scan) -> DataFrame:
+    """Adds whether a pair's history (pair, bars) is shorter than a window and its past."""
+    return events.join(histories.select(*PAIR, (F.col("bars") < scan.window + scan.pre).alias("short_history")), PAIR, "left")
+
+
+def long_enough(bars: Column, scan: Scan, short_from: int | None = None) -> Column:
+    """Whether so many bars suffice: a window and its past, or the minimum for new coins where that is allowed."""
+    full = bars >= scan.window + scan.pre
+    return full if short_from is None else full | (bars >= short_from)
+
+
+def finished(bars: DataFrame, now: int, step: int) -> DataFrame:
+    """Bars without a pair's last one while that is still open."""
+    last = F.max("ts").over(W.partitionBy(*PAIR))
+    return bars.withColumn("_last", last).where((F.col("ts") < F.col("_last")) | (F.col("ts") + step <= now)).drop("_last")
+
+
 def prepump(events: DataFrame, below: float) -> DataFrame:
     """Events whose prices before the start stayed under the peak; none before it passes."""
     return events.where(F.col("pre_max").isNull() | (F.col("pre_max") < F.col("peak_price") * below))
@@ -81,19 +114,84 @@ def summary(events: DataFrame) -> DataFrame:
     )
 
 
+def report(events: DataFrame, now: int) -> DataFrame:
+    """One row a coin as reports show it: its summary, spread of peaks, age, whether a history is short, and its events.
+
+    events: one for each (base, exchange), with short_history; a coin's list has an entry for each exchange.
+    """
+    nested = F.array_sort(F.collect_list(F.struct("exchange", "ticker", "peak_ts", "pump_pct"))).alias("events")
+    more = events.groupBy("base").agg(F.bool_or(F.coalesce("short_history", F.lit(False))).alias("short_history"), nested)
+    out = summary(events).join(more, "base")
+    return out.withColumn("align_span_days", (F.col("peak_ts_max") - F.col("peak_ts_min")) / 86400.0).withColumn("age_days", (F.lit(now) - F.col("peak_ts_max")) / 86400.0)
+
+
 def coins_any(events: DataFrame, least: int) -> DataFrame:
+    """Coins with an event on `least` exchanges or more: the strongest event of each."""
     return summary(strongest(events)).where(F.col("n_exchanges") >= least)
 
 
+def _aligned(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Coins of the catalog (base, need) that have an event on every exchange, with the upper median of the newest peaks."""
+    newest = events.groupBy("base", "exchange").agg(F.max("peak_ts").alias("newest"))
+    median = newest.groupBy("base").agg(F.expr("element_at(sort_array(collect_list(newest)), cast(count(1) div 2 as int) + 1)").alias("median"), F.count(F.lit(1)).alias("have"))
+    return catalog.groupBy("base").agg(F.count_distinct("exchange").alias("need")).join(median, "base", "left")
+
+
+def _nearest(events: DataFrame, median: DataFrame) -> DataFrame:
+    w = W.partitionBy("base", "exchange").orderBy(F.abs(F.col("peak_ts") - F.col("median")), "peak_ts", "ticker")
+    return events.join(median, "base").withColumn("rn", F.row_number().over(w)).where("rn = 1")
+
+
 def coins_all(events: DataFrame, catalog: DataFrame, align_days: float) -> DataFrame:
     """Coins with an event on every catalog exchange: the event nearest the upper median of the newest peaks."""
-    newest = events.groupBy("base", "exchange").agg(F.max("peak_ts").alias("newest"))
-    need = catalog.groupBy("base").agg(F.count_distinct("exchange").alias("need"))
-    median = newest.groupBy("base").agg(F.expr("element_at(sort_array(collect_list(newest)), cast(count(1) div 2 as int) + 1)").alias("median"), F.count(F.lit(1)).alias("have")).join(need, "base").where("have = need")
-    near = events.join(median, "base").withColumn("rn", F.row_number().over(W.partitionBy("base", "exchange").orderBy(F.abs(F.col("peak_ts") - F.col("median")), "peak_ts", "ticker"))).where("rn = 1")
+    near = _nearest(events, _aligned(events, catalog).where("have = need"))
     return summary(near).where((F.col("peak_ts_max") - F.col("peak_ts_min")) / 86400.0 <= align_days)
 
 
+def selection_counts(events: DataFrame, catalog: DataFrame, least: int, align_days: float | None = None) -> DataFrame:
+    """(outcome, n): why coins of the catalog (base, exchange) were left out, or kept.
+
+    Without align_days one event on `least` exchanges suffices; with it every exchange needs one, close together.
+    """
+    if align_days is None:
+        have = strongest(events).groupBy("base").agg(F.count(F.lit(1)).alias("have"))
+        coins = catalog.groupBy("base").agg(F.count_distinct("exchange").alias("need")).join(have, "base", "left")
+        outcome = F.when((F.col("need") < least) | (F.coalesce("have", F.lit(0)) < least), "min_exch").otherwise("kept")
+    else:
+        coins = _aligned(events, catalog)
+        span = _nearest(events, coins.where("have = need")).groupBy("base").agg(((F.max("peak_ts") - F.min("peak_ts")) / 86400.0).alias("span"))
+        coins = coins.join(span, "base", "left")
+        outcome = F.when(F.col("need") < least, "min_exch").when(F.coalesce("have", F.lit(0)) < F.col("need"), "not_all").when(F.col("span") > align_days, "align").otherwise("kept")
+    return coins.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gated(events: DataFrame, books: DataFrame, least: str | None) -> DataFrame:
+    """Events whose newest book passes the vitality limit, with its grade; a pair without a book stays, as unverified.
+
+    books: (pair, ts, grade, score); a newest row without a score counts as no book.
+    """
+    newest = books.groupBy(*PAIR).agg(F.max_by(F.struct("grade", "score"), "ts").alias("b")).where("b.score IS NOT NULL")
+    out = events.join(newest, PAIR, "left").withColumn("ob_unverified", F.col("b").isNull())
+    return out.where(F.col("ob_unverified") | S.vitality_ok(F.col("b.grade"), least)).select(*events.columns, F.col("b.grade").alias("ob_grade"), "ob_unverified")
+
+
+def fresh_coins(coins: DataFrame, events: DataFrame, now: int, start_days: float = 10.0) -> DataFrame:
+    """Coins with an event that started in the last days."""
+    recent = events.where((F.lit(now) - F.col("start_ts")) / 86400.0 <= start_days).select("base").distinct()
+    return coins.join(recent, "base", "left_semi")
+
+
+def recent_coins(coins: DataFrame, now: int, days: float = 30.0, most: int | None = None) -> DataFrame:
+    """Coins whose newest peak lies in the last days, newest first."""
+    out = coins.where((F.lit(now) - F.col("peak_ts_max")) / 86400.0 <= days).orderBy(F.desc("peak_ts_max"), "base")
+    return out if most is None else out.limit(most)
+
+
+def top_coins(coins: DataFrame, most: int = 100) -> DataFrame:
+    """Coins by what their weakest exchange shows, greatest first."""
+    return coins.orderBy(F.desc("min_pump_pct"), "base").limit(most)
+
+
 def by_day(events: DataFrame) -> DataFrame:
-    """Pumps collapsed to (base, day), strongest kept, with the exchanges that share them."""
+    """Pumps collapsed to (base, day), strongest kept, with the exchanges that share them and the newest peak."""
     return events.groupBy("base", F.floor(F.col("peak_ts") / 86400).alias("day")).agg(F.max("pump_pct").alias("pump_pct"), F.count_distinct("exchange").alias("width"))

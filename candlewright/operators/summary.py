@@ -18,11 +18,15 @@ def perp_first(pairs: DataFrame) -> DataFrame:
 
 
 def drop_stale_spot(rows: DataFrame, lag_sec: int) -> DataFrame:
-    """Rows without spot rows that are more than lag_sec older than the perp of their base and exchange; no join."""
+    """Rows without spot rows that are more than lag_sec older than the perp of their base and exchange; no join.
+
+    Times are compared in seconds, whatever unit a row has; an unknown time counts as 0, and a perp without one drops nothing.
+    """
     perp = S.is_perp(F.col("ticker"))
     w = W.partitionBy("exchange", S.base_of(F.col("ticker")))
-    out = rows.withColumn("perp_ts", F.max(F.when(perp, F.coalesce("ts", F.lit(0)))).over(w))
-    return out.where(perp | F.col("perp_ts").isNull() | (F.coalesce("ts", F.lit(0)) >= F.col("perp_ts") - lag_sec)).drop("perp_ts")
+    seconds = F.coalesce(S.epoch_sec(F.col("ts")), F.lit(0))
+    out = rows.withColumn("perp_ts", F.max(F.when(perp, seconds)).over(w))
+    return out.where(perp | (F.coalesce("perp_ts", F.lit(0)) == 0) | (seconds >= F.col("perp_ts") - lag_sec)).drop("perp_ts")
 
 
 def zombie_plan(tables: DataFrame, now: int) -> DataFrame:
@@ -35,14 +39,27 @@ def zombie_plan(tables: DataFrame, now: int) -> DataFrame:
 
 
 def prune_order(plan: DataFrame) -> DataFrame:
+    """The prune list, most bars gained first.  The place of a row is counted from how many rows each gain has, so that
+    only rows of one gain are sorted together."""
     gain = F.greatest(F.lit(0), F.coalesce(F.col("perp_bars") - F.col("spot_bars"), F.lit(0)))
-    w = W.orderBy(F.desc("gain"), "spot", "exchange")  # a report of the prune list, not of the data
-    return plan.where("verdict = 'prune'").withColumn("gain", gain).withColumn("place", F.row_number().over(w))
+    out = plan.where("verdict = 'prune'").withColumn("gain", gain)
+    return ranked(out, "gain", "spot", "exchange")
+
+
+def ranked(rows: DataFrame, by: str, *ties: str, place: str = "place") -> DataFrame:
+    """Adds the place of each row by a value, greatest first.
+
+    One window runs over the distinct values and their counts, not over rows; the other only within a value.
+    """
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(by).alias("_value"), (F.sum("_n").over(W.orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    out = rows.join(before, F.col(by).eqNullSafe(F.col("_value")))
+    return out.withColumn(place, (F.row_number().over(W.partitionBy(by).orderBy(*ties)) + F.col("_before")).cast("int")).drop("_value", "_before")
 
 
-def over_prune_guard(pruned: int, tables: int, fraction: float) -> bool:
-    """Whether a prune list is implausibly large and needs a second consent."""
-    return fraction > 0 and tables > 0 and pruned > fraction * tables
+def over_prune(pruned, tables, fraction: float):
+    """Whether a prune list is implausibly large and needs a second consent; counts as columns."""
+    return F.lit(fraction > 0) & (tables > 0) & (pruned > fraction * tables)
 
 
 def carry(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -65,13 +82,26 @@ def union_stable(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def retype(df: DataFrame, column: str) -> DataFrame:
-    """A text column as double if every value that is not blank parses, else left as text."""
-    lost = df.where(F.col(column).isNotNull() & (F.trim(column) != "") & F.col(column).try_cast("double").isNull()).isEmpty()
-    return df.withColumn(column, F.nullif(F.trim(column), F.lit("")).try_cast("double")) if lost else df
+def retype(df: DataFrame, columns: list[str], flags: list[str] = (), never: list[str] = ()) -> DataFrame:
+    """Text columns as doubles where every value that is not blank parses, else left as text; flags become booleans.
+
+    One aggregation decides on all columns; `never` lists columns that are text by meaning.
+    """
+    tried = [x for x in columns if x not in never and x not in flags]
+    if tried:
+        lost = df.agg(*(F.count_if(~S.blank(F.col(x)) & F.trim(x).try_cast("double").isNull()).alias(x) for x in tried)).first()
+        whole = [x for x in tried if not lost[x]]
+        df = df.withColumns({x: F.when(~S.blank(F.col(x)), F.trim(x).try_cast("double")) for x in whole})
+    return df.withColumns({x: S.flag(F.col(x).cast("string")) for x in flags}) if flags else df
+
+
+def with_columns(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """Adds the columns of a schema that a table lacks, as nulls of their type; what it has keeps its type."""
+    return df.withColumns({x: F.lit(None).cast(t) for x, t in schema.items() if x not in df.columns})
 
 
 def growth(bars: DataFrame, now: int, days: int) -> DataFrame:
-    """Growth from the least low of the last days to the last close."""
+    """Growth from the least low of the last days to the last close; times in milliseconds are normalised first."""
+    bars = bars.withColumn("ts", S.epoch_sec(F.col("ts")))
     out = bars.groupBy("ticker", "exchange").agg(F.max_by("close", "ts").alias("close"), F.min(F.when(F.col("ts") >= now - days * 86400, F.col("low"))).alias("low"))
     return out.withColumn("growth_pct", F.round(S.growth_pct(F.col("close"), F.col("low")), 6))

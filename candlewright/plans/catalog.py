@@ -6,36 +6,19 @@ exchange is a user modulo three.  The clock is fixed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display as D
 from ..functions import scalars as S
-from ..operators import funding, lanes, liquidity, pumps, series, summary, volatility
+from ..operators import candles, funding, lanes, liquidity, pumps, series, summary, volatility
 from ..sources import tables
-from ..streaming import live
+from .registry import query
 
 NOW = 1706659200  # 2024-01-31 00:00 UTC
 DAY, QUARTER = 86400, 900
 SCAN = pumps.Scan(window=5, merge_gap=5, ratio=8.0, pre=5)
 WICK = pumps.Scan(window=5, merge_gap=5, ratio=8.0, pre=5, source="high_low")
 
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_oracle: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _queries[f.__name__] = f
-        if sql:
-            _oracle[f.__name__] = sql
-        return f
-
-    return add
-
-
 def tape(spark, sf_dir):
     return tables.trades(tables.events(spark, sf_dir))
 
@@ -182,6 +165,13 @@ def tier_assignment(spark, sf_dir):
     return liquidity.tier(bars(spark, sf_dir), NOW, DAY, 7, 20.0)
 
 
+@query(f"SELECT ticker, exchange, CASE WHEN n < 27 THEN CASE WHEN exchange <> 'okx' THEN 'HIGH' END WHEN least >= 20 THEN 'HIGH' ELSE 'LOW' END AS tier FROM (SELECT ticker, exchange, count(*) AS n, min(coalesce(volume, 0) * coalesce(low, 0)) AS least FROM (SELECT * FROM {BARS(DAY)} WHERE ts <= {NOW} - 86400 QUALIFY row_number() OVER (PARTITION BY ticker, exchange ORDER BY ts DESC) <= 27) GROUP BY 1, 2)")
+def tier_kept(spark, sf_dir):
+    """Pairs with too few bars keep their tier."""
+    current = last_rows(spark, sf_dir).where("exchange <> 'okx'").select("ticker", "exchange", F.lit("HIGH").alias("tier"))
+    return liquidity.tier(bars(spark, sf_dir), NOW, DAY, 27, 20.0, current).select("ticker", "exchange", "tier")
+
+
 @query(f"SELECT ticker, exchange, round(min(volume * low), 2) AS min_volume_usd FROM (SELECT * FROM {BARS(DAY)} WHERE ts <= {NOW} - 86400 QUALIFY row_number() OVER (PARTITION BY ticker, exchange ORDER BY ts DESC) <= 7) GROUP BY 1, 2")
 def min7d_volume(spark, sf_dir):
     return liquidity.min_volume_usd(bars(spark, sf_dir), NOW, DAY)
@@ -222,6 +212,13 @@ def vitality(spark, sf_dir):
     return liquidity.vitality(stats).select("ticker", "exchange", F.col("raw").alias("tpm"), "score", "grade")
 
 
+@query(f"SELECT key, score, CASE WHEN score >= 8 THEN 'A' WHEN score >= 6 THEN 'B' WHEN score >= 4 THEN 'C' WHEN score >= 2 THEN 'D' ELSE 'F' END AS grade FROM (SELECT key, CASE WHEN key % 9 = 0 THEN 0.0 ELSE CASE WHEN key % 150 >= 120 THEN 4.0 WHEN key % 150 >= 45 THEN 3.0 WHEN key % 150 >= 15 THEN 2.0 WHEN key % 150 >= 3 THEN 1.0 ELSE 0.0 END + CASE WHEN total_usd >= 50000 THEN 3.0 WHEN total_usd >= 10000 THEN 2.0 WHEN total_usd >= 1000 THEN 1.0 ELSE 0.0 END + CASE WHEN spread_pct < 0.1 THEN 3.0 WHEN spread_pct < 0.3 THEN 2.0 WHEN spread_pct < 1.0 THEN 1.0 ELSE 0.0 END END AS score FROM {BOOK})")
+def book_vitality(spark, sf_dir):
+    """Scores of books by their own depth and spread; those with one side only have neither."""
+    books = liquidity.book(levels(spark, sf_dir)).withColumnRenamed("total_usd", "total_depth_usd").withColumn("tpm", F.col("key") % 150).withColumn("barcode", F.col("key") % 9 == 0)
+    return liquidity.vitality(books).select("key", "score", "grade")
+
+
 @query(f"SELECT ticker, exchange, round(greatest(0.0, least(1.0, tpm * 200 / 120.0)), 6) AS tpm_score, round(CASE WHEN abs(cvd) > 0 THEN greatest(0.0, least(1.0, (log10(abs(cvd)) - log10(1000.0)) / (log10(50000.0) - log10(1000.0)))) ELSE 0.0 END, 6) AS depth_score, CASE WHEN buy_pct / 4 <= 5 THEN 1.0 WHEN buy_pct / 4 >= 15 THEN 0.0 ELSE round((15 - buy_pct / 4) / 10, 6) END AS spread_score FROM {STATS}")
 def health_scores(spark, sf_dir):
     return tape_stats(spark, sf_dir).select("ticker", "exchange", F.round(S.score_tpm(F.col("tpm") * 200), 6).alias("tpm_score"), F.round(S.score_log(F.abs("cvd"), 1000.0, 50000.0), 6).alias("depth_score"), F.round(S.score_spread(F.col("buy_pct") / 4), 6).alias("spread_score"))
@@ -313,18 +310,6 @@ def prepump_filter(spark, sf_dir):
     return pumps.prepump(events(spark, sf_dir), 1.0)
 
 
-THRESHOLDS = (4.0, 8.0, 12.0, 20.0)
-
-
-@query(" UNION ALL ".join(f"SELECT {t} AS threshold, count(*) AS n, count(DISTINCT base) AS coins FROM {PUMPS(ratio=t)}" for t in THRESHOLDS))
-def pump_thresholds(spark, sf_dir):
-    out = None
-    for t in THRESHOLDS:
-        one = events(spark, sf_dir, pumps.Scan(ratio=t)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("base").alias("coins")).select(F.lit(t).alias("threshold"), "n", "coins")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 SUMMARY = "base, min(pump_pct) AS min_pump_pct, max(pump_pct) AS max_pump_pct, min(peak_ts) AS peak_ts_min, max(peak_ts) AS peak_ts_max, min(min_price) AS min_price, max(peak_price) AS peak_price, max(pre_max) AS pre_max, string_agg(DISTINCT exchange, ',' ORDER BY exchange) AS exchanges, count(DISTINCT exchange) AS n_exchanges"
 
 
@@ -347,82 +332,6 @@ def pumps_by_day(spark, sf_dir):
 DAYS = f"(SELECT base, peak_ts // 86400 AS day, max(pump_pct) AS pump_pct FROM {PUMPS()} GROUP BY 1, 2)"
 
 
-@query(f"SELECT CAST((day + 3) % 7 AS INTEGER) AS weekday, count(*) AS n FROM {DAYS} GROUP BY 1")
-def pump_by_weekday(spark, sf_dir):
-    return pumps.by_day(events(spark, sf_dir)).groupBy(F.weekday(F.date_from_unix_date(F.col("day").cast("int"))).alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
-
-
-AGES = ((7, "<=7"), (14, "<=14"), (21, "<=21"))
-
-
-@query(f"SELECT CASE {' '.join(f'WHEN age <= {d} THEN {chr(39)}{n}{chr(39)}' for d, n in AGES)} ELSE '>21' END AS age, count(*) AS n FROM (SELECT ({NOW} - peak_ts) / 86400.0 AS age FROM {PUMPS()}) GROUP BY 1")
-def pump_age_buckets(spark, sf_dir):
-    age = (F.lit(NOW) - F.col("peak_ts")) / 86400.0
-    return events(spark, sf_dir).groupBy(F.when(age <= 7, "<=7").when(age <= 14, "<=14").when(age <= 21, "<=21").otherwise(">21").alias("age")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT exchange, count(*) FILTER (WHERE d = 0) AS day_0, count(*) FILTER (WHERE d = 1) AS day_1, count(*) FILTER (WHERE d = 2) AS day_2 FROM (SELECT exchange, peak_ts // 86400 % 3 AS d FROM {PUMPS()}) GROUP BY 1")
-def pump_pivot(spark, sf_dir):
-    df = events(spark, sf_dir).withColumn("d", F.floor(F.col("peak_ts") / 86400) % 3)
-    out = df.groupBy("exchange").pivot("d", [0, 1, 2]).agg(F.count(F.lit(1)))
-    return out.select("exchange", *(F.coalesce(str(i), F.lit(0)).alias(f"day_{i}") for i in range(3)))
-
-
-@query(f"SELECT count(*) AS n, min(pump_pct) AS least, round(quantile_cont(pump_pct, 0.1), 6) AS p10, round(quantile_cont(pump_pct, 0.5), 6) AS p50, round(quantile_cont(pump_pct, 0.9), 6) AS p90, max(pump_pct) AS most FROM {DAYS}")
-def pump_size_percentiles(spark, sf_dir):
-    p = lambda q: F.round(F.percentile("pump_pct", q), 6)
-    return pumps.by_day(events(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"), F.min("pump_pct").alias("least"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.max("pump_pct").alias("most"))
-
-
-@query(f"SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cumulative FROM (SELECT CAST(floor(pump_pct / 500) AS BIGINT) AS bin, count(*) AS n FROM {DAYS} GROUP BY 1)")
-def pump_size_hist(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    hist = pumps.by_day(events(spark, sf_dir)).groupBy(F.floor(F.col("pump_pct") / 500).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return hist.withColumn("cumulative", F.sum("n").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)))  # one row a bin
-
-
-KEYS = "SELECT DISTINCT base, peak_ts // 86400 AS day FROM "
-
-
-def _keys(df):
-    return df.select("base", F.floor(F.col("peak_ts") / 86400).alias("day"))
-
-
-@query(f"{KEYS}{PUMPS()} INTERSECT {KEYS}{PUMPS('low', 'high')}")
-def source_intersect(spark, sf_dir):
-    return _keys(events(spark, sf_dir)).intersect(_keys(events(spark, sf_dir, WICK)))
-
-
-@query(f"{KEYS}{PUMPS('low', 'high')} EXCEPT {KEYS}{PUMPS()}")
-def source_except(spark, sf_dir):
-    return _keys(events(spark, sf_dir, WICK)).subtract(_keys(events(spark, sf_dir)))
-
-
-@query(f"WITH c AS ({KEYS}{PUMPS()}), w AS ({KEYS}{PUMPS('low', 'high')}) SELECT w.base, w.day, count(*) AS near FROM w JOIN c ON w.base = c.base AND abs(w.day - c.day) <= 3 GROUP BY 1, 2")
-def wick_nearby(spark, sf_dir):
-    w, c = _keys(events(spark, sf_dir, WICK)).distinct(), _keys(events(spark, sf_dir)).distinct().withColumnRenamed("day", "other")
-    return w.join(c, "base").where(F.abs(F.col("day") - F.col("other")) <= 3).groupBy("base", "day").agg(F.count(F.lit(1)).alias("near"))
-
-
-SHARED = f"(SELECT DISTINCT base, peak_ts // 86400 AS day, exchange FROM {PUMPS()})"
-
-
-@query(f"SELECT exchange, count(*) AS pumps, count(*) FILTER (WHERE width = 1) AS solo, count(*) FILTER (WHERE width > 1) AS shared, list_sort(list(pct))[count(*) // 2 + 1] AS median_pct FROM (SELECT base, peak_ts // 86400 AS day, exchange, max(pump_pct) AS pct, count(*) OVER (PARTITION BY base, peak_ts // 86400) AS width FROM {PUMPS()} GROUP BY 1, 2, 3) GROUP BY 1")
-def exchange_stats(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    one = events(spark, sf_dir).groupBy("base", F.floor(F.col("peak_ts") / 86400).alias("day"), "exchange").agg(F.max("pump_pct").alias("pct"))
-    one = one.withColumn("width", F.count(F.lit(1)).over(W.partitionBy("base", "day")))
-    return one.groupBy("exchange").agg(F.count(F.lit(1)).alias("pumps"), F.count_if(F.col("width") == 1).alias("solo"), F.count_if(F.col("width") > 1).alias("shared"), F.expr("element_at(sort_array(collect_list(pct)), cast(count(1) div 2 as int) + 1)").alias("median_pct"))
-
-
-@query(f"SELECT a.exchange AS one, b.exchange AS two, count(*) AS n FROM {SHARED} a JOIN {SHARED} b ON a.base = b.base AND a.day = b.day AND a.exchange < b.exchange GROUP BY 1, 2")
-def exchange_pairs(spark, sf_dir):
-    a = events(spark, sf_dir).select("base", F.floor(F.col("peak_ts") / 86400).alias("day"), F.col("exchange").alias("one")).distinct()
-    return a.join(a.withColumnRenamed("one", "two"), ["base", "day"]).where("one < two").groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"SELECT ticker, exchange, close, low, CASE WHEN close > 0 AND low > 0 THEN round((close - low) / low * 100, 6) END AS growth_pct FROM (SELECT ticker, exchange, arg_max(close, ts) AS close, min(low) FILTER (WHERE ts >= {NOW} - 864000) AS low FROM {BARS(DAY)} GROUP BY 1, 2)")
 def growth(spark, sf_dir):
     return summary.growth(bars(spark, sf_dir), NOW, 10)
@@ -453,33 +362,36 @@ def summary_counts(spark, sf_dir):
     return last_rows(spark, sf_dir).groupBy("exchange").agg(F.count(F.lit(1)).alias("tables"), F.count_if(S.is_perp(F.col("ticker"))).alias("perps"), F.sum("bars").alias("bars"), F.max("last_ts").alias("newest"))
 
 
-@query(f"SELECT ticker, exchange, CASE WHEN hole <= 20 THEN last_ts - 900 ELSE {NOW} - 3600 END AS since, CASE WHEN hole <= 20 THEN hole + 4 ELSE 5 END AS want FROM (SELECT *, greatest(0, ({NOW} - last_ts) // 900) AS hole FROM {LAST})")
+def _with_empty(rows):
+    """One pair without bars beside the stored ones."""
+    return rows.unionByName(rows.sparkSession.sql("SELECT 'EMPTY/USDT' AS ticker, 'okx' AS exchange, 0L AS bars, CAST(NULL AS LONG) AS last_ts"))
+
+
+@query(f"SELECT ticker, exchange, CASE WHEN hole <= 20 THEN last_ts - 900 ELSE {NOW} - 3600 END AS since, CASE WHEN hole <= 20 THEN hole + 4 ELSE 5 END AS want FROM (SELECT *, greatest(0, ({NOW} - last_ts) // 900) AS hole FROM {LAST}) UNION ALL SELECT 'EMPTY/USDT', 'okx', {NOW} - 3600, 5")
 def lane_anchor(spark, sf_dir):
-    hole = F.greatest(F.lit(0), F.floor((F.lit(NOW) - F.col("last_ts")) / 900))
-    near = hole <= 20
-    return last_rows(spark, sf_dir).select("ticker", "exchange", F.when(near, F.col("last_ts") - 900).otherwise(F.lit(NOW - 3600)).cast("long").alias("since"), F.when(near, hole + 4).otherwise(5).cast("long").alias("want"))
+    since, want = candles.lane_start(F.col("last_ts"), NOW, QUARTER, most=20)
+    return _with_empty(last_rows(spark, sf_dir)).select("ticker", "exchange", since.alias("since"), want.alias("want"))
+
 
+PAGE_FLOOR = NOW - 20 * DAY
 
-@query(f"SELECT ticker, exchange, oldest > {NOW} - 30 * 86400 + 1800 AS needed, CASE WHEN greatest(oldest * 1000 - 300 * 900000, CAST({NOW} - 30 * 86400 AS BIGINT) * 1000) < oldest * 1000 THEN greatest(oldest * 1000 - 300 * 900000, CAST({NOW} - 30 * 86400 AS BIGINT) * 1000) END AS since_ms FROM (SELECT ticker, exchange, min(ts) AS oldest FROM {BARS(QUARTER)} GROUP BY 1, 2)")
+
+@query(f"SELECT ticker, exchange, coalesce(oldest > {PAGE_FLOOR} + 1800, false) AS needed, CASE WHEN f < oldest OR f IS NULL THEN CASE WHEN since < oldest * 1000 THEN since END END AS since_ms FROM (SELECT *, greatest(oldest * 1000 - 300 * 900000, f * 1000, CAST({PAGE_FLOOR} AS BIGINT) * 1000) AS since FROM (SELECT *, CASE exchange WHEN 'gateio' THEN CAST({NOW} - 9900 * 900 AS BIGINT) END AS f FROM (SELECT ticker, exchange, min(ts) + (CASE WHEN exchange = 'okx' THEN 864000 ELSE 0 END) AS oldest FROM {BARS(QUARTER)} GROUP BY 1, 2)))")
 def prefill_plan(spark, sf_dir):
     b = bars(spark, sf_dir, QUARTER).groupBy("ticker", "exchange").agg(F.min("ts").alias("oldest"))
-    floor = NOW - 30 * DAY
-    since = F.greatest(F.col("oldest") * 1000 - 300 * 900_000, F.lit(floor * 1000))
-    return b.select("ticker", "exchange", (F.col("oldest") > floor + 1800).alias("needed"), F.when(since < F.col("oldest") * 1000, since).alias("since_ms"))
+    b = b.withColumn("oldest", F.col("oldest") + F.when(F.col("exchange") == "okx", 864_000).otherwise(0))
+    floor = S.lookback_floor(F.col("exchange"), NOW, QUARTER)
+    return b.select("ticker", "exchange", candles.prefill_needed(F.col("oldest"), PAGE_FLOOR).alias("needed"), candles.prefill_since(F.col("oldest"), QUARTER, 300, floor, PAGE_FLOOR).alias("since_ms"))
 
 
-@query(f"SELECT count(*) AS watched, count(*) FILTER (WHERE {NOW} - last_ts < 7200) AS served, {NOW} - max(last_ts) AS idle, count(*) FILTER (WHERE bars > 100) AS deep FROM {LAST}")
-def lane_pulse(spark, sf_dir):
-    return last_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("watched"), F.count_if(F.lit(NOW) - F.col("last_ts") < 7200).alias("served"), (F.lit(NOW) - F.max("last_ts")).alias("idle"), F.count_if(F.col("bars") > 100).alias("deep"))
+WATCH = f"(SELECT ticker, exchange, last_ts AS updated, CASE WHEN bars % 3 <> 0 THEN last_ts - 1000 END AS served, CASE WHEN bars % 2 = 0 THEN last_ts - 500 END AS served_15m, CAST(NULL AS BIGINT) AS served_1d FROM {LAST})"
 
 
-@query(f"SELECT * FROM {BARS(QUARTER)}")
-def stream_candles(spark, sf_dir):
-    """The bars of an event stream, run to its end in complete mode."""
-    name = f"stream_candles_{abs(hash(sf_dir)) % 10**8}"
-    run = live.bars(tables.replay(spark, sf_dir), QUARTER).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+@query(f"SELECT count(*) AS watched, count(*) FILTER (WHERE served > {NOW} - 7200) AS served, {NOW} - max(served) AS idle, count(*) FILTER (WHERE served_15m > {NOW} - 7200) AS served_15m, count(*) FILTER (WHERE served_1d > {NOW} - 7200) AS served_1d, {NOW} - max(served_15m) AS idle_15m, {NOW} - max(served_1d) AS idle_1d FROM {WATCH} WHERE updated > {NOW} - 20000")
+def lane_pulse(spark, sf_dir):
+    last = last_rows(spark, sf_dir)
+    watch = last.select("ticker", "exchange", F.col("last_ts").alias("updated"), F.when(F.col("bars") % 3 != 0, F.col("last_ts") - 1000).alias("served"), F.when(F.col("bars") % 2 == 0, F.col("last_ts") - 500).alias("served_15m"), F.lit(None).cast("long").alias("served_1d"))
+    return candles.pulse(watch, NOW, 7200, 20_000)
 
 
 def _case(templates):
@@ -522,12 +434,13 @@ def shown_values(spark, sf_dir):
     return rows.select("o_orderkey", D.usd(v).alias("usd"), D.usd_compact(v).alias("compact"), D.price(v / 977).alias("price"), D.eta(seconds.cast("double")).alias("eta"), D.stamp(1700000000 + seconds * 977, 3).alias("stamp"))
 
 
-@query(f"SELECT ticker, exchange, count(*) AS n, min(ts) AS first_ts, arg_max(close, ts) AS last_close, count(*) FILTER (WHERE close >= open) AS ups, round(sum(volume), 2) AS volume FROM {BARS(QUARTER)} GROUP BY 1, 2")
+@query(f"SELECT ticker, exchange, count(*) AS n, min(ts) AS first_ts, arg_max(close, ts) AS last_close, round(sum(open), 2) AS opens, round(sum(high), 2) AS highs, round(sum(low), 2) AS lows, round(sum(close), 2) AS closes, count(*) FILTER (WHERE close >= open) AS ups, round(sum(volume), 2) AS volume FROM {BARS(QUARTER)} GROUP BY 1, 2")
 def compact_candles(spark, sf_dir):
     made = lanes.compact_series(bars(spark, sf_dir, QUARTER))
+    total = lambda i, of="candles": F.round(F.aggregate(of, F.lit(0.0), lambda a, x: a + x[i]), 2)
     return made.select(
         "ticker", "exchange", F.size("candles").cast("long").alias("n"), F.col("candles")[0][0].cast("long").alias("first_ts"), F.element_at(F.element_at("candles", -1), 5).alias("last_close"),
-        F.size(F.filter("volumes", lambda x: x[2] > 0)).cast("long").alias("ups"), F.round(F.aggregate("volumes", F.lit(0.0), lambda a, x: a + x[1]), 2).alias("volume"),
+        *(total(i).alias(x) for i, x in enumerate(("opens", "highs", "lows", "closes"), 1)), F.size(F.filter("volumes", lambda x: x[2] > 0)).cast("long").alias("ups"), total(1, "volumes").alias("volume"),
     )
 
 
@@ -584,21 +497,3 @@ def scan_funnel(spark, sf_dir):
     reason = lanes.scan_reason(F.col("base") == "SIGNUP", NOW, 0.9, 14.0, NOW - 25 * DAY)
     histories = bars(spark, sf_dir).groupBy("ticker", "exchange").agg(F.count(F.lit(1)).alias("bars"))
     return lanes.funnel(histories, events(spark, sf_dir).withColumn("reason", reason), 28)
-
-
-@query(f"WITH RECURSIVE e AS (SELECT ticker, exchange, t FROM {TAPE}), r AS (SELECT ticker, exchange, min(t) AS t FROM e GROUP BY 1, 2 UNION ALL SELECT e.ticker, e.exchange, min(e.t) FROM r JOIN e ON r.ticker = e.ticker AND r.exchange = e.exchange AND e.t >= r.t + 43200000000 GROUP BY 1, 2) SELECT ticker, exchange, t FROM r")
-def stream_cooldown(spark, sf_dir):
-    """Trades that pass a cooldown of twelve hours a pair, over a stream run to its end."""
-    name = f"stream_cooldown_{abs(hash(sf_dir)) % 10**8}"
-    trades = tables.trades(tables.replay(spark, sf_dir)).select("ticker", "exchange", "t", F.timestamp_micros("t").alias("event_time"))
-    passed = live.latch(trades.withWatermark("event_time", "1 hour"), ["ticker", "exchange"], 43_200).select("ticker", "exchange", "t")
-    passed.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_oracle)

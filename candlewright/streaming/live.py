@@ -1,13 +1,37 @@
-"""Streams: watermarked bars, bars upserted by micro-batch, newest tick a pair."""
+"""Streams: watermarked bars, bars upserted by micro-batch, newest ticks, trailing tape windows, watch lists, cooldowns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.series import PAIR, upsert
+from ..operators.series import PAIR, by_pair, upsert
 from ..sources.tables import trades
+from ..storage import children, delete, fresh_path
+
+
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there and returns its rows from the shared folder, not through the driver.
+
+    A micro-batch is a folder of its own, so one that runs again replaces itself.  In complete mode a batch has all rows
+    so far: it replaces the one before, which is deleted.
+    """
+    spark = stream.sparkSession
+    path = fresh_path(spark, "stream")
+    done: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        folder = f"{path}/rows/{number}"
+        batch.write.mode("overwrite").parquet(folder)
+        if mode == "complete":
+            for old in done:
+                delete(spark, old)
+            done.clear()
+        done.append(folder)
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*done) if done else spark.createDataFrame([], stream.schema)
 
 
 def bars(stream: DataFrame, step: int, late: str = "1 hour") -> DataFrame:
@@ -22,15 +46,35 @@ def bars(stream: DataFrame, step: int, late: str = "1 hour") -> DataFrame:
     return out.select(*PAIR, F.unix_seconds("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str, step: int) -> StreamingQuery:
-    """Bars written by micro-batch: buckets that come again are replaced, others survive. A batch goes to a new version."""
+def opened_at_close(bars: DataFrame) -> DataFrame:
+    """Live bars: each opens at the close of the one before, and its range includes that; the first keeps its own open."""
+    before = F.coalesce(F.lag("close").over(by_pair()), F.col("open"))
+    out = bars.withColumn("open", before)
+    return out.withColumn("high", F.greatest("high", "open")).withColumn("low", F.least("low", "open"))
+
+
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, step: int, folder_sec: int = 86_400) -> StreamingQuery:
+    """Bars written by micro-batch: buckets that come again are replaced, others survive.
+
+    Bars lie in folders by time; a batch reads and rewrites only the folders that it touches.  They are written aside
+    first and then swapped in, so a batch that fails half-way runs again on what was there.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.withColumn("folder", F.floor(F.col("ts") / folder_sec).cast("long")).persist()
+        touched = sorted(r.folder for r in batch.select("folder").distinct().collect())  # the batch's days
+        there = {x for x in children(spark, path) if x.startswith("folder=")}
         merged = batch
-        if number:
-            merged = upsert(spark.read.parquet(f"{path}/v{number - 1}"), batch, step)
-        merged.write.mode("overwrite").parquet(f"{path}/v{number}")
+        old = [f"{path}/folder={n}" for n in touched if f"folder={n}" in there]
+        if old:
+            stored = spark.read.option("basePath", path).schema(batch.schema).parquet(*old)
+            merged = upsert(stored, batch, step)
+        aside = f"{path}-aside"
+        merged.write.mode("overwrite").parquet(aside)
+        spark.read.schema(merged.schema).parquet(aside).write.mode("overwrite").partitionBy("folder").option("partitionOverwriteMode", "dynamic").parquet(path)
+        delete(spark, aside)
+        batch.unpersist()
 
     return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -41,11 +85,69 @@ def newest_ticks(stream: DataFrame, stale_sec: int = 30) -> DataFrame:
     return tape.groupBy(*PAIR).agg(F.max_by("price", F.struct("t", "event_id")).alias("price"), F.max("t").alias("t"))
 
 
+def newest_version(spark: SparkSession, path: str) -> str | None:
+    found = [int(x[1:]) for x in children(spark, path) if x[:1] == "v" and x[1:].isdigit()]
+    return f"{path}/v{max(found)}" if found else None
+
+
+def keyed_upsert(rows: DataFrame, path: str, number: int, key: list[str], at: str, now: int, ttl: int) -> None:
+    """One row a key, the newest by `at`; rows that are older than four times the TTL at `now` are deleted.
+
+    A table of the pairs that are watched.  A version is written whole under its number and the one before it stays, so
+    a reader always finds one, and a write that is repeated gives the same.
+    """
+    spark = rows.sparkSession
+    before = [x for x in children(spark, path) if x[:1] == "v" and int(x[1:]) < number]
+    last = max(before, key=lambda x: int(x[1:]), default=None)
+    if last:
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/{last}").unionByName(rows)
+    rest = [x for x in rows.columns if x not in key]
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), at).alias("r")).select(*key, "r.*")
+    newest.where(F.col(at) >= now - 4 * ttl).coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number}")
+    for x in before:
+        if x != last:
+            delete(spark, f"{path}/{x}")
+
+
+def tick_sink(stream: DataFrame, path: str, checkpoint: str, now_us: int, ttl_us: int) -> StreamingQuery:
+    """Newest ticks kept as a keyed table (keyed_upsert) of the versions that micro-batches write."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        keyed_upsert(batch, path, number, PAIR, "t", now_us, ttl_us)
+
+    return newest_ticks(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_rows(ticks: DataFrame, now_us: int, stale_us: int = 30_000_000) -> DataFrame:
+    """Ticks with their age in seconds and whether they are stale."""
+    return ticks.withColumn("age", (F.lit(now_us) - F.col("t")) / 1e6).withColumn("stale", F.lit(now_us) - F.col("t") > stale_us)
+
+
+def trailing(stream: DataFrame, window_sec: int = 300, every_sec: int = 60, late: str = "1 hour") -> DataFrame:
+    """(pair, end, trades a minute, signed flow) of the window before each step, from windows that overlap."""
+    tape = trades(stream.withWatermark("event_time", late).withColumn("ts", F.col("event_time"))).withColumn("event_time", F.timestamp_micros("t"))
+    money = (F.col("price") * F.col("amount")).cast("decimal(18,4)")
+    signed = F.when(F.col("side") == "buy", money).when(F.col("side") == "sell", -money).otherwise(F.lit(0).cast("decimal(18,4)"))
+    out = tape.groupBy(*PAIR, F.window("event_time", f"{window_sec} seconds", f"{every_sec} seconds").alias("w")).agg((F.count(F.lit(1)) / (window_sec / 60.0)).alias("tpm"), F.sum(signed).cast("double").alias("cvd"))
+    return out.select(*PAIR, F.unix_seconds("w.end").alias("end"), "tpm", "cvd")
+
+
+def watch_list(stream: DataFrame, ttl_sec: int, late: str = "1 hour") -> DataFrame:
+    """(pair, first, expires, beats): times that a pair is on the list; each publication keeps it there for the TTL.
+
+    Session windows: state is one row a pair on the list, dropped once the watermark is past its end.
+    """
+    tape = trades(stream.withWatermark("event_time", late).withColumn("ts", F.col("event_time"))).withColumn("event_time", F.timestamp_micros("t"))
+    out = tape.groupBy(*PAIR, F.session_window("event_time", f"{ttl_sec} seconds").alias("w")).agg(F.count(F.lit(1)).alias("beats"))
+    return out.select(*PAIR, F.unix_micros("w.start").alias("first"), F.unix_micros("w.end").alias("expires"), "beats")
+
+
 def latch(stream: DataFrame, key: list[str], wait_sec: int, time: str = "t") -> DataFrame:
     """Events that pass a cooldown: the first of a key, then the first at least `wait_sec` after the last that passed.
 
     time: microseconds; the stream has a watermark.  The state of a key is one number; it expires once the watermark
-    is beyond the wait, when any event would pass anyway.  Within a micro-batch events count in order of time.
+    is beyond the wait, when any event would pass anyway.  Within a micro-batch events count in order of time, so
+    a key's rows of one micro-batch are held; bound them by the source's trigger.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
