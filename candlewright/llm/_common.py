@@ -1,18 +1,22 @@
 """What the training-data operators share: shared-folder tables, packed rows, text blocks.
 
 Large intermediate relations (one row per shingle, anchor or token) travel as *packed rows*: a bucket
-number and a zstd-compressed bundle of numpy arrays.  A task packs what it has found for a bucket, so that
+number and a zstd-compressed bundle of numpy arrays.  A task packs what it has found for a partition, so that
 a shuffle moves a few hundred bytes per hundred items, and a reducer handles one bucket at a time in
-bounded memory.  Bucket counts follow the input size.
+bounded memory.  Buckets follow the input size; partitions do so up to MOST.  Beyond it a partition has several
+buckets: what it received is split by bucket and sorted (Spark spills a sort), then taken bucket by bucket.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
 import pickle
+import re
 import tempfile
 import uuid
 import zipfile
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -21,12 +25,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, shared_dir
+
 NULL_ID = np.iinfo(np.int64).min  # stands for a null identifier inside packed rows
 FLUSH_BYTES = 16 << 20  # text gathered before a task combines what it found
 BLOCK_BYTES = 1 << 20  # text handled by one run of vectorised steps
 PACKED = "bucket int, kind int, data binary"
 
-_tables: dict[str, list[str]] = {}
+MOST = 16_384  # partitions of a shuffle of packed rows, however large the input
+
+_tables: dict[str, dict[str, list[str]]] = {}
+_owner = [""]
 _shipped: set[str] = set()
 
 
@@ -34,35 +43,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="candlewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, remembered for purge()."""
+    path = f"{shared_dir(spark)}/candlewright/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, {}).setdefault(_owner[-1], []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/candlewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(track(spark, path))
+    path = fresh(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def track(spark: SparkSession, path: str) -> str:
-    """Remembers a folder for purge()."""
-    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+@contextlib.contextmanager
+def owned(name: str):
+    """Tables that are written inside belong to an owner, whose purge() leaves all others alone."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
 
 
-def purge(spark: SparkSession) -> None:
-    """Delete the tables that materialise() wrote in this application; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    for path in _tables.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def purge(spark: SparkSession, owner: str = "") -> None:
+    """Delete an owner's tables; call it once results are stored.  An operator's result is lazy and reads its tables
+    when it is written, so only the caller knows when they can go; without an owner: those of operators called directly."""
+    for path in _tables.get(spark.sparkContext.applicationId, {}).pop(owner, []):
+        delete(spark, path)
+
+
+@contextlib.contextmanager
+def tables(spark: SparkSession):
+    """Deletes what operators that were called inside have written, once the caller has stored their results."""
+    name = uuid.uuid4().hex
+    with owned(name):
+        try:
+            yield
+        finally:
+            purge(spark, name)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -71,19 +92,47 @@ def prepare(spark: SparkSession) -> None:
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         package = Path(__file__).resolve().parent.parent
-        archive = Path(tempfile.mkdtemp(prefix="candlewright-"), "candlewright.zip")
+        archive = Path(tempfile.mkdtemp(prefix="candlewright-"), "candlewright.zip")  # read by the driver only, which serves it
         with zipfile.ZipFile(archive, "w") as out:
             for path in sorted(package.rglob("*.py")):
                 out.write(path, path.relative_to(package.parent))
         context.addPyFile(str(archive))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key))) > 16 << 20:
+        spark.conf.set(key, 16 << 20)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How items are dealt by a 64-bit key: to `parts` partitions, `subs` buckets in each."""
+
+    parts: int
+    subs: int = 1
+
+    def part(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) % np.uint64(self.parts)).astype(np.int32)
+
+    def sub(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) // np.uint64(self.parts)) % np.uint64(self.subs)).astype(np.int32)
+
+    def part_of(self, ids: np.ndarray) -> np.ndarray:
+        return self.part(spread(ids))
+
+
+def spread(ids: np.ndarray) -> np.ndarray:
+    """A key that deals identifiers evenly."""
+    return mix(np.asarray(ids).astype(np.int64, copy=False).view(np.uint64))
 
 
-def buckets(df: DataFrame, each: int, least: int = 1, by_session: bool = True) -> int:
-    """A bucket count for `each` bytes of stored input per bucket, by_session: at least the session's shuffle partitions."""
+def stored_bytes(df: DataFrame) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = 0 if size > 1 << 58 else size  # no statistics
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if by_session else 1, math.ceil(size / each))
+    return 0 if size > 1 << 58 else size  # no statistics
+
+
+def layout(df: DataFrame, each: int, least: int = 1, by_session: bool = True) -> Layout:
+    """Buckets for `each` bytes of stored input; by_session: at least the session's shuffle partitions."""
+    n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if by_session else 1, math.ceil(stored_bytes(df) / each))
+    return Layout(min(n, MOST), -(-n // MOST))
 
 
 def columns(df: DataFrame, **names: str) -> DataFrame:
@@ -91,17 +140,95 @@ def columns(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(df[f"`{column}`"].alias(name) for name, column in names.items()))
 
 
-def deal(df: DataFrame, n: int) -> DataFrame:
-    """Packed rows by bucket: bucket b goes to partition b, so that no partition gets several by chance."""
-    return df.repartitionById(n, F.col("bucket"))
+def deal(df: DataFrame, where: Layout, keys: dict | None = None) -> DataFrame:
+    """Packed rows by bucket: partition p gets the rows with bucket p, so that none gets several by chance.
+
+    With several buckets to a partition, the items of each row are split among them: keys has, by kind, a function of a
+    row's arrays (or of an Arrow batch) to the items' keys; a kind without one goes to the first bucket whole.
+    """
+    dealt = df.repartitionById(where.parts, F.col("bucket"))
+    if where.subs == 1:
+        return dealt
+    keys = keys or {}
+
+    def split(batches):
+        held, size = {}, 0
+
+        def flush():
+            out = Rows()
+            for (sub, kind), parts in held.items():
+                if isinstance(parts[0], pa.RecordBatch):
+                    data = pack_batch(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                else:
+                    data = pack(*(np.concatenate(x) for x in zip(*parts)))
+                out.add(sub, kind, data)
+                yield from out.batches(4 << 20)
+            yield from out.batches()
+            held.clear()
+
+        for _, kind, data in packed_rows(batches):
+            if kind not in keys:
+                yield from Rows.one(0, kind, data)
+                continue
+            of, whole = keys[kind]
+            items = unpack_batch(data) if whole else unpack(data)
+            sub = where.sub(of(items))
+            for b, at in split_by(sub, np.arange(len(sub))):
+                held.setdefault((b, kind), []).append(items.take(pa.array(at)) if whole else tuple(x[at] for x in items))
+            size += len(data)
+            if size >= FLUSH_BYTES:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    return dealt.mapInArrow(split, PACKED).sortWithinPartitions("bucket")
+
+
+def by_bucket(batches):
+    """(bucket, [(kind, data)]) of packed rows that come sorted by bucket, one bucket at a time."""
+    held, last = [], None
+    for bucket, kind, data in packed_rows(batches):
+        if held and bucket != last:
+            yield last, held
+            held = []
+        last = bucket
+        held.append((kind, data))
+    if held:
+        yield last, held
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    lo, hi = int(a.min()), int(a.max())
+    for kind in (np.int8, np.int16, np.int32):
+        if np.iinfo(kind).min <= lo and hi <= np.iinfo(kind).max:
+            return a.astype(kind)
+    return a
 
 
 def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+    """Arrays as compressed bytes; 64-bit integers go as they are or as differences, whichever is narrower."""
+    out = []
+    for a in arrays:
+        if isinstance(a, np.ndarray) and a.ndim == 1 and len(a) and a.dtype in (np.int64, np.uint64):
+            v = a.view(np.int64)
+            with np.errstate(over="ignore"):
+                plain, steps = _narrow(v), _narrow(np.diff(v, prepend=v[:1]))
+            out.append((a.dtype.str, 1, v[0], steps) if steps.itemsize < plain.itemsize else (a.dtype.str, 0, 0, plain))
+        else:
+            out.append((None, 0, 0, a))
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(out, 5))
 
 
 def unpack(data: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    out = []
+    for kind, steps, first, a in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
+        if kind:
+            a = a.astype(np.int64)
+            if steps:
+                a = np.cumsum(a) + first
+            a = a.view(kind)
+        out.append(a)
+    return tuple(out)
 
 
 class Rows:
@@ -116,6 +243,12 @@ class Rows:
         self.data.append(data)
         self.size += len(data)
 
+    @classmethod
+    def one(cls, bucket: int, kind: int, data: bytes):
+        out = cls()
+        out.add(bucket, kind, data)
+        yield from out.batches()
+
     def batches(self, least: int = 0):
         if self.bucket and self.size >= least:
             out = pa.record_batch([pa.array(self.bucket, pa.int32()), pa.array(self.kind, pa.int32()), pa.array(self.data, pa.binary())], ["bucket", "kind", "data"])
@@ -231,6 +364,12 @@ def words(text: np.ndarray, offsets: np.ndarray, lower: bool = True):
     return mix(np.add.reduceat(value, edges) + (ends - starts).astype(np.uint64)), starts, ends, doc
 
 
+def carried_row(df: DataFrame, id_col: str, carry: list[str] | None):
+    """struct<id, carried: struct of the carried columns>: names cannot clash with the operator's own."""
+    own = [F.struct(*(df[f"`{x}`"] for x in carry)).alias("carried")] if carry else []
+    return F.struct(df[f"`{id_col}`"].alias("id"), *own)
+
+
 def pack_batch(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -242,12 +381,12 @@ def unpack_batch(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_next_batch()
 
 
-def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
+def key_of_ids(batch: pa.RecordBatch) -> np.ndarray:
+    return spread(ids_of(batch.column("id")))
 
 
-def row_packs(rows: DataFrame, n: int, kind: int) -> DataFrame:
-    """Rows with an `id` column as compressed Arrow batches in n buckets by id: texts move once, packed."""
+def row_packs(rows: DataFrame, where: Layout, kind: int) -> DataFrame:
+    """Rows with an `id` column as compressed Arrow batches dealt by id: texts move once, packed."""
 
     def task(batches):
         held, size = [], 0
@@ -256,7 +395,7 @@ def row_packs(rows: DataFrame, n: int, kind: int) -> DataFrame:
             out = Rows()
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()
             for batch in whole:
-                for b, index in split_by(bucket_of(ids_of(batch.column("id")), n), np.arange(batch.num_rows)):
+                for b, index in split_by(where.part(key_of_ids(batch)), np.arange(batch.num_rows)):
                     out.add(b, kind, pack_batch(batch.take(pa.array(index))))
                     yield from out.batches(4 << 20)
             yield from out.batches()

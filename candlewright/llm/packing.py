@@ -69,7 +69,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     spark = docs.sparkSession
     c.prepare(spark)
     largest = max(lengths)
-    n = c.buckets(docs, 64 << 20)
+    n = c.layout(docs, 64 << 20).parts
     spaces = F.translate(F.coalesce(docs[f"`{text_col}`"], F.lit("")), " \t\n\x0b\f\r", " " * 6)
     sized = docs.select(docs[f"`{id_col}`"].alias("id"), F.monotonically_increasing_id().alias("rid"), F.size(F.array_remove(F.split(spaces, " "), "")).cast("long").alias("n"))
     pieces = sized.select("id", "rid", F.explode(F.expr(f"CASE WHEN n = 0 THEN array(named_struct('chunk', 0L, 'size', 0L)) ELSE transform(sequence(0L, (n - 1) div {largest}), i -> named_struct('chunk', i, 'size', least(n - i * {largest}, {largest}L))) END")).alias("p"))

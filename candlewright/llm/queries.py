@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, quality, warc
-from ._common import buckets, prepare, scratch_dir, table, track
+from ._common import fresh, prepare, table
 from .fingerprints import fingerprint_successors
 from .html_extract import extract
 from .minhash import near_components
@@ -65,8 +64,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     prepare(spark)
-    path = track(spark, f"{scratch_dir(spark)}/candlewright/warc-{uuid.uuid4().hex}")
-    warc.write_archives(warc.convert(warc.to_arc(pages)), path, buckets(pages, 16 << 20))
+    path = fresh(spark, "warc")
+    warc.write_archives(warc.convert(warc.to_arc(pages)), path)
     found = warc.read_archives(spark, path)
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
 
