@@ -5,15 +5,18 @@ Documents are linked where the Jaccard similarity of their sets of distinct `shi
 nothing).  Components of links are found for every document.
 
 1. Each document gets minima of `perms` hash functions.  Bands of `rows` minima give candidates; the low two
-   bits of each minimum are kept, packed, for the estimate.  Band count follows the threshold: a link at the
+   bits of each minimum are kept, packed into 64-bit words.  Band count follows the threshold: a link at the
    threshold is missed with probability `miss`.
-2. Equal sets are links at once, inside a task first, then by bucket; only one document of each set goes on.
-3. Band buckets give stars (member to least member), inside a task first.  Stars are not links: their
-   components (*clusters*) only bound where links can be, so all members of a cluster are compared.
-4. A cluster's texts meet in one task, where pairs that are not connected yet are screened by the
-   collision-corrected estimate from bit counts, then confirmed on full sets.  A large cluster is cut into blocks,
-   and each pair of blocks is a task.  A task gives a spanning forest of its links, never all pairs.
-5. Components of the forests and of the equal sets are the result.
+2. Documents with equal sets become one: at once where a task holds both sets, else as a pair to be confirmed.
+3. *Stars.*  The documents of a band bucket are paired with the one of them that shares most buckets with others (the
+   middle of a group of near copies), inside a task first, so that a bucket of very many documents meets elsewhere as
+   one document a task.
+4. Pairs are screened by the collision-corrected similarity that bit counts of the packed signatures give, then
+   confirmed on full sets: the most similar pair of each document first, then pairs that still join different components.
+5. *Rest.*  Documents of one bucket can be linked though neither is linked with its star's middle.  Where stars leave
+   several components that share buckets, all their documents outside the largest one are compared, by signatures,
+   with all others there, in bins of BIN documents; what the estimate lets through is confirmed as in 4.
+6. Components of all links are the result.
 
 Null texts are empty.  Rows of one identifier stand for one document (their links unite); a null identifier gets
 no links and is its own component (null).  Extra columns are ignored; an empty table gives an empty result.
@@ -26,6 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -33,8 +37,10 @@ from ._graph import components
 
 BITS = 2
 MARGIN = 5.0  # standard deviations below the threshold at which the estimate rules a pair out
-BLOCK = 2048  # documents of a block of a large cluster
-SIZES, LINKS, SETS, STARS, TEXTS, MEMBERS, JOINED = range(7)
+BIN = 256  # documents that a task of the rest compares with the others
+CHUNK = 4096  # others that it holds at once
+PARTNERS = 8  # of a document that the first round of the rest confirms; each round takes four times as many
+SIZES, LINKS, SAME, SETS, SIGNS, PAIRS, STARS, TEXTS, MEMBERS = range(9)
 
 
 class Plan:
@@ -48,14 +54,13 @@ class Plan:
         self.a = rng.integers(0, 1 << 32, self.perms, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, self.perms, dtype=np.uint64).astype(np.uint32)
         self.words = -(-self.perms * BITS // 64)
-        chance = 1 / (1 << BITS)
-        equal = threshold + (1 - threshold) * chance
-        self.least_equal = (equal - MARGIN * math.sqrt(equal * (1 - equal) / self.perms)) * self.perms
+        self.chance = 1 / (1 << BITS)  # that low bits of different minima are equal
+        equal = threshold + (1 - threshold) * self.chance
+        self.least = threshold - MARGIN * math.sqrt(equal * (1 - equal) / self.perms) / (1 - self.chance)
 
-    def similarity(self, equal):
-        """Collision-corrected estimate from the number of equal low parts."""
-        chance = 1 / (1 << BITS)
-        return (equal / self.perms - chance) / (1 - chance)
+    def similarity(self, one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Collision-corrected estimates from the bit counts of packed signatures."""
+        return (equal_parts(one, many, self.perms) / self.perms - self.chance) / (1 - self.chance)
 
 
 def shingles(text: np.ndarray, offsets: np.ndarray, k: int):
@@ -104,45 +109,34 @@ def signatures(shingle: np.ndarray, edges: np.ndarray, plan: Plan) -> tuple[np.n
 
 
 def equal_parts(one: np.ndarray, many: np.ndarray, perms: int) -> np.ndarray:
-    """Number of equal two-bit parts of a packed signature with each of many, by bit counts."""
+    """Number of equal two-bit parts of packed signatures, by bit counts."""
     differ = one ^ many
     differ = (differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)
-    return perms - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return perms - np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
 
 
-def _heads(key: np.ndarray, ids: np.ndarray):
-    """Rows sorted by key then identifier: (order, whether first of its key, index of the first)."""
-    order = np.lexsort((ids, *key.T) if key.ndim == 2 else (ids, key))
+def _heads(key: np.ndarray, ids: np.ndarray, weight: np.ndarray | None = None):
+    """Rows sorted by key, then greatest weight, then identifier: (order, whether first of its key, index of the first)."""
+    order = np.lexsort((ids, *(() if weight is None else (-weight,)), *(key.T if key.ndim == 2 else (key,))))
     k = key[order]
     head = np.ones(len(order), bool)
     head[1:] = (k[1:] != k[:-1]).any(axis=1) if key.ndim == 2 else k[1:] != k[:-1]
     return order, head, np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], low: np.ndarray, plan: Plan, num: int, den: int, side: np.ndarray | None = None):
-    """Spanning forest of the links among documents: pairs not yet connected are screened, then confirmed.
-
-    side: with two blocks (0, 1), only pairs across them are compared.
-    """
-    root = np.arange(len(ids))
-    size = np.array([len(s) for s in sets])
-    out = []
-    for i in range(len(ids)):
-        others = np.arange(i + 1, len(ids))
-        others = others[root[others] != root[i]]
-        if side is not None:
-            others = others[side[others] != side[i]]
-        others = others[(np.minimum(size[i], size[others]) * den >= num * np.maximum(size[i], size[others]))]
-        if len(others):
-            others = others[equal_parts(low[i], low[others], plan.perms) >= plan.least_equal]
-        for j in others:
-            if root[i] == root[j]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if den * both >= num * (size[i] + size[j] - both):
-                root[root == root[j]] = root[i]
-                out.append((ids[i], ids[j]))
-    return out
+def equal_sets(ids, digest, x, begin, count):
+    """Documents with equal sets, compared element by element: (rows of the first of each set, copies, their firsts)."""
+    order, head, first = _heads(digest, ids)
+    keep, copy, of = [], [], []
+    for at, is_head, f in zip(order.tolist(), head.tolist(), order[first].tolist()):
+        if is_head:
+            keep.append(at)
+        elif count[at] == count[f] and np.array_equal(x[begin[at] : begin[at] + count[at]], x[begin[f] : begin[f] + count[f]]):
+            copy.append(ids[at])
+            of.append(ids[f])
+        else:
+            keep.append(at)  # a digest of two sets
+    return np.array(keep, np.int64), np.array(copy, np.int64), np.array(of, np.int64)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -150,26 +144,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     c.prepare(spark)
     plan = Plan(num / den)
-    n = c.buckets(docs, 8 << 20)
+    where = c.layout(docs, 8 << 20)
     slim = c.columns(docs, id=id_col, text=text_col)
 
     def sketch(batches):
         held, size = [], 0
 
         def flush():
-            ids, count, digest, bands, low = (np.concatenate(x) for x in zip(*held))
+            ids, count, digest, bands, low, x = (np.concatenate(part) for part in zip(*held))
             out = c.Rows()
-            own = int(c.bucket_of(ids[:1], n)[0])  # any bucket will do for what only passes through
+            own = int(where.part_of(ids[:1])[0])  # any bucket will do for what only passes through
             out.add(own, SIZES, c.pack(ids, count))
-            use = (count > 0) & (ids != c.NULL_ID)
-            ids, digest, bands, low = ids[use], digest[use], bands[use], low[use]
-            order, head, first = _heads(digest, ids)
-            if len(order):
-                out.add(own, LINKS, c.pack(ids[order][first][~head], ids[order][~head]))
-                at = order[head]
-                for b, i, d, k, w in c.split_by((digest[at, 0] % np.uint64(n)).astype(np.int32), ids[at], digest[at], bands[at], low[at]):
-                    out.add(b, SETS, c.pack(i, d, k, w))
-                    yield from out.batches(1 << 20)
+            begin = np.cumsum(count) - count
+            use = np.flatnonzero((count > 0) & (ids != c.NULL_ID))
+            keep, copy, of = equal_sets(ids[use], digest[use], x, begin[use], count[use])
+            out.add(own, LINKS, c.pack(of, copy))
+            at = use[keep]
+            for b, d, e, i, k, w in c.split_by(where.part(digest[at, 0]), digest[at, 0], digest[at, 1], ids[at], bands[at], low[at]):
+                out.add(b, SETS, c.pack(d, e, i, k, w))
+                yield from out.batches(1 << 20)
             yield from out.batches()
 
         for ids, text, offsets in c.blocks(batches):
@@ -180,10 +173,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             digest = np.zeros((len(ids), 2), np.uint64)
             bands, low = np.zeros((len(ids), plan.bands), np.uint64), np.zeros((len(ids), plan.words), np.uint64)
             if len(edges):
-                digest[with_any, 0] = np.add.reduceat(x, edges)
+                digest[with_any, 0] = c.mix(np.add.reduceat(x, edges))
                 digest[with_any, 1] = np.add.reduceat(c.mix(x + np.uint64(99)), edges)
                 bands[with_any], low[with_any] = signatures(x, edges, plan)
-            held.append((ids, count, digest, bands, low))
+            held.append((ids, count, digest, bands, low, x))
             size += len(text) + 400 * len(ids)
             if size >= c.FLUSH_BYTES:
                 yield from flush()
@@ -191,42 +184,44 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield from flush()
 
-    def pass_on(bucket, kind, data):
-        return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["bucket", "kind", "data"])
-
     def settle(batches):
-        """Equal sets of a bucket become links; what is left goes to band buckets, equal keys joined first."""
-        held = []
-        for bucket, kind, data in c.packed_rows(batches):
-            if kind == SETS:
-                held.append(c.unpack(data))
-            else:
-                yield pass_on(bucket, kind, data)
-        if held:
-            ids, digest, bands, low = (np.concatenate(x) for x in zip(*held))
-            order, head, first = _heads(digest, ids)
+        """Of equal digests one goes on; local stars of equal band keys, of which the middles go to band buckets."""
+        for bucket, rows in c.by_bucket(batches):
+            held = []
+            for kind, data in rows:
+                if kind == SETS:
+                    held.append(c.unpack(data))
+                else:
+                    yield from c.Rows.one(bucket, kind, data)
+            if not held:
+                continue
+            d0, d1, ids, bands, low = (np.concatenate(x) for x in zip(*held))
+            order, head, first = _heads(np.stack([d0, d1], axis=1), ids)
             out = c.Rows()
-            out.add(0, LINKS, c.pack(ids[order][first][~head], ids[order][~head]))
+            out.add(bucket, SAME, c.pack(ids[order][first][~head], ids[order][~head]))
             at = order[head]
-            out.add(0, SETS, c.pack(ids[at], low[at]))
-            ids, bands = ids[at], bands[at]
-            key, who = bands.ravel(), np.repeat(ids, plan.bands)
-            order, head, first = _heads(key, who)
-            pair = np.unique(np.stack([who[order][first][~head], who[order][~head]], axis=1), axis=0)
-            out.add(0, JOINED, c.pack(pair[:, 0], pair[:, 1]))
-            key, who = key[order][head], who[order][head]
-            for b, k, i in c.split_by((key % np.uint64(n)).astype(np.int32), key, who):
-                out.add(b, STARS, c.pack(k, i))
+            ids, bands, low = ids[at], bands[at], low[at]
+            out.add(bucket, SIGNS, c.pack(ids, low))
+            key, who = bands.ravel(), np.repeat(np.arange(len(ids)), plan.bands)
+            _, group, size = np.unique(key, return_inverse=True, return_counts=True)
+            shared = np.bincount(who, size[group] - 1, minlength=len(ids)).astype(np.int64)
+            order, head, first = _heads(key, ids[who], shared[who])
+            k, w, f = key[order], who[order], who[order][first]
+            pair = np.unique(np.stack([ids[f[~head]], ids[w[~head]]], axis=1), axis=0)
+            out.add(bucket, PAIRS, c.pack(pair[:, 0], pair[:, 1]))
+            for b, *x in c.split_by(where.part(k[head]), k[head], ids[w[head]], size[group[order]][head]):
+                out.add(b, STARS, c.pack(*x))
                 yield from out.batches(1 << 20)
             yield from out.batches()
 
     def stars(batches):
-        held = [c.unpack(data) for _, _, data in c.packed_rows(batches)]
-        if held:
-            key, ids = (np.concatenate(x) for x in zip(*held))
-            order, head, first = _heads(key, ids)
-            pair = np.unique(np.stack([ids[order][first][~head], ids[order][~head]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["src", "dst"])
+        """Band keys that came from several buckets: (key, document, documents of the key)."""
+        for _, rows in c.by_bucket(batches):
+            key, ids, size = (np.concatenate(x) for x in zip(*(c.unpack(data) for _, data in rows)))
+            _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+            total = np.bincount(at, size).astype(np.int64)[at]
+            some = n[at] > 1
+            yield pa.record_batch([pa.array(key[some].view(np.int64)), pa.array(ids[some]), pa.array(total[some])], ["key", "id", "total"])
 
     def listed(batches):
         for _, _, data in c.packed_rows(batches):
@@ -236,94 +231,174 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def signed(batches):
         for _, _, data in c.packed_rows(batches):
             ids, low = c.unpack(data)
-            yield pa.record_batch([pa.array(ids, pa.int64())], ["node"])
-
-    settled = c.materialise(c.deal(slim.mapInArrow(sketch, c.PACKED), n).mapInArrow(settle, c.PACKED), "minhash-sets")
-    sizes = settled.where(F.col("kind") == SIZES).mapInArrow(listed, "a long, b long")
-    equal = settled.where(F.col("kind") == LINKS).mapInArrow(listed, "a long, b long").selectExpr("a src", "b dst")
-    joined = settled.where(F.col("kind") == JOINED).mapInArrow(listed, "a long, b long").selectExpr("a src", "b dst")
-    star = c.deal(settled.where(F.col("kind") == STARS), n).mapInArrow(stars, "src long, dst long").unionByName(joined)
-    cluster = components(star)
-    large = cluster.groupBy("component").count().selectExpr("component", f"cast(ceil(count / {BLOCK}) as int) blocks", "count").where(f"count > {2 * BLOCK}").drop("count")
-    place = cluster.join(large, "component", "left").selectExpr(
-        "node id", "component", "coalesce(blocks, 1) blocks", "cast(pmod(xxhash64(node), coalesce(blocks, 1)) as int) block"
-    )
-    # a member of block i goes to the block pairs (min(i, j), max(i, j)) of all j
-    place = place.select("id", "component", "block", F.expr("transform(sequence(0, blocks - 1), j -> least(block, j) * blocks + greatest(block, j))").alias("pairs"))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "low"])
+
+    def of_kind(kind, f=listed, schema="a long, b long"):
+        return settled.where(F.col("kind") == kind).mapInArrow(f, schema)
+
+    keys = {STARS: (lambda a: a[0], False), SETS: (lambda a: a[0], False), MEMBERS: (lambda a: c.spread(a[0]), False), TEXTS: (c.key_of_ids, True)}
+    settled = c.materialise(c.deal(slim.mapInArrow(sketch, c.PACKED), where, keys).mapInArrow(settle, c.PACKED), "minhash-sets")
+    sizes = of_kind(SIZES)
+    copies = of_kind(LINKS).selectExpr("a src", "b dst")
+    same = of_kind(SAME).selectExpr("least(a, b) src", "greatest(a, b) dst")
+    signs = c.materialise(of_kind(SIGNS, signed, "id long, low binary"), "minhash-signs")
+
+    met = c.materialise(c.deal(settled.where(F.col("kind") == STARS), where, keys).mapInArrow(stars, "key long, id long, total long"), "minhash-stars")
+    degree = met.groupBy("id").agg(F.sum("total").alias("degree"))
+    middle = met.hint("merge").join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("middle"))
+    across = met.hint("merge").join(middle, "key").where("id <> middle").selectExpr("least(id, middle) src", "greatest(id, middle) dst")
+    pairs = c.materialise(of_kind(PAIRS).selectExpr("least(a, b) src", "greatest(a, b) dst").unionByName(across).distinct(), "minhash-pairs")
+
+    def lows(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), plan.words)
+
+    def estimate(batches):
+        for batch in batches:
+            near = plan.similarity(lows(batch.column("low")), lows(batch.column("other")))
+            yield pa.record_batch([batch.column("src"), batch.column("dst"), pa.array(near)], ["src", "dst", "near"]).filter(pa.array(near >= plan.least))
+
+    both = pairs.hint("merge").join(signs.withColumnRenamed("id", "src"), "src").hint("merge").join(signs.selectExpr("id dst", "low other"), "dst")
+    passing = c.materialise(both.select("src", "dst", "low", "other").mapInArrow(estimate, "src long, dst long, near double"), "minhash-passing")
+
+    # texts of documents that any pair names, fetched once
+    named = pairs.unionByName(same).selectExpr("inline(array(struct(src id), struct(dst id)))").distinct()
 
     def address(batches):
         for batch in batches:
             out = c.Rows()
             ids = c.ids_of(batch.column("id"))
-            for b, at in c.split_by(c.bucket_of(ids, n), np.arange(len(ids))):
-                out.add(b, MEMBERS, c.pack_batch(batch.take(pa.array(at))))
+            for b, own in c.split_by(where.part_of(ids), ids):
+                out.add(b, MEMBERS, c.pack(own))
             yield from out.batches()
 
     def gather(batches):
-        """Texts of cluster members, to the tasks of their clusters."""
-        member, texts = [], []
-        for _, kind, data in c.packed_rows(batches):
-            (member if kind == MEMBERS else texts).append(data)
-        if not member:
-            return
-        rows = pa.Table.from_batches([c.unpack_batch(m) for m in member]).combine_chunks()
-        ids = rows.column("id").to_numpy()
-        order = np.argsort(ids)
-        ids, comp, block = ids[order], rows.column("component").to_numpy()[order], rows.column("block").to_numpy()[order]
-        pairs = rows.column("pairs").to_pylist()
-        out, seen = c.Rows(), set()
-        for data in texts:
-            batch = c.unpack_batch(data)
-            own = c.ids_of(batch.column("id"))
-            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            rows_, target, tag, comps, sides = [], [], [], [], []
-            for i in np.flatnonzero(ids[at] == own):
-                for pair in pairs[order[at[i]]]:
-                    rows_.append(i)
-                    target.append(int(comp[at[i]]) * 1_000_003 + pair)
-                    tag.append(pair)
-                    comps.append(comp[at[i]])
-                    sides.append(block[at[i]])
-            if rows_:
-                picked = pa.record_batch([batch.column("id").take(pa.array(rows_)), batch.column("text").take(pa.array(rows_)), pa.array(comps, pa.int64()), pa.array(tag, pa.int64()), pa.array(sides, pa.int32())], ["id", "text", "component", "pair", "block"])
-                hashed = c.bucket_of(np.array([t & (2**63 - 1) for t in target], np.int64), n)
-                for b, index in c.split_by(hashed, np.arange(len(rows_))):
-                    out.add(b, TEXTS, c.pack_batch(picked.take(pa.array(index))))
-                    yield from out.batches(4 << 20)
-        yield from out.batches()
-
-    def confirm(batches):
-        held = [c.unpack_batch(data) for _, _, data in c.packed_rows(batches)]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        key = np.stack([rows.column("component").to_numpy(), rows.column("pair").to_numpy()], axis=1)
-        order, head, _ = _heads(key, rows.column("id").to_numpy())
-        src, dst = [], []
-        for at in np.split(order, np.flatnonzero(head)[1:]):
-            if len(at) < 2:
+        for _, rows in c.by_bucket(batches):
+            wanted = [c.unpack(data)[0] for kind, data in rows if kind == MEMBERS]
+            if not wanted:
                 continue
-            part = rows.take(pa.array(at)).combine_chunks().to_batches()[0]
-            ids, block = c.ids_of(part.column("id")), part.column("block").to_numpy()
-            text, offsets = c.texts_of(part.column("text"))
-            x, doc = _distinct(*shingles(text, offsets, shingle))
-            count = np.bincount(doc, minlength=len(ids))
-            use = np.flatnonzero(count)
-            edges = (np.cumsum(count) - count)[use]
-            _, low = signatures(x, edges, plan)
-            sets = np.split(x, edges[1:])
-            side = block[use] if len(np.unique(block)) > 1 else None
-            for a, b in forest(ids[use], sets, low, plan, num, den, side):
-                src.append(a)
-                dst.append(b)
-        yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    members = place.mapInArrow(address, c.PACKED)
-    gathered = c.deal(members.unionByName(c.row_packs(slim, n, TEXTS)), n).mapInArrow(gather, c.PACKED)
-    links = c.deal(gathered, n).mapInArrow(confirm, "src long, dst long")
-    found = components(links.unionByName(equal))
+            wanted = np.concatenate(wanted)
+            for kind, data in rows:
+                if kind == TEXTS:
+                    batch = c.unpack_batch(data)
+                    found = batch.filter(pa.array(np.isin(c.ids_of(batch.column("id")), wanted)))
+                    if found.num_rows:
+                        yield found.select(["id", "text"])
+
+    dealt = c.deal(named.mapInArrow(address, c.PACKED).unionByName(c.row_packs(slim, where, TEXTS)), where, keys)
+    texts = c.materialise(dealt.mapInArrow(gather, "id long, text string"), "minhash-texts")
+
+    def compare(batches):
+        """Whether the full sets of pairs reach the threshold; a text that comes again in a part is taken apart once."""
+        for batch in batches:
+            sizes_ = [len(a or "") + len(b or "") for a, b in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist())]
+            part_of = np.cumsum(sizes_) // (2 * c.BLOCK_BYTES)
+            for lo, hi in zip(np.searchsorted(part_of, np.unique(part_of)), np.searchsorted(part_of, np.unique(part_of), "right")):
+                part = batch.slice(lo, hi - lo)
+                place: dict = {}
+                own = [[place.setdefault(t or "", len(place)) for t in part.column(x).to_pylist()] for x in ("text", "other")]
+                raw = [t.encode() for t in place]
+                x, doc = _distinct(*shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), shingle))
+                count = np.bincount(doc, minlength=len(raw))
+                sets = np.split(x, np.cumsum(count)[:-1])
+                linked = []
+                for i, j in zip(*own):
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    linked.append(bool(shared > 0 and den * shared >= num * (count[i] + count[j] - shared)))
+                yield pa.record_batch([part.column("src"), part.column("dst"), pa.array(linked, pa.bool_())], ["src", "dst", "linked"])
+
+    def confirmed(asked: DataFrame) -> DataFrame:
+        """(src, dst, linked) of pairs, on the full sets of their texts."""
+        full = asked.select("src", "dst").distinct().hint("merge").join(texts.withColumnRenamed("id", "src"), "src").hint("merge").join(texts.selectExpr("id dst", "text other"), "dst")
+        found = full.select("src", "dst", "text", "other").mapInArrow(compare, "src long, dst long, linked boolean")
+        return c.materialise(found.groupBy("src", "dst").agg(F.max("linked").alias("linked")), "minhash-confirmed")
+
+    def labelled(asked: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs with the components of their ends (a, b); a document without links is its own."""
+        out = asked
+        for end, name in (("src", "a"), ("dst", "b")):
+            out = out.hint("merge").join(label.selectExpr(f"node {end}", f"component {name}"), end, "left")
+        return out.withColumns({"a": F.coalesce("a", "src"), "b": F.coalesce("b", "dst")})
+
+    best = F.max_by(F.struct("src", "dst"), F.struct("near", -F.col("src"), -F.col("dst"))).alias("p")
+    nearest = passing.select("src", "dst", "near", F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(best).select("p.src", "p.dst")
+    checked = confirmed(nearest.unionByName(same))
+    label = components(checked.where("linked").select("src", "dst"))
+    left = labelled(passing.join(checked, ["src", "dst"], "left_anti"), label).where("a <> b")
+    checked = c.materialise(checked.unionByName(confirmed(left)), "minhash-checked")
+    label = components(checked.where("linked").select("src", "dst"))
+
+    # components that share buckets, without the pairs of documents that have been compared
+    open_ = c.materialise(labelled(pairs, label).where("a <> b"), "minhash-open")
+    clusters = components(open_.selectExpr("a src", "b dst"))
+    nodes = pairs.selectExpr("inline(array(struct(src id), struct(dst id)))").distinct()
+    partners = PARTNERS
+    while not clusters.isEmpty():
+        members = labelled(nodes.selectExpr("id src", "id dst"), label).selectExpr("src id", "a label")
+        members = c.materialise(members.hint("merge").join(clusters.selectExpr("node label0", "component cluster"), F.col("label") == F.col("label0")).select("id", "label", "cluster"), "minhash-members")
+        counts = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels"))
+        found = _rest(members, counts.where("size > 2 AND labels > 1"), signs, plan, lows, checked, partners)
+        if found.isEmpty():
+            break
+        checked = c.materialise(checked.unionByName(confirmed(found)), "minhash-checked")
+        label = components(checked.where("linked").select("src", "dst"))
+        open_ = labelled(open_.select("src", "dst"), label).where("a <> b")
+        clusters = components(open_.selectExpr("a src", "b dst"))
+        partners *= 4
+
+    found = components(checked.where("linked").select("src", "dst").unionByName(copies))
     return (
         sizes.selectExpr(f"nullif(a, {c.NULL_ID}) id", "b n_shingles")
         .join(found.withColumnRenamed("node", "id"), "id", "left")
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
     )
+
+
+def _rest(members: DataFrame, clusters: DataFrame, signs: DataFrame, plan: Plan, lows, checked: DataFrame, partners: int) -> DataFrame:
+    """Pairs (src, dst) to confirm of documents in different components of a cluster; none if all have been compared.
+
+    Each document outside its cluster's largest component is compared, by signatures, with every other document of the
+    cluster: documents are dealt to bins, and those outside go to every bin, CHUNK of them at a time.  A document's
+    `partners` most similar ones that pass the estimate and were not compared before go on; a bin gives as many more
+    as the document has been compared with, so the ones that are left out now come in a later round.
+    """
+    rows = members.hint("merge").join(clusters, "cluster").hint("merge").join(signs, "id")
+    rows = rows.withColumn("bins", F.ceil(F.col("size") / BIN).cast("int")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    rows = rows.withColumn("bin", F.expr("cast(pmod(xxhash64(id), bins) as int)")).withColumn("chunk", F.expr("cast(pmod(xxhash64(id, 1), chunks) as int)"))
+    tried = checked.selectExpr("inline(array(struct(src id), struct(dst id)))").groupBy("id").agg(F.count(F.lit(1)).alias("tried"))
+    outside = rows.where("label <> largest").hint("merge").join(tried, "id", "left").withColumn("most", F.coalesce("tried", F.lit(0)) + partners)
+    own = rows.select("cluster", "bin", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(0).cast("long").alias("most"), "id", "label", "low")
+    asks = outside.select("cluster", F.explode(F.expr("sequence(0, bins - 1)")).alias("bin"), "chunk", "most", "id", "label", "low")
+    spot = own.unionByName(asks).repartition("cluster", "bin", "chunk").sortWithinPartitions("cluster", "bin", "chunk")
+
+    def examined(held):
+        ids, labels, most, low = (np.concatenate(x) for x in zip(*held))
+        mine, out = most == 0, []
+        for at in np.flatnonzero(~mine):
+            near = np.where((labels[mine] != labels[at]), plan.similarity(low[at], low[mine]), -1.0)
+            some = np.flatnonzero(near >= plan.least)
+            some = some[np.lexsort((ids[mine][some], -near[some]))[: most[at]]]
+            other, own_id = ids[mine][some], np.full(len(some), ids[at])
+            out.append((np.minimum(other, own_id), np.maximum(other, own_id), near[some], own_id))
+        src, dst, near, who = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        return pa.record_batch([pa.array(src), pa.array(dst), pa.array(near), pa.array(who)], ["src", "dst", "near", "who"])
+
+    def screen(batches):
+        """Spots come one after the other; a spot holds BIN documents and up to CHUNK or so that ask."""
+        last, held = None, []
+        for batch in batches:
+            at = np.stack([batch.column(x).to_numpy() for x in ("cluster", "bin", "chunk")], axis=1).astype(np.int64)
+            columns = [batch.column(x).to_numpy() for x in ("id", "label", "most")] + [lows(batch.column("low"))]
+            cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, [len(at)]])
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo and last != tuple(at[lo]):
+                    if held:
+                        yield examined(held)
+                    last, held = tuple(at[lo]), []
+                if hi > lo:
+                    held.append(tuple(x[lo:hi] for x in columns))
+        if held:
+            yield examined(held)
+
+    found = spot.mapInArrow(screen, "src long, dst long, near double, who long").join(checked.select("src", "dst"), ["src", "dst"], "left_anti")
+    place = F.row_number().over(W.partitionBy("who").orderBy(F.desc("near"), "src", "dst"))
+    return c.materialise(found.withColumn("place", place).where(f"place <= {partners}").select("src", "dst").distinct(), "minhash-rest")
