@@ -1,15 +1,19 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
-
-A text's paragraphs (lines) are cut after words that their hash picks (one in CUT), so that an edit changes few
-pieces; a repeated piece counts with its number.  Each digest is put into three cells (count, sum of digests, sum of
-their checks).  Two versions' cells are subtracted; cells with one digest are peeled, which frees others, until the
-differing digests are recovered.  If cells remain, both are sketched again, twice as large.  The likeness of two
-sketches is the Jaccard similarity that the recovered difference implies (1.0 for two empty texts).
-
-Successors: documents are dealt by ranges of identifiers; the first document of a range is also given to the range
-before, so that each task walks its own range.  Equal identifiers are ordered by text.  Null texts are empty; a null
-identifier sorts first; a table of one document is its own successor; an empty table gives an empty result; extra
-columns are ignored.
+"""Document fingerprints: invertible Bloom lookup sketch of paragraph digests.
+
+A text's paragraphs are its lines; a long one is cut after words that their hash picks (one in CUT), so that an edit
+changes few pieces.  A piece's digest has 32 bits of its hash and 16 check bits of those; a repeated piece counts with
+its number.  Each digest is put into three cells (count, sum of digests, seven bytes).  The sketch has as many cells as it takes to
+peel all digests out of it again; it is tried larger until that succeeds.  The published fingerprint is this sketch, so
+whoever has two of them can list their digests and subtract them at any size.
+
+Likeness of two fingerprints: both are brought to a small size, their cells subtracted, and cells with one digest peeled,
+which frees others, until the differing digests are recovered; if cells remain, it is done with twice as many.  It is the Jaccard
+similarity that the recovered difference implies (1.0 for two empty texts).  `likeness_of` does the same for two strings.
+
+Successors: documents are dealt by ranges of identifiers (MOST at most); the first document of a range is also given to
+the range before, so that each task walks its own range, in order, as a stream.  Equal identifiers are ordered by text.
+Null texts are empty; a null identifier sorts first; a table of one document is its own successor; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +27,14 @@ from pyspark.sql import DataFrame
 
 from . import _common as c
 
-CUT = 4  # about so many words to a piece
-CELLS = 24  # of the smallest sketch
+CUT = 8  # about so many words to a piece of a long line
+LOW48 = np.uint64((1 << 48) - 1)
+
+
+def sealed(h: np.ndarray) -> np.ndarray:
+    """48-bit digests of hashes: 32 bits and 16 check bits."""
+    top = h >> np.uint64(32)
+    return (top << np.uint64(16)) | (c.mix(top ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(48))
 
 
 def digests(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,92 +55,135 @@ def digests(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(piece), bool)
     new[1:] = (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])
     number = np.arange(len(piece)) - np.maximum.accumulate(np.where(new, np.arange(len(piece)), 0))
-    return np.where(number == 0, piece, c.mix(piece + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), owner
+    return sealed(np.where(number == 0, piece, c.mix(piece + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))), owner
 
 
-def _places(key: np.ndarray, cells: np.ndarray, seed: int) -> list[np.ndarray]:
+def _places(key: np.ndarray, third: np.ndarray) -> list[np.ndarray]:
     """Three cells for each key, one in each third."""
-    third = (cells // 3).astype(np.uint64)
-    h = c.mix(key + np.uint64(0xA0761D6478BD642F * (seed + 1) % 2**64))
-    return [((h >> np.uint64(s)) % third + third * np.uint64(i)).astype(np.int64) for i, s in enumerate((0, 21, 42))]
+    h = c.mix(key ^ np.uint64(0xA0761D6478BD642F))
+    return [((h >> np.uint64(s)) & np.uint64(0x1FFFFF)).astype(np.int64) % third + third * i for i, s in enumerate((0, 21, 42))]
 
 
-def sketch(key: np.ndarray, owner: np.ndarray, cells: np.ndarray, seed: int):
-    """Cells (count, sum, check) of the sketches of all owners in a row; cells: size of each."""
-    base = np.concatenate([[0], np.cumsum(cells)])
-    count, total, check = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.uint64), np.zeros(base[-1], np.uint64)
-    mark = c.mix(key ^ np.uint64(0x5851F42D4C957F2D))
-    for place in _places(key, cells[owner], seed):
+def sketch(key: np.ndarray, owner: np.ndarray, third: np.ndarray):
+    """Cells (count, sum) of the sketches of all owners in a row; an owner has three times `third` of them."""
+    base = np.concatenate([[0], np.cumsum(3 * third)])
+    count, total = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.uint64)
+    for place in _places(key, third[owner]):
         at = base[owner] + place
         count += np.bincount(at, minlength=base[-1])
         np.add.at(total, at, key)
-        np.add.at(check, at, mark)
-    return count, total, check
+    return count, total & LOW48
+
 
+def peel(count: np.ndarray, total: np.ndarray, third: np.ndarray):
+    """(owner, sign, digest, whole by owner) that peeling takes out of the sketches; the cells are used up.
 
-def peel(count, total, check, cells: np.ndarray, seed: int):
-    """(only in the first, only in the second, whole) by sketch of the subtracted cells."""
-    base = np.concatenate([[0], np.cumsum(cells)])
-    sketch_of = np.repeat(np.arange(len(cells)), cells)
-    first, second = np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+    sign: 1 for a digest of the first, -1 for one of the second of two sketches that were subtracted.
+    """
+    base = np.concatenate([[0], np.cumsum(3 * third)])
+    sketch_of = np.repeat(np.arange(len(third)), 3 * third)
+    found = []
     look = np.flatnonzero(count)
     while len(look):
         look = look[np.abs(count[look]) == 1]
         sign = count[look]
-        key = np.where(sign > 0, total[look], np.uint64(0) - total[look])
-        mark = c.mix(key ^ np.uint64(0x5851F42D4C957F2D))
-        pure = check[look] == np.where(sign > 0, mark, np.uint64(0) - mark)
-        look, sign, key, mark = look[pure], sign[pure], key[pure], mark[pure]
+        key = np.where(sign > 0, total[look], np.uint64(0) - total[look]) & LOW48
+        pure = sealed(key << np.uint64(16)) == key
+        look, sign, key = look[pure], sign[pure], key[pure]
         owner = sketch_of[look]
         order = np.lexsort((key, owner))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])
         at = order[new]
-        owner, sign, key, mark = owner[at], sign[at], key[at], mark[at]
-        first += np.bincount(owner[sign > 0], minlength=len(cells))
-        second += np.bincount(owner[sign < 0], minlength=len(cells))
+        owner, sign, key = owner[at], sign[at], key[at]
+        found.append((owner, sign, key))
         touched = []
-        for place in _places(key, cells[owner], seed):
+        for place in _places(key, third[owner]):
             cell = base[owner] + place
             np.subtract.at(count, cell, sign)
             np.subtract.at(total, cell, np.where(sign > 0, key, np.uint64(0) - key))
-            np.subtract.at(check, cell, np.where(sign > 0, mark, np.uint64(0) - mark))
             touched.append(cell)
         look = np.unique(np.concatenate(touched)) if len(at) else at
-    left = np.bincount(sketch_of[(count != 0) | (total != 0) | (check != 0)], minlength=len(cells))
-    return first, second, left == 0
+        total[look] &= LOW48
+    left = np.bincount(sketch_of[(count != 0) | ((total & LOW48) != 0)], minlength=len(third))
+    if not sum(len(owner) for owner, _, _ in found):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), left == 0
+    owner, sign, key = (np.concatenate(x) for x in zip(*found))
+    # a sum that passed for a digest by chance is taken out and put back later: its signs cancel
+    order = np.lexsort((key, owner))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(owner[order]) != 0) | (key[order][1:] != key[order][:-1])]))
+    net = np.add.reduceat(sign[order], first)
+    return owner[order][first][net != 0], net[net != 0], key[order][first][net != 0], left == 0
 
 
-def likeness(key: np.ndarray, owner: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Likeness of versions one[i] and two[i] by subtracting and peeling, larger where that fails."""
-    begin = np.cumsum(size) - size
-    out = np.full(len(one), -1.0)
-    open_ = np.arange(len(one))
-    cells, seed = CELLS, 0
+def _of(key, size, versions):
+    """Digests of chosen versions (sizes by version, digests in order of version) and which each belongs to."""
+    begin, n = (np.cumsum(size) - size)[versions], size[versions]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+    return key[at], np.repeat(np.arange(len(versions)), n)
 
-    def taken(versions):
-        n = size[versions]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[versions], n)
-        return key[at], np.repeat(np.arange(len(versions)), n)
 
+def written(key: np.ndarray, size: np.ndarray) -> list[str]:
+    """Fingerprints: sketches large enough to be peeled whole, as text."""
+    third, open_, out = size * 15 // 32 + 2, np.arange(len(size)), [""] * len(size)
     while len(open_):
-        sizes = np.full(len(open_), cells)
-        a, b = sketch(*taken(one[open_]), sizes, seed), sketch(*taken(two[open_]), sizes, seed)
-        first, second, whole = peel(*(x - y for x, y in zip(a, b)), sizes, seed)
+        own = third[open_]
+        count, total = sketch(*_of(key, size, open_), own)
+        base = np.concatenate([[0], np.cumsum(3 * own)])
+        *_, whole = peel(count.copy(), total.copy(), own)
+        whole &= np.maximum.reduceat(count, base[:-1]) < 128
+        for i, v in enumerate(open_.tolist()):
+            if whole[i]:
+                at = slice(base[i], base[i + 1])
+                sums = total[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                out[v] = base64.b64encode(count[at].astype(np.int8).tobytes() + sums.tobytes()).decode()
+        open_ = open_[~whole]
+        third[open_] = third[open_] * 5 // 4 + 1
+    return out
+
+
+def listed(fingerprint: str) -> np.ndarray:
+    """The digests in a fingerprint, peeled out of its cells."""
+    raw = base64.b64decode(fingerprint)
+    cells = len(raw) // 7
+    count = np.frombuffer(raw, np.int8, cells).astype(np.int64)
+    total = np.zeros((cells, 8), np.uint8)
+    total[:, :6] = np.frombuffer(raw, np.uint8, offset=cells).reshape(cells, 6)
+    return peel(count, total.view("<u8").ravel().astype(np.uint64), np.array([cells // 3]))[2]
+
+
+def likeness(key: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Likeness of fingerprints one[i] and two[i], given how many digests are in each and all of them in order.
+
+    Sketches are subtracted and peeled, twice as large where cells remain; at eight times the digests of both, these
+    themselves are compared, which no known pair has needed.
+    """
+    out = np.full(len(one), -1.0)
+    open_ = np.arange(len(one))
+    third = np.minimum(size[one], size[two]) // 4 + 2
+    while len(open_):
+        own = third[open_]
+        a, b = (sketch(*_of(key, size, v[open_]), own) for v in (one, two))
+        owner, sign, _, whole = peel(a[0] - b[0], (a[1] - b[1]) & LOW48, own)
+        first, second = (np.bincount(owner[sign == s], minlength=len(open_)) for s in (1, -1))
         same = size[one[open_]] - first
         union = same + first + second
         out[open_[whole]] = np.where(union > 0, same / np.maximum(union, 1), 1.0)[whole]
         open_ = open_[~whole]
-        cells, seed = cells * 2, seed + 1
+        third[open_] *= 2
+        last = open_[third[open_] > 8 * (size[one] + size[two] + 1)[open_]]
+        for i in last.tolist():
+            x, y = (_of(key, size, np.array([v[i]]))[0] for v in (one, two))
+            shared = len(np.intersect1d(x, y))
+            out[i] = shared / (len(x) + len(y) - shared)
+        open_ = np.setdiff1d(open_, last)
     return out
 
 
-def written(key, owner, versions: int) -> list[str]:
-    """The smallest sketches as text: counts, sums and checks of their cells in base 64."""
-    cells = np.full(versions, CELLS)
-    count, total, check = sketch(key, owner, cells, 0)
-    rows = np.concatenate([count.astype("<i4").view(np.uint8).reshape(versions, -1), total.astype("<u8").view(np.uint8).reshape(versions, -1), check.astype("<u8").astype("<u4").view(np.uint8).reshape(versions, -1)], axis=1)
-    return [base64.b64encode(r.tobytes()).decode() for r in rows]
+def likeness_of(one: str, two: str) -> float:
+    """Likeness of two published fingerprints."""
+    lists = [listed(one), listed(two)]
+    return float(likeness(np.concatenate(lists), np.array([len(x) for x in lists]), np.array([0]), np.array([1]))[0])
 
 
 def fingerprint_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,9 +193,9 @@ def fingerprint_successors(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     c.prepare(spark)
-    n = c.buckets(docs, 4 << 20)
+    n = c.layout(docs, 4 << 20).parts  # MOST at most, and so are the bounds and heads below
     slim = c.columns(docs, id=id_col, text=text_col)
-    bounds = np.array(sorted({int(x) for x in slim.na.drop(subset=["id"]).approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)}), np.int64)  # n - 1 at most
+    bounds = np.array(sorted({int(x) for x in slim.na.drop(subset=["id"]).approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)}), np.int64)
 
     def firsts(batches):
         least: dict[int, int] = {}
@@ -156,19 +209,19 @@ def fingerprint_successors(docs: DataFrame, id_col: str = "doc_id", text_col: st
     before = {first: heads[i - 1][0] for i, (_, first) in enumerate(heads)}  # a range's first document also goes to the range before
 
     def ranged(batches):
+        """Rows as packed batches by range; kind 1: the first document of the range after."""
         held, size = [], 0
 
         def flush():
             out = c.Rows()
             for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
                 ids = c.ids_of(batch.column("id"))
-                for b, at in c.split_by(np.searchsorted(bounds, ids, "right").astype(np.int32), np.arange(len(ids))):
-                    out.add(b, 0, c.pack_batch(batch.take(pa.array(at))))
-                    yield from out.batches(4 << 20)
                 ghost = np.array([before.get(i, -1) for i in ids.tolist()], np.int32)
-                for b, at in c.split_by(ghost, np.arange(len(ids))):
-                    if b >= 0:
-                        out.add(b, 1, c.pack_batch(batch.take(pa.array(at))))
+                for kind, to in enumerate((np.searchsorted(bounds, ids, "right").astype(np.int32), ghost)):
+                    for b, at in c.split_by(to, np.arange(len(ids))):
+                        if b >= 0:
+                            out.add(b, kind, c.pack_batch(batch.take(pa.array(at))))
+                            yield from out.batches(4 << 20)
             yield from out.batches()
 
         for batch in batches:
@@ -181,33 +234,41 @@ def fingerprint_successors(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if held:
             yield from flush()
 
-    def compare(batches):
-        own, ghosts = [], []
+    def opened(batches):
         for _, kind, data in c.packed_rows(batches):
             batch = c.unpack_batch(data)
-            (ghosts if kind else own).extend(zip(c.ids_of(batch.column("id")).tolist(), (t or "" for t in batch.column("text").to_pylist())))
-        own.sort()
-        own.append(min(ghosts, default=(0, "")))
-        to = 0
-        while to < len(own) - 1:
-            at, size = to, 0  # a block is bounded by its text as well, as documents can be very long
-            while to < len(own) - 1 and to - at < 256 and size < c.BLOCK_BYTES:
-                size += len(own[to][1])
-                to += 1
-            rows = own[at : to + 1]
-            texts = [t for _, t in rows]
-            edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:])]
-            k = len(edited)
-            raw = [t.encode() for t in texts + edited]
-            sizes = np.array([len(r) for r in raw], np.int64)
-            key, owner = digests(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
-            size = np.bincount(owner, minlength=len(raw))
-            here = np.arange(k)
-            near = likeness(key, owner, size, np.concatenate([here, here]), np.concatenate([here + k + 1, here + 1]))
-            marks = written(key, owner, len(raw))
-            yield pa.record_batch(
-                [c.ids_array(np.array([i for i, _ in rows[:k]], np.int64)), pa.array([len(t) for t in texts[:k]], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw[k + 1 :]]), pa.array(marks[:k]), pa.array(marks[k + 1 :]), pa.array(near[:k]), pa.array(near[k:])],
-                ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-    return c.deal(slim.mapInArrow(ranged, c.PACKED), n).mapInArrow(compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.record_batch([pa.array(np.full(part.num_rows, kind, np.int32)), pa.array(c.ids_of(part.column("id"))), part.column("text").fill_null("").cast(pa.string())], ["kind", "id", "text"])
+
+    def described(rows):
+        """Results of a run of documents (id, text) but the last, which only succeeds."""
+        texts = [t for _, t in rows]
+        edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, texts[1:])]
+        k = len(edited)
+        raw = [t.encode() for t in texts + edited]
+        key, owner = digests(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        size = np.bincount(owner, minlength=len(raw))
+        marks = written(key, size)
+        here = np.arange(k)
+        near = likeness(key, size, np.concatenate([here, here]), np.concatenate([here + k + 1, here + 1]))
+        return pa.record_batch(
+            [c.ids_array(np.array([i for i, _ in rows[:k]], np.int64)), pa.array([len(t) for t in texts[:k]], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raw[k + 1 :]]), pa.array(marks[:k]), pa.array(marks[k + 1 :]), pa.array(near[:k]), pa.array(near[k:])],
+            ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        )
+
+    def compare(batches):
+        run, size, ended = [], 0, False
+        for batch in batches:
+            for kind, i, text in zip(*(batch.column(x).to_pylist() for x in ("kind", "id", "text"))):
+                if ended:
+                    break
+                run.append((i, text))
+                size += len(text)
+                ended = kind == 1  # the first of the next range
+                if len(run) > 1 and (ended or len(run) > 256 or size >= c.BLOCK_BYTES):
+                    yield described(run)
+                    run, size = run[-1:], len(text)
+
+    order = c.deal(slim.mapInArrow(ranged, c.PACKED), c.Layout(n)).mapInArrow(opened, "kind int, id long, text string").sortWithinPartitions("kind", "id", "text")
+    return order.mapInArrow(compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
