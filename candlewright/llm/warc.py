@@ -2,25 +2,33 @@
 
 An ARC archive is a version block and records of a space-separated header line and as many bytes as it declares:
 version 1 has `URL IP date type length`, version 2 has `URL IP date type code checksum location offset file length`.
-The converter synthesises WARC record identifiers (UUID of the URL, date and digest), ISO timestamps, types and
-digests.  Records with equal payloads of at least REVISIT_BYTES become revisits of the one with the least key.
-
-Archives are written by Spark's own writer as lines (a record's last line break is the line separator), so they land
-whole and committed on any file system that Spark reaches, and are read back by declared lengths, file by file;
-files are bounded by the number of partitions, which follows the input size.
-
-Null payloads are empty and null URLs are `urn:none`; a null key sorts first; repeated keys give repeated records, of
-which ties go to the least (key, URL); empty tables give empty archives.
+Legacy header lines are messy: URLs and types may hold spaces, dates may be short, and bytes need not be UTF-8; a line
+is read from its fixed fields (address, date, numbers at the end), and odd bytes are percent-encoded.
+The converter synthesises WARC record identifiers (UUID of the URL, date, digest and key), ISO timestamps, types and
+digests.  Records with equal payloads of at least REVISIT_BYTES become revisits of the one with the least key, which
+name that record, its URL and its date.
+
+Only the payload of a response travels, and equal payloads are combined in the task that reads them, so a page that a
+third of all rows share reaches a reducer once a task; revisits are found by joining rows without payloads.
+
+Archives are gzip files of one member a record (a record of 8 MB or more has several), each beginning with a warcinfo
+record.  Spark's own writer writes them, so they land whole and committed on any file system that Spark reaches: a
+member's last byte, the highest of its length and therefore zero, is the writer's line separator.  They are read back
+member by member, by declared lengths.
+
+Null payloads are empty and null URLs are `urn:none`; a null key sorts first; of rows with one key and equal payloads
+one is the response and the others revisit it; empty tables give empty archives; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import re
 import uuid
+import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +36,32 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 REVISIT_BYTES = 100
+MEMBER_BYTES = 8 << 20  # of a record in one gzip member
 VERSION_1 = "URL IP-address Archive-date Content-type Archive-length"
 VERSION_2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+LINE = re.compile(rb"(?P<url>.*?) +(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]+|-) +(?P<date>[0-9]{4,17}) +(?P<rest>.*)", re.S)
 
 
 def arc_date(seconds: int) -> str:
-    import datetime
-
     return (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=seconds)).strftime("%Y%m%d%H%M%S")
 
 
+def iso_date(date: str) -> str:
+    """An ARC date as an ISO timestamp; digits that lack are those of the year's beginning, impossible ones too."""
+    digits = re.sub(r"\D", "", date)[:14]
+    try:
+        at = datetime.datetime.strptime(digits + "00000101000000"[len(digits) :], "%Y%m%d%H%M%S")
+    except ValueError:
+        at = datetime.datetime(int(digits[:4]) if digits[:4].isdigit() and 1 <= int(digits[:4]) else 1970, 1, 1)
+    return at.isoformat() + "Z"
+
+
+def clean(raw: bytes) -> str:
+    """A header field as text: white space, control characters and bytes that are not UTF-8 percent-encoded."""
+    text = raw.decode("utf-8", "surrogateescape")
+    return re.sub("[\x00-\x20\x7f\udc80-\udcff]", lambda m: f"%{ord(m[0]) & 0xFF:02X}", text)
+
+
 def write_arc(records, version: int = 1) -> bytes:
     """An ARC archive of (url, ip, 14-digit date, type, payload)."""
     fields = VERSION_1 if version == 1 else VERSION_2
@@ -55,54 +79,99 @@ def write_arc(records, version: int = 1) -> bytes:
 
 def read_arc(data: bytes):
     """(url, ip, date, type, payload) of an ARC archive of either version, by declared lengths."""
-    at, names = 0, VERSION_1.split()
+    at, after_type = 0, 1  # fields after the type
     while at < len(data):
-        if data[at : at + 1] == b"\n":
+        if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
-        end = data.index(b"\n", at)
-        parts = data[at:end].decode().split(" ")
-        length = int(parts[-1])
+        end = data.find(b"\n", at)
+        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r")
+        head = LINE.fullmatch(line)
+        tail = head and head["rest"].rsplit(b" ", after_type)
+        if line.startswith(b"filedesc:"):
+            tail = line.split(b" ")[-1:]
+        if not tail or not tail[-1].isdigit() or (head and len(tail) != after_type + 1 and not line.startswith(b"filedesc:")):
+            raise ValueError(f"no header line at {at}: {line[:200]!r}")
+        length = int(tail[-1])
         body = data[end + 1 : end + 1 + length]
         if len(body) < length:
             raise ValueError(f"record at {at} declares {length} bytes, {len(body)} are left")
-        if parts[0].startswith("filedesc:"):
-            names = body.split(b"\n")[1].decode().split()
+        if line.startswith(b"filedesc:"):
+            after_type = 6 if body.lstrip()[:1] == b"2" else 1
         else:
-            if len(parts) != len(names):
-                raise ValueError(f"header line at {at} has {len(parts)} fields, its version has {len(names)}")
-            field = dict(zip(names, parts))
-            yield field["URL"], field["IP-address"], field["Archive-date"], field["Content-type"], body
+            yield clean(head["url"]), head["ip"].decode(), head["date"].decode(), " ".join(tail[0].decode("latin-1").split()) or "application/octet-stream", body
         at = end + 1 + length
 
 
-def warc_record(key, url: str, ip: str, date: str, kind: str, payload: bytes, refers: int | None) -> bytes:
-    """A WARC/1.1 response or revisit record, without its last line break."""
-    digest = hashlib.sha256(payload).hexdigest()
-    iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {digest} {key}")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {iso}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Key: {'' if key is None else key}", f"X-Payload-Length: {len(payload)}"]
-    if refers is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Key: {refers}"]
+def record_name(key, url: str, date: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {key}')}>"
+
+
+def warc_record(key, url: str, ip: str, date: str, kind: str, digest: str, length: int, payload: bytes | None, first=None) -> bytes:
+    """A WARC/1.1 response, or a revisit of first: (key, url, date)."""
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_name(key, url, date, digest)}", f"WARC-Date: {iso_date(date)}", f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Key: {'' if key is None else key}", f"X-Payload-Length: {length}"]
+    if first is not None:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(first[0], first[1], first[2], digest)}", f"WARC-Refers-To-Target-URI: {first[1]}", f"WARC-Refers-To-Date: {iso_date(first[2])}", f"X-Refers-To-Key: {'' if first[0] is None else first[0]}"]
         payload = b""
     lines += [f"Content-Type: {kind}", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n"
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
-def read_warc(data: bytes):
-    """(header dict, payload) of the records of a WARC file, by declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+def info_record(number: int) -> bytes:
+    body = b"software: candlewright\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo {number}")
+    return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: 1996-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def member(record: bytes) -> bytes:
+    """A record as gzip members; the last byte of the last one is zero."""
+    return b"".join(gzip.compress(record[at : at + MEMBER_BYTES], 6, mtime=0) for at in range(0, len(record), MEMBER_BYTES))
+
+
+def read_warc(chunks):
+    """(header dict, payload) of the records of WARC data that comes in chunks, by declared lengths."""
+    data, done = bytearray(), False
+    chunks = iter(chunks)
+
+    def more(n: int) -> bool:
+        nonlocal done
+        while len(data) < n and not done:
+            part = next(chunks, None)
+            done = part is None
+            if part:
+                data.extend(part)
+        return len(data) >= n
+
+    while more(1):
+        end = data.find(b"\r\n\r\n")
+        while end < 0:
+            if not more(len(data) + 1):
+                raise ValueError("a record's header does not end")
+            end = data.find(b"\r\n\r\n")
+        lines = data[:end].decode().split("\r\n")
         if lines[0] != "WARC/1.1":
-            raise ValueError(f"no record at {at}")
+            raise ValueError(f"no record where one should begin: {lines[0][:100]!r}")
         header = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        length = int(header["Content-Length"])
-        yield header, data[end + 4 : end + 4 + length]
-        if data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not end at its declared length")
-        at = end + 8 + length
+        to = end + 4 + int(header["Content-Length"])
+        if not more(to + 4) or data[to : to + 4] != b"\r\n\r\n":
+            raise ValueError(f"record {header.get('WARC-Record-ID')} does not end at its declared length")
+        yield header, bytes(data[end + 4 : to])
+        del data[: to + 4]
+
+
+def inflated(data: bytes, step: int = 1 << 20):
+    """The content of concatenated gzip members, a bounded part at a time."""
+    while data:
+        unzip = zlib.decompressobj(31)
+        rest = data
+        while not unzip.eof:
+            part = unzip.decompress(rest, step)
+            rest = unzip.unconsumed_tail
+            if part:
+                yield part
+            elif not unzip.eof and not rest:
+                raise ValueError("a gzip member does not end")
+        data = unzip.unused_data
 
 
 def to_arc(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -129,8 +198,9 @@ def to_arc(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", htm
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """(key, url, digest, payload_bytes, refers_to, record: binary) of the records of ARC archives (keys, arc)."""
+    """(key, record: gzip members) of the records of ARC archives (keys, arc), a warcinfo record before each task's."""
     c.prepare(arcs.sparkSession)
+    fields = "key long, url string, ip string, date string, kind string"
 
     def parse(batches):
         for batch in batches:
@@ -140,25 +210,37 @@ def convert(arcs: DataFrame) -> DataFrame:
                     part = rows[at : at + 500]
                     yield pa.record_batch([pa.array([k for k, _ in part], pa.int64()), *(pa.array([r[i] for _, r in part]) for i in range(4)), pa.array([r[4] for _, r in part], pa.binary())], ["key", "url", "ip", "date", "kind", "payload"])
 
-    parsed = arcs.mapInArrow(parse, "key long, url string, ip string, date string, kind string, payload binary").withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.length("payload").cast("long"))
-    # payloads are counted by digest with partial aggregation; only digests found twice or more are joined
-    first = parsed.where(f"payload_bytes >= {REVISIT_BYTES}").groupBy("digest").agg(F.min(F.struct("key", "url")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    joined = parsed.join(first, "digest", "left")
-    revisit = F.expr(f"payload_bytes >= {REVISIT_BYTES} AND first IS NOT NULL AND NOT (key <=> first.key AND url <=> first.url)")
-    joined = joined.select("key", "url", "ip", "date", "kind", "payload", "digest", "payload_bytes", revisit.alias("revisit"), F.expr("first.key").alias("first_key"))
+    parsed = arcs.mapInArrow(parse, f"{fields}, payload binary").withColumn("rid", F.monotonically_increasing_id())
+    parsed = parsed.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.length("payload").cast("long"))
+    large, none = parsed.where(f"length >= {REVISIT_BYTES}"), F.lit(None)
+    place = F.struct("key", "url", "rid").alias("place")
+    response = large.groupBy("digest").agg(F.min_by(F.struct("key", "url", "ip", "date", "kind", "length", "payload"), place).alias("r")).select("r.key", "r.url", "r.ip", "r.date", "r.kind", "digest", "r.length", "r.payload")
+    rows = large.select("key", "url", "ip", "date", "kind", "digest", "length", place)  # without payloads
+    first = rows.groupBy("digest").agg(F.min(F.struct("place", "date")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    again = rows.join(first.hint("merge"), "digest").where("place <> first.place")
+    named = F.struct(F.col("first.place.key").alias("key"), F.col("first.place.url").alias("url"), F.col("first.date").alias("date"))
+    some = ["key", "url", "ip", "date", "kind", "digest", "length"]
+    whole = response.unionByName(parsed.where(f"length < {REVISIT_BYTES}").select(*some, "payload")).withColumn("first", none.cast("struct<key:bigint,url:string,date:string>"))
+    every = whole.select(*some, "payload", "first").unionByName(again.select(*some, none.cast("binary").alias("payload"), named.alias("first")))
 
     def synthesise(batches):
+        begun = False
         for batch in batches:
-            rows = batch.to_pylist()
-            made = [warc_record(r["key"], r["url"], r["ip"], r["date"], r["kind"], r["payload"], (r["first_key"] if r["first_key"] is not None else "") if r["revisit"] else None) for r in rows]
-            yield pa.record_batch([pa.array([r["key"] for r in rows], pa.int64()), pa.array(made, pa.binary())], ["key", "record"])
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500).to_pylist()
+                made = [member(warc_record(*(r[x] for x in some), r["payload"], tuple(r["first"].values()) if r["first"] else None)) for r in rows]
+                keys = [r["key"] for r in rows]
+                if not begun and rows:
+                    keys, made, begun = [None, *keys], [member(info_record(0)), *made], True
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], ["key", "record"])
 
-    return joined.mapInArrow(synthesise, "key long, record binary")
+    return every.mapInArrow(synthesise, "key long, record binary")
 
 
-def write_archives(records: DataFrame, path: str, files: int) -> None:
-    """WARC files, each one gzip stream; a record's last line break is the writer's line separator."""
-    records.select(F.col("record").cast("string").alias("value")).coalesce(files).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+def write_archives(records: DataFrame, path: str, most: int = 100_000) -> None:
+    """WARC files of up to `most` records; a record's last byte is the writer's line separator."""
+    body = F.expr("substring(record, 1, length(record) - 1)").cast("string")
+    records.select(body.alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -177,7 +259,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         ["key", "url", "record_id", "date", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
                     )
 
-                for header, payload in read_warc(gzip.decompress(data.as_py())):
+                for header, payload in read_warc(inflated(data.as_py())):
+                    if header["WARC-Type"] == "warcinfo":
+                        continue
                     held.append((header, payload))
                     size += len(payload) + 500
                     if size > c.BLOCK_BYTES * 4:
