@@ -2,29 +2,31 @@
 
 Context restaurants (the word before) share one parent restaurant, whose parent is the uniform distribution over the
 vocabulary and one unknown word.  Every training word and the beginning of a text has a restaurant of its own; a word
-without training tokens has an empty one, which predicts as the parent does.  Sums of words of at least N / 2**18
-training tokens (2**18 of them at most, by counting) are broadcast, those of rarer words are exchanged by bucket; this
-decides where sums are kept, not what they are.
+without training tokens has an empty one, which predicts as the parent does.
 
-1. Words are counted by bucket; N, V and the frequent words follow.
+1. Words are counted by bucket; N, V and the frequent words (at least N / 2**18 training tokens) follow.  Sums of
+   frequent words are broadcast, those of rarer words are exchanged by bucket; this decides where sums are kept, not
+   what they are.  Dishes (word and context) with at least N / 2**14 tokens are *hot*; there are 2**14 at most.
 2. Tokens go once to buckets: a frequent word's by word and context, a rarer word's by word, so a bucket knows its
-   rarer words' counts whole.  A bucket keeps its (word, context) pairs with training counts, and which text each token
-   is in, as a row of a table in the shared folder.
-3. Sweeps that approximate Gibbs: a dish's tables are drawn anew from empty, customer by customer, given the state
-   before (a new table has the weight of the parent's prediction and of the context's tables, the dish's old ones among
-   them); beyond SEQUENTIAL customers of a dish, new tables are drawn for
-   doubling blocks of customers.  Tables a context and frequent words' customers in the parent are summed over buckets:
-   each bucket sends its part to the owner of the context or word (by hash), a rarer context's owner sends the total
-   back to the buckets that have the context.
-   The first state has one table for each dish; discounts come from counts of ones and twos.
+   rarer words' counts whole.  Tokens of hot dishes are counted by text where they are read and stay with the text; the
+   driver seats them, so no bucket gets a pair of words that a large share of all tokens has.
+3. Gibbs sweeps by blocks: all customers of a dish are removed and seated again given all other dishes.  The number of
+   a dish's tables is drawn from its distribution, generalised Stirling numbers times the weight of opening so many
+   tables: exact ones up to EXACT customers, beyond it exact ones at EXACT carried on by their saddle-point approximation,
+   and a normal distribution round the mode where that is beyond NORMAL tables.  Sums over dishes in other buckets, and in the same one, are those of the state before, as usual where Gibbs
+   sampling is distributed.  Then the customers of the parent (a table of a context is one) are seated likewise.
+   The first state has one table for each dish; discounts come from counts of ones and twos.  BURN sweeps are not used.
 4. Predictions are averaged over the sampled states, then log10 is summed by text.
 
+A bucket is held in memory; there are MOST at most, so beyond about 130 GB of stored text buckets grow with the input.
+
 Null texts are empty (one end token).  Every row is scored on its own, repeated rows and null identifiers too (a
 null identifier trains).  Without training texts predictions are uniform.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -35,39 +37,146 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 FREQUENT_SHARE = 1 << 18
-SEQUENTIAL = 64
+HOT_SHARE = 1 << 14
+EXACT = 1024
+NORMAL = 64
 STRENGTH = 1.0
+BURN = 1
 END = np.uint64(0xE4D0F7E87000A5C3)
+START = np.uint64(0)  # the context of a text's first token
+STEP = np.uint64(0x9E3779B97F4A7C15)
+PAIRS, TOKENS, HOT, HOT_COUNTS = range(4)
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) % 5 == 1 if i != c.NULL_ID else False for i in ids.tolist()], bool)
 
 
-def seat(count: np.ndarray, new: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables of a dish after `count` customers came one by one; new: weight of a new table."""
+def tokens_of(text: np.ndarray, offsets: np.ndarray):
+    """(word, word before, document) of the tokens of a block, an end after each document's words."""
+    w, _, _, doc = c.words(text, offsets)
+    n = len(offsets) - 1
+    size = np.bincount(doc, minlength=n)
+    place, end = np.arange(len(w)) + doc, np.cumsum(size) + np.arange(n)
+    word, before = np.full(len(w) + n, END, np.uint64), np.zeros(len(w) + n, np.uint64)
+    word[place], before[place + 1] = w, w
+    before[end - size] = START
+    return word, before, np.repeat(np.arange(n), size + 1)
+
+
+def dish_key(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return c.mix(word + before * STEP)
+
+
+@functools.lru_cache(4)
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: [n, t] sums over the seatings of n customers at t tables the product of
+    what each customer who joined a table weighed."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, most + 1)
+    for n in range(1, most):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(t <= n, out[n, 1:] + np.log(np.maximum(n - discount * t, 1e-300)), -np.inf)
+        out[n + 1, 1:] = np.logaddexp(stay, out[n, :-1])
+    return out
+
+
+def seat(count: np.ndarray, base: np.ndarray, prediction: np.ndarray, discount: float, rng) -> np.ndarray:
+    """Tables of dishes with so many customers, drawn given everything else.
+
+    base: strength and discount times the tables of other dishes in the restaurant; prediction: of the dish by the parent.
+    A seating at t tables has weight S(n, t) * product over i < t of (base + discount * i) * prediction.
+    """
     tables = (count > 0).astype(np.float64)
-    open_ = np.flatnonzero(count > 1)
-    for n in range(1, SEQUENTIAL):
-        open_ = open_[count[open_] > n]
-        if not len(open_):
-            return tables
-        weight = new[open_]
-        tables[open_] += rng.random(len(open_)) * (weight + n - discount * tables[open_]) < weight
-    n = float(SEQUENTIAL)
-    while True:
-        open_ = open_[count[open_] > n]
-        if not len(open_):
-            return tables
-        more = np.minimum(count[open_] - n, n)
-        weight = new[open_]
-        rate = weight / (weight + n + more / 2 - discount * tables[open_])
-        tables[open_] += np.minimum(rng.poisson(np.minimum(rate, 1) * more), more)
-        n *= 2
+    first = np.minimum(count, EXACT).astype(np.int64)
+    order = np.argsort(first, kind="stable")
+    order = order[np.searchsorted(first[order], 2) :]
+    cuts = np.flatnonzero(np.diff(first[order])) + 1
+    stirling = log_stirling(round(discount, 6))
+    for same in np.split(order, cuts) if len(order) else ():
+        n = int(first[same[0]])
+        for lo in range(0, len(same), max(1, (1 << 20) // n)):
+            at = same[lo : lo + max(1, (1 << 20) // n)]
+            opening = np.log(base[at, None] + discount * np.arange(n)) + np.log(np.maximum(prediction[at, None], 1e-300))
+            weight = stirling[n, 1 : n + 1] + np.cumsum(opening, axis=1)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = 1 + np.minimum((weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1), n - 1)
+    large = np.flatnonzero(count > EXACT)
+    for lo in range(0, len(large), 4096):
+        at = large[lo : lo + 4096]
+        tables[at] = _seat_many(count[at], base[at], prediction[at], discount, rng)
+    return tables
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, after eight steps up."""
+    steps = sum(np.log(x + i) for i in range(8))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - steps
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    steps = sum(1 / (x + i) for i in range(8))
+    y = x + 8
+    return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - steps
+
+
+def _halved(low: np.ndarray, high: np.ndarray, falls, rounds: int = 60) -> np.ndarray:
+    """Where a falling function changes its sign, between bounds."""
+    for _ in range(rounds):
+        middle = (low + high) / 2
+        above = falls(middle) > 0
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    return (low + high) / 2
+
+
+def _saddle(n: np.ndarray, t: np.ndarray, a: float) -> np.ndarray:
+    """Logarithm of the generalised Stirling number by the saddle point of its generating function ((1 - (1 - x)^a) / a)^t / t!."""
+
+    def ratio(v):  # of x g'(x) / g(x) at x = 1 - u, u = exp(v)
+        return a * -np.expm1(v) * np.exp((a - 1) * v) / -np.expm1(a * v)
+
+    v = _halved(np.full(n.shape, -200.0), np.full(n.shape, -1e-9), lambda v: t * ratio(v) - n)
+    r, g = -np.expm1(v), -np.expm1(a * v) / a
+    first = ratio(v)
+    second = first + r * r * (1 - a) * np.exp((a - 2) * v) / g - first * first
+    return _log_gamma(n + 1) - _log_gamma(t + 1) + t * np.log(g) - n * np.log(r) - 0.5 * np.log(np.maximum(t * second, 1e-300))
+
+
+def _seat_many(count, base, prediction, a: float, rng) -> np.ndarray:
+    """Tables of dishes with more than EXACT customers."""
+    start, opening = base / a, np.log(a * np.maximum(prediction, 1e-300))
+
+    def slope(t):  # of the logarithm of the weight; the saddle point moves with t
+        def ratio(v):
+            return a * -np.expm1(v) * np.exp((a - 1) * v) / -np.expm1(a * v)
+
+        v = _halved(np.full(t.shape, -200.0), np.full(t.shape, -1e-9), lambda v: t * ratio(v) - count, 50)
+        return np.log(-np.expm1(a * v) / a) - _digamma(t + 1) + _digamma(start + t) + opening
+
+    mode = np.exp(_halved(np.zeros(len(count)), np.log(count - 1), lambda x: slope(np.exp(x)), 40))
+    step = np.maximum(mode * 1e-3, 1e-3)
+    under = np.maximum(mode - step, 0.5)
+    spread = np.sqrt((mode + step - under) / np.maximum(slope(under) - slope(mode + step), 1e-12))
+    wide = np.minimum(spread, mode / 2)  # a step as wide as the curve, for its skewness: the mean lies beside the mode
+    skew = (slope(mode + wide) + slope(mode - wide)) / wide**2
+    out = np.clip(np.rint(mode + skew * wide**4 / 2 + np.minimum(spread, mode) * rng.standard_normal(len(count))), 1, count)
+    few = np.flatnonzero(mode < NORMAL)
+    if len(few):
+        t = np.arange(1.0, 5 * NORMAL + 1)
+        known = log_stirling(round(a, 6))[EXACT, 1 : len(t) + 1] - _saddle(np.full(len(t), float(EXACT)), t, a)
+        for lo in range(0, len(few), 256):
+            at = few[lo : lo + 256]
+            n, many = np.broadcast_arrays(count[at, None], t)
+            weight = known + _saddle(n.copy(), many.copy(), a) + _log_gamma(start[at, None] + t) + t * opening[at, None]
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(axis=1)
+    return np.minimum(out, count)
 
 
 class Model:
-    """What all tasks need: the frequent words and, for each sampled state, sums over buckets. Bounded by 2**18 words."""
+    """What all tasks need: frequent words, hot dishes, and for each state sums over buckets.  Bounded by 2**18 words."""
 
     def __init__(self, n: int, v: int, words: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(words)
@@ -76,6 +185,9 @@ class Model:
         self.customers = np.zeros(self.contexts)
         self.states: list[dict] = []
         self.discount = self.parent_discount = 0.5
+        self.hot = np.empty(0, np.uint64)  # keys of hot dishes, their words and contexts, and training counts
+        self.hot_word = self.hot_context = np.empty(0, np.int64)
+        self.hot_count = np.empty(0)
 
     def frequent(self, w: np.ndarray) -> np.ndarray:
         """Index of each word among the frequent ones, or -1."""
@@ -84,13 +196,43 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
         return np.where(self.words[at] == w, at, -1)
 
+    def context(self, before: np.ndarray) -> np.ndarray:
+        """Index of each context, -1 for a rarer word."""
+        return np.where(before == START, len(self.words), self.frequent(before))
+
+    def take_hot(self, key: np.ndarray, word: np.ndarray, before: np.ndarray) -> None:
+        word, context = self.frequent(word), self.context(before)
+        known = np.flatnonzero((word >= 0) & (context >= 0))
+        known = known[np.argsort(key[known])]
+        self.hot, self.hot_word, self.hot_context, self.hot_count = key[known], word[known], context[known], np.zeros(len(known))
+
+    def hot_index(self, key: np.ndarray) -> np.ndarray:
+        """Index of each dish among the hot ones, or -1."""
+        if not len(self.hot):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)
+        return np.where(self.hot[at] == key, at, -1)
+
     def parent(self, state: dict, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """The parent restaurant's prediction of words with so many customers and tables."""
         d = self.parent_discount
         return (np.maximum(customers - d * tables, 0) + (STRENGTH + d * state["parent_tables"]) / (self.v + 1)) / (STRENGTH + state["parent_customers"])
 
-    def parent_seats(self, state: dict, customers: np.ndarray, rng) -> np.ndarray:
-        return seat(customers, np.full(len(customers), (STRENGTH + self.parent_discount * state["parent_tables"]) / (self.v + 1)), self.parent_discount, rng)
+    def reseated(self, s: int, count, tables, context_tables, predicted, rng) -> np.ndarray:
+        """Tables of dishes in state s, given their tables, their contexts' and the parent's predictions in the state before."""
+        return seat(count, STRENGTH + self.discount * np.maximum(context_tables - tables, 0), predicted, self.discount, rng)
+
+    def parent_seats(self, s: int, customers: np.ndarray, seats: np.ndarray | None, rng) -> np.ndarray:
+        """Tables of words in the parent in state s; seats: in the state before."""
+        if not s:
+            return (customers > 0).astype(np.float64)
+        others = np.maximum(self.states[s - 1]["parent_tables"] - seats, 0)
+        return seat(customers, STRENGTH + self.parent_discount * others, np.full(len(customers), 1 / (self.v + 1)), self.parent_discount, rng)
+
+    def predicted_by(self, s: int, count, tables, context_tables, context_customers, predicted) -> np.ndarray:
+        """Predictions of dishes in a state."""
+        d = self.discount
+        return (np.maximum(count - d * tables, 0) + (STRENGTH + d * context_tables) * predicted) / (STRENGTH + context_customers)
 
 
 class Pairs:
@@ -125,27 +267,26 @@ class Pairs:
         return np.concatenate([self.model.customers, np.empty(0) if self.customers is None else self.customers])[self.context]
 
     def states(self, upto: int):
-        """(tables of dishes, prediction of the parent for dishes, customers and tables of rare words) of each state."""
-        tables = (self.count > 0).astype(np.float64)
+        """(tables of dishes, the parent's predictions of them, customers and tables of rare words) of each state.
+
+        A state follows from the one before and numbers drawn by bucket and state, so it is the same whenever it is needed.
+        """
+        tables, seats, predicted = (self.count > 0).astype(np.float64), None, None
         for s in range(upto + 1):
             rng = np.random.default_rng([self.bucket, s])
             if s:
-                weight = (STRENGTH + self.model.discount * self.context_tables(s - 1)) * predicted
-                tables = seat(self.count, weight, self.model.discount, rng)
+                tables = self.model.reseated(s, self.count, tables, self.context_tables(s - 1), predicted, rng)
             customers = self.rare_customers(tables)
+            seats = self.model.parent_seats(s, customers, seats, rng)
             if s < len(self.model.states):
                 now = self.model.states[s]
-                seats = self.model.parent_seats(now, customers, rng)
-                rare = self.model.parent(now, customers, seats)
-                predicted = np.concatenate([now["frequent"], rare])[self.word] if len(self.word) else np.empty(0)
-                yield tables, predicted, customers
-            else:
-                yield tables, None, customers
+                predicted = np.concatenate([now["frequent"], self.model.parent(now, customers, seats)])[self.word] if len(self.word) else np.empty(0)
+            yield tables, predicted, customers, seats
 
 
 def _sums(pairs: Pairs, s: int):
     """What state s sums over buckets: (kind, index, value); kinds 4 and 5: tables and customers of all its rarer contexts."""
-    *_, (tables, _, customers) = pairs.states(s)
+    *_, (tables, _, customers, seats) = pairs.states(s)
     shared, most = pairs.model.contexts, pairs.model.contexts + len(pairs.keys)
     by_context = np.bincount(pairs.context, tables, minlength=most)
     yield 4, np.arange(len(pairs.keys)), by_context[shared:]
@@ -153,10 +294,7 @@ def _sums(pairs: Pairs, s: int):
     frequent = np.bincount(pairs.word[~pairs.is_rare], tables[~pairs.is_rare], minlength=0)
     yield 0, np.flatnonzero(by_context), by_context[by_context > 0]
     yield 1, np.flatnonzero(frequent), frequent[frequent > 0]
-    rng = np.random.default_rng([pairs.bucket, s, 1])
-    before = pairs.model.states[s - 1] if s else {"parent_tables": 0.0}
-    yield 2, np.array([0]), np.array([tables.sum()])
-    yield 2, np.array([1]), np.array([pairs.model.parent_seats(before, customers, rng).sum()])
+    yield 2, np.arange(2), np.array([tables.sum(), seats.sum()])
     if s == 0:
         own = np.bincount(pairs.context, pairs.count, minlength=most)
         yield 5, np.arange(len(pairs.keys)), own[shared:]
@@ -165,32 +303,46 @@ def _sums(pairs: Pairs, s: int):
         yield 2, np.arange(2, 6), np.array([(pairs.count == 1).sum(), (pairs.count == 2).sum(), (customers == 1).sum(), (customers == 2).sum()], np.float64)
 
 
+def _added(at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers by index, exact beyond what doubles hold."""
+    out = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
+    np.add.at(out, at, value)
+    return out
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per input row."""
     spark = docs.sparkSession
     c.prepare(spark)
-    n = c.buckets(docs, 16 << 20, least=12, by_session=False)
+    where = c.Layout(c.layout(docs, 8 << 20, least=12, by_session=False).parts)
+    n = where.parts
     slim = c.columns(docs, id=id_col, text=text_col)
 
     def count(batches):
         held, size = [], 0
 
         def flush():
-            key, own = (np.concatenate(x) for x in zip(*held))
-            known, at = np.unique(key, return_inverse=True)
-            total = np.bincount(at, own).astype(np.int64)
+            word, before = (np.concatenate(x) for x in zip(*held))
+            known, at, total = np.unique(word, return_inverse=True, return_counts=True)
             out = c.Rows()
-            for b, w, m in c.split_by((known % np.uint64(n)).astype(np.int16 if n < 32768 else np.int32), known, total):
-                out.add(b, 0, c.pack(w, m.astype(np.int32 if m.max() < 1 << 31 else np.int64)))
+            for b, w, m in c.split_by(where.part(known), known, total):
+                out.add(b, 0, c.pack(w, m))
                 yield from out.batches(1 << 20)
+            # pairs that may be hot: in a task, where both words are as frequent as that
+            least = max(2, len(word) // HOT_SHARE)
+            both = np.flatnonzero(total[at] >= least)
+            both = both[np.isin(before[both], np.append(known[total >= least], START))]
+            key, first, times = np.unique(dish_key(word[both], before[both]), return_index=True, return_counts=True)
+            first, key, times = both[first][times >= least], key[times >= least], times[times >= least]
+            for b, *x in c.split_by(where.part(key), key, word[first], before[first], times):
+                out.add(b, 1, c.pack(*x))
             yield from out.batches()
 
         for ids, text, offsets in c.blocks(batches):
-            w, _, _, doc = c.words(text, offsets)
-            train = ~held_out(ids)
-            key, own = np.unique(w[train[doc]], return_counts=True)
-            held.append((np.append(key, END), np.append(own, train.sum())))
-            size += len(text) + 1
+            word, before, doc = tokens_of(text, offsets)
+            train = ~held_out(ids)[doc]
+            held.append((word[train], before[train]))
+            size += len(text) + len(ids)
             if size >= c.FLUSH_BYTES:
                 yield from flush()
                 held, size = [], 0
@@ -198,94 +350,102 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             yield from flush()
 
     def united(batches):
-        held = [c.unpack(data) for _, _, data in c.packed_rows(batches)]
-        if held:
-            known, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
-            some = total > 0
-            for lo in range(0, int(some.sum()), 100_000):
-                yield pa.record_batch([pa.array(known[some][lo : lo + 100_000].view(np.int64)), pa.array(total[some][lo : lo + 100_000])], ["w", "n"])
-
-    counts = c.materialise(c.deal(slim.mapInArrow(count, c.PACKED), n).mapInArrow(united, "w long, n long"), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("w")).first()
-    frequent = counts.where(F.col("n") >= max(2, -(-total // FREQUENT_SHARE))).toArrow()  # FREQUENT_SHARE rows at most
-    model = Model(total, distinct, frequent.column("w").to_numpy().view(np.uint64), frequent.column("n").to_numpy())
+        """(kind, key, n, word, before) of the words and the pairs of a bucket."""
+        rows = {0: [], 1: []}
+        for _, kind, data in c.packed_rows(batches):
+            rows[kind].append(c.unpack(data))
+        for kind, held in rows.items():
+            if not held:
+                continue
+            parts = [np.concatenate(x) for x in zip(*held)]
+            known, first, at = np.unique(parts[0], return_index=True, return_inverse=True)
+            total = np.zeros(len(known), np.int64)
+            np.add.at(total, at, parts[-1])
+            word, before = (parts[i][first] if kind else np.zeros(len(known), np.uint64) for i in (1, 2))
+            for lo in range(0, len(known), 100_000):
+                cut = slice(lo, lo + 100_000)
+                yield pa.record_batch([pa.array(np.full(len(known[cut]), kind, np.int32)), *(pa.array(x[cut].view(np.int64)) for x in (known, total, word, before))], ["kind", "key", "n", "word", "before"])
+
+    counts = c.materialise(c.deal(slim.mapInArrow(count, c.PACKED), where).mapInArrow(united, "kind int, key long, n long, word long, before long"), "words")
+    total, distinct = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key")).first()
+    some = lambda kind, least: counts.where((F.col("kind") == kind) & (F.col("n") >= least)).toArrow()
+    bits = lambda t, x: t.column(x).to_numpy().view(np.uint64)
+    frequent = some(0, max(2, -(-total // FREQUENT_SHARE)))  # FREQUENT_SHARE rows at most
+    model = Model(total, distinct, bits(frequent, "key"), frequent.column("n").to_numpy())
+    pairs_ = some(1, max(64, -(-total // HOT_SHARE)))  # HOT_SHARE rows at most
+    model.take_hot(bits(pairs_, "key"), bits(pairs_, "word"), bits(pairs_, "before"))
     shared = spark.sparkContext.broadcast(model)
 
     def tokens(batches):
         held, size = [], 0
         m = shared.value
-        start = len(m.words)  # context number of the beginning; -1: a rarer word
 
         def flush():
-            word, code, context, before, rid, ids = (np.concatenate(x) for x in zip(*held))
-            where = np.where(code >= 0, c.mix(word + before * np.uint64(0x9E3779B97F4A7C15)), word) % np.uint64(n)
+            word, before, rid, ids = (np.concatenate(x) for x in zip(*held))
+            code, context, key = m.frequent(word), m.context(before), dish_key(word, before)
+            hot = m.hot_index(key)
             out = c.Rows()
-            rows, at = np.unique(rid, return_index=True)
+            warm = np.flatnonzero(hot >= 0)
+            if len(warm):  # counted by text
+                row, first, at = np.unique(rid[warm], return_index=True, return_inverse=True)
+                pair, times = np.unique(at * np.int64(len(m.hot)) + hot[warm], return_counts=True)
+                row_at = pair // len(m.hot)
+                for b, *x in c.split_by(where.part_of(row[row_at]), row[row_at], ids[warm][first][row_at], pair % len(m.hot), times):
+                    out.add(b, HOT, c.pack(*x))
+                    yield from out.batches(4 << 20)
+            cold = hot < 0
+            word, before, rid, ids, code, context, key = (x[cold] for x in (word, before, rid, ids, code, context, key))
+            rows, at, doc = np.unique(rid, return_index=True, return_inverse=True)
             row_ids = ids[at]
-            doc = np.searchsorted(rows, rid)
-            for b, w, k, x, u, d in c.split_by(where.astype(np.int16 if n < 32768 else np.int32), word, code, context, before, doc):
-                used = np.unique(d)
-                out.add(b, 0, c.pack(w[k < 0], k.astype(np.int32), x.astype(np.int32), u[x < 0], np.diff(np.searchsorted(used, d), prepend=0).astype(np.int32), np.diff(rows[used], prepend=0), row_ids[used]))
+            for b, w, k, x, u, d in c.split_by(where.part(np.where(code >= 0, key, word)), word, code, context, before, doc):
+                used, own = np.unique(d, return_inverse=True)
+                out.add(b, TOKENS, c.pack(w[k < 0], k, x, u[x < 0], own, rows[used], row_ids[used]))
                 yield from out.batches(4 << 20)
             yield from out.batches()
 
-        def rows(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    yield batch.slice(at, 2000)
-
-        for batch in rows(batches):
-            rids = batch.column("rid").to_numpy()
-            done = 0
-            for ids, text, offsets in c.blocks([batch]):
-                w, _, _, doc = c.words(text, offsets)
-                rid = rids[done : done + len(ids)]
-                done += len(ids)
-                code = m.frequent(w)
-                size_ = np.bincount(doc, minlength=len(ids))
-                ends = np.cumsum(size_)  # an end token after each text's words
-                context = np.full(len(w) + len(ids), start, np.int64)
-                before = np.zeros(len(context), np.uint64)
-                place = np.arange(len(w)) + doc
-                end_at = ends + np.arange(len(ids))
-                context[place + 1], before[place + 1] = code, w
-                word = np.full(len(before), END, np.uint64)
-                word[place] = w
-                codes = np.full(len(before), m.frequent(np.array([END]))[0], np.int64)
-                codes[place] = code
-                begins = end_at - size_
-                context[begins], before[begins] = start, 0
-                of = np.repeat(np.arange(len(ids)), size_ + 1)
-                held.append((word, codes, context, before, rid[of], ids[of]))
-                size += len(text) + 8 * len(ids)
-            if size >= c.FLUSH_BYTES:
-                yield from flush()
-                held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                rids, done = part.column("rid").to_numpy(), 0
+                for ids, text, offsets in c.blocks([part]):
+                    word, before, doc = tokens_of(text, offsets)
+                    held.append((word, before, rids[done : done + len(ids)][doc], ids[doc]))
+                    done += len(ids)
+                    size += len(text) + 8 * len(ids)
+                if size >= c.FLUSH_BYTES:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
     def dishes(batches):
-        held, bucket = [], 0
-        for bucket, _, data in c.packed_rows(batches):
-            held.append(c.unpack(data))
+        """A bucket's dishes, its tokens by dish, and what texts have of hot dishes."""
+        held, warm, bucket = [], [], 0
+        for bucket, kind, data in c.packed_rows(batches):
+            (held if kind == TOKENS else warm).append(c.unpack(data))
+        m, out = shared.value, c.Rows()
+        if warm:
+            rid, ids, hot, times = (np.concatenate(x) for x in zip(*warm))
+            warm.clear()
+            own = np.bincount(hot, times * ~held_out(ids), minlength=len(m.hot)).astype(np.int64)
+            out.add(bucket, HOT_COUNTS, c.pack(np.flatnonzero(own), own[own > 0]))
+            out.add(bucket, HOT, c.pack(rid, ids, hot, times))
+            yield from out.batches()
         if not held:
             return
-        m = shared.value
         rare = np.unique(np.concatenate([h[0] for h in held]))
         keys = np.unique(np.concatenate([h[3] for h in held]))
         contexts = m.contexts + len(keys)
-        rids, ids = np.concatenate([np.cumsum(h[5]) for h in held]), np.concatenate([h[6] for h in held])
+        rids, ids = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
         rows, at = np.unique(rids, return_index=True)
         ids = ids[at]
         key, doc = [], []
         for w, k, x, u, d, r, _ in held:
-            word = k.astype(np.int64)
+            word, context = k.copy(), x.copy()
             word[k < 0] = len(m.words) + np.searchsorted(rare, w)
-            context = x.astype(np.int64)
             context[x < 0] = m.contexts + np.searchsorted(keys, u)
             key.append(word * contexts + context)
-            doc.append(np.searchsorted(rows, np.cumsum(r))[np.cumsum(d)].astype(np.int32))
+            doc.append(np.searchsorted(rows, r)[d].astype(np.int32))
         held.clear()
         key, doc = np.concatenate(key), np.concatenate(doc)
         train = ~held_out(ids)
@@ -295,28 +455,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         size = np.diff(np.append(first, len(key)))
         trained = np.add.reduceat(train[doc].astype(np.int64), first)
         pair = key[first]
-        yield pa.record_batch(
-            [pa.array([bucket], pa.int32()), pa.array([c.pack(np.diff(pair // contexts, prepend=0).astype(np.int32), (pair % contexts).astype(np.int32), trained.astype(np.int32), len(rare), keys)], pa.binary()), pa.array([c.pack(size.astype(np.int32), doc, np.diff(rows, prepend=0), ids)], pa.binary())],
-            ["bucket", "pairs", "tokens"],
-        )
+        out.add(bucket, PAIRS, c.pack(pair // contexts, pair % contexts, trained, np.array([len(rare)]), keys))
+        out.add(bucket, TOKENS, c.pack(size, doc, rows, ids))
+        yield from out.batches()
 
     with_row = slim.withColumn("rid", F.monotonically_increasing_id())
-    table = c.materialise(c.deal(with_row.mapInArrow(tokens, c.PACKED), n).mapInArrow(dishes, "bucket int, pairs binary, tokens binary"), "tokens")
+    table = c.materialise(c.deal(with_row.mapInArrow(tokens, c.PACKED), where).mapInArrow(dishes, c.PACKED), "tokens")
+
+    def summed(batches):
+        for _, _, data in c.packed_rows(batches):
+            index, value = c.unpack(data)
+            yield pa.record_batch([pa.array(index, pa.int64()), pa.array(value, pa.int64())], ["i", "n"])
+
+    def of_kind(kind: int) -> DataFrame:
+        return table.where(F.col("kind") == kind)
+
+    for i, times in of_kind(HOT_COUNTS).mapInArrow(summed, "i long, n long").groupBy("i").agg(F.sum("n")).collect():  # hot dishes
+        model.hot_count[i] = times
 
     def pairs_of(bucket, data, m, totals=()) -> Pairs:
         word, context, trained, rare, keys = c.unpack(data)
-        return Pairs(bucket, m, np.cumsum(word.astype(np.int64)), context.astype(np.int64), trained.astype(np.float64), rare, keys, n, [c.unpack(t) for t in totals])
+        return Pairs(bucket, m, word, context, trained.astype(np.float64), int(rare[0]), keys, n, [(int(t[0][0]), int(t[1][0]), *t[2:]) for t in map(c.unpack, totals)])
 
-    packed = [table.select("bucket", F.lit(x).alias("kind"), F.col(column).alias("data")) for x, column in enumerate(("pairs", "tokens"))]
-    totals = []  # of rarer contexts, a table for each state
+    totals = []  # of rarer contexts, a table for each state: kind 10 + state
 
-    def joined(*tables) -> DataFrame:
-        """The tables' rows and all totals, a bucket to a partition."""
-        for t in (*tables[1:], *totals):
-            tables = (tables[0].union(t), *tables[1:])
-        return c.deal(tables[0], n)
+    def joined(*frames) -> DataFrame:
+        """Rows of frames and all totals, a bucket to a partition."""
+        out = frames[0]
+        for t in (*frames[1:], *totals):
+            out = out.union(t)
+        return c.deal(out, where)
 
-    for s in range(samples + 1):
+    hot_tables: list[np.ndarray] = []
+    frequent_seats: list[np.ndarray] = []
+    last = BURN + samples
+    for s in range(last + 1):
         known = spark.sparkContext.broadcast(model)
 
         def sweep(batches, s=s, known=known):
@@ -326,13 +499,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                     if kind >= 4:
                         own[kind] = value.astype(np.int64)
                     else:
-                        parts.append((np.full(len(index), kind, np.int8), index, value))
+                        parts.append((np.full(len(index), kind, np.int64), index, value.astype(np.int64)))
                 kind, index, value = (np.concatenate(x) for x in zip(*parts))
                 for b, k, i, v in c.split_by((index % n).astype(np.int32), kind, index, value):
                     out.add(b, 0, c.pack(k, i, v))
                     yield from out.batches(4 << 20)
                 for b, key, *x in c.split_by(pairs.owner.astype(np.int32), pairs.keys, *own.values()):
-                    out.add(b, 1, c.pack(pairs.bucket, key, *x))
+                    out.add(b, 1, c.pack(np.array([pairs.bucket]), key, *x))
                     yield from out.batches(4 << 20)
                 yield from out.batches()
 
@@ -340,7 +513,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             for bucket, kind, row in c.packed_rows(batches):
                 if not s:  # needs no totals
                     yield from send(pairs_of(bucket, row, known.value))
-                elif kind == 0:
+                elif kind == PAIRS:
                     data[bucket] = row
                 else:
                     sent.append(row)
@@ -355,72 +528,88 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             if sums:
                 kind, index, value = (np.concatenate(x) for x in zip(*sums))
                 pair, at = np.unique(index * 4 + kind, return_inverse=True)
-                out.add(-1, 0, c.pack(pair % 4, pair // 4, np.bincount(at, value)))
+                out.add(-1, 0, c.pack(pair % 4, pair // 4, _added(at, value)))
             if asked:
                 _, at = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-                found = [np.bincount(at, np.concatenate([a[j] for a in asked])).astype(np.int64)[at] for j in range(2, len(asked[0]))]
+                found = [_added(at, np.concatenate([a[j] for a in asked]))[at] for j in range(2, len(asked[0]))]
                 to = 0
                 for source, key, *_ in asked:
                     to, lo = to + len(key), to
-                    out.add(source, 2 + s, c.pack(bucket, s, *(x[lo:to] for x in found)))
+                    out.add(int(source[0]), 10 + s, c.pack(np.array([bucket]), np.array([s]), *(x[lo:to] for x in found)))
                     yield from out.batches(4 << 20)
             yield from out.batches()
 
-        swept = (joined(packed[0]) if s else packed[0]).mapInArrow(sweep, c.PACKED)
-        result = c.materialise(c.deal(swept, n).mapInArrow(owned, c.PACKED), "totals")
+        swept = (joined(of_kind(PAIRS)) if s else of_kind(PAIRS)).mapInArrow(sweep, c.PACKED)
+        result = c.materialise(c.deal(swept, where).mapInArrow(owned, c.PACKED), "totals")
         sums = [c.unpack(r.data) for r in result.where("bucket < 0").collect()]  # by frequent context and word
         totals.append(result.where("bucket >= 0"))
-        kind, index, value = (np.concatenate(x) for x in zip(*sums)) if sums else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        of = lambda k, size: np.bincount(index[kind == k], value[kind == k], minlength=size)
-        scalar, customers = of(2, 6), of(1, len(model.words))
+        kind, index, value = (np.concatenate(x) for x in zip(*sums)) if sums else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        of = lambda k, size: np.bincount(index[kind == k], value[kind == k].astype(np.float64), minlength=size)
+        # the driver's part: hot dishes, and frequent words in the parent
+        rng = np.random.default_rng([s, 7])
+        if s:
+            before = model.states[s - 1]
+            hot_tables.append(model.reseated(s, model.hot_count, hot_tables[-1], before["tables"][model.hot_context], before["frequent"][model.hot_word], rng))
+        else:
+            hot_tables.append((model.hot_count > 0).astype(np.float64))
+        hot = hot_tables[-1]
+        scalar = of(2, 6)
+        customers = of(1, len(model.words)) + np.bincount(model.hot_word, hot, minlength=len(model.words))
         if s == 0:
-            model.customers = of(3, model.contexts)
+            model.customers = of(3, model.contexts) + np.bincount(model.hot_context, model.hot_count, minlength=model.contexts)
+            ones, twos = scalar[4] + (customers == 1).sum(), scalar[5] + (customers == 2).sum()
             model.discount = float(np.clip(scalar[2] / max(scalar[2] + 2 * scalar[3], 1), 0.1, 0.95))
-            model.parent_discount = float(np.clip(scalar[4] / max(scalar[4] + 2 * scalar[5], 1), 0.1, 0.95))
-        before = model.states[-1] if model.states else {"parent_tables": 0.0}
-        seats = model.parent_seats(before, customers, np.random.default_rng([s, 7]))
-        state = {"tables": of(0, model.contexts), "parent_customers": scalar[0], "parent_tables": scalar[1] + seats.sum()}
-        state["frequent"] = model.parent(state, customers, seats)
+            model.parent_discount = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
+        frequent_seats.append(model.parent_seats(s, customers, frequent_seats[-1] if s else None, rng))
+        state = {"tables": of(0, model.contexts) + np.bincount(model.hot_context, hot, minlength=model.contexts), "parent_customers": scalar[0] + hot.sum(), "parent_tables": scalar[1] + frequent_seats[-1].sum()}
+        state["frequent"] = model.parent(state, customers, frequent_seats[-1])
         model.states.append(state)
+    model.hot_mean = sum(model.predicted_by(s, model.hot_count, hot_tables[s], st["tables"][model.hot_context], model.customers[model.hot_context], st["frequent"][model.hot_word]) for s, st in enumerate(model.states) if s > BURN) / samples
     final = spark.sparkContext.broadcast(model)
 
     def predict(batches):
         m = final.value
-        data, places, sent = {}, {}, []
+        base_of = lambda k: np.log10((k + 0.5) / (m.n + 0.5 * (m.v + 1)))
+        data, places, sent, out = {}, {}, [], c.Rows()
         for bucket, kind, row in c.packed_rows(batches):
-            if kind < 2:
-                (places if kind else data)[bucket] = row
+            if kind == HOT:
+                rid, ids, hot, times = c.unpack(row)
+                rows, at, own = np.unique(rid, return_index=True, return_inverse=True)
+                add = lambda x, own=own, times=times: np.bincount(own, x * times)
+                known = m.counts[m.hot_word[hot]].astype(np.float64)
+                out.add(bucket, 0, c.pack(rows, ids[at], add(1).astype(np.int64), add(known > 0).astype(np.int64), add(base_of(known)), add(np.log10(m.hot_mean[hot]))))
+                yield from out.batches(4 << 20)
+            elif kind < HOT:
+                (places if kind == TOKENS else data)[bucket] = row
             else:
                 sent.append(row)
         for bucket, row in data.items():
-            where = places[bucket]
+            where_ = places[bucket]
             pairs = pairs_of(bucket, row, m, sent)
             mean = np.zeros(len(pairs.word))
-            for s, (tables, predicted, _) in enumerate(pairs.states(samples)):
-                if s:
-                    mean += (np.maximum(pairs.count - m.discount * tables, 0) + (STRENGTH + m.discount * pairs.context_tables(s)) * predicted) / (STRENGTH + pairs.context_customers())
+            for s, (tables, predicted, *_) in enumerate(pairs.states(last)):
+                if s > BURN:
+                    mean += m.predicted_by(s, pairs.count, tables, pairs.context_tables(s), pairs.context_customers(), predicted)
+            # a rarer word's tokens are all in this bucket, so its dishes sum to its count
             word_count = np.concatenate([m.counts.astype(np.float64), pairs.rare_customers(pairs.count)])[pairs.word] if len(pairs.word) else mean
-            base = np.log10((word_count + 0.5) / (m.n + 0.5 * (m.v + 1)))
-            size, doc, rows, ids = c.unpack(where)
-            rows = np.cumsum(rows)
+            size, doc, rows, ids = c.unpack(where_)
             by = lambda x, doc=doc, size=size, rows=rows: np.bincount(doc, np.repeat(x, size), minlength=len(rows))
-            found = (np.bincount(doc, minlength=len(rows)), by((word_count > 0).astype(np.float64)), by(base), by(np.log10(mean / samples)))
-            out = c.Rows()
-            for b, r, i, t, k, x, y in c.split_by(c.bucket_of(rows, n), rows, ids, *found):
-                out.add(b, 0, c.pack(np.diff(r, prepend=0), i, t.astype(np.int32), k.astype(np.int32), x, y))
-            yield from out.batches()
+            found = (np.bincount(doc, minlength=len(rows)), by((word_count > 0).astype(np.float64)).astype(np.int64), by(base_of(word_count)), by(np.log10(mean / samples)))
+            for b, *x in c.split_by(where.part_of(rows), rows, ids, *found):
+                out.add(b, 0, c.pack(*x))
+                yield from out.batches(4 << 20)
+        yield from out.batches()
 
     def collect(batches):
         held = [c.unpack(data) for _, _, data in c.packed_rows(batches)]
         if not held:
             return
-        r = np.concatenate([np.cumsum(h[0]) for h in held])
-        i, t, k, x, y = (np.concatenate([h[j] for h in held]) for j in range(1, 6))
+        r, i, t, k, x, y = (np.concatenate(part) for part in zip(*held))
         rows, first, at = np.unique(r, return_index=True, return_inverse=True)
         ids = i[first]
         yield pa.record_batch(
-            [c.ids_array(ids), pa.array(held_out(ids)), pa.array(np.bincount(at, t).astype(np.int64)), pa.array(np.bincount(at, k).astype(np.int64)), pa.array(np.full(len(ids), total), pa.int64()), pa.array(np.bincount(at, x)), pa.array(np.bincount(at, y))],
+            [c.ids_array(ids), pa.array(held_out(ids)), pa.array(_added(at, t)), pa.array(_added(at, k)), pa.array(np.full(len(ids), total), pa.int64()), pa.array(np.bincount(at, x)), pa.array(np.bincount(at, y))],
             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return c.deal(joined(*packed).mapInArrow(predict, c.PACKED), n).mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return c.deal(joined(of_kind(PAIRS), of_kind(TOKENS), of_kind(HOT)).mapInArrow(predict, c.PACKED), where).mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
