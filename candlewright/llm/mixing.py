@@ -4,15 +4,17 @@ A classifier fitted on labelled texts predicts every document's posteriors over
 fit nonnegative document rates, so that the expected token totals of the domains (rate x tokens x posterior) match the
 targets while rates stay near one.
 
-The classifier (softmax regression on a few shape measures and the `KEPT` hashed distinct words whose shares of
-documents differ most between domains, in standard errors) is fitted on at most `sample` labelled documents, taken by
-hash; posteriors, totals and rates cover all documents.  A step is the
+The classifier (softmax regression on a few shape measures and on hashed distinct words, each scaled by how many standard
+errors its shares of documents differ between domains, so that words without a clear difference can say little) is
+fitted on at most `sample` labelled documents and `sample_bytes` of their texts, taken by hash; posteriors, totals and
+rates cover all documents.  A step is the
 residual of each domain, scaled by the inverse Gram matrix, so a document's rate follows from the list of past steps: each step is one pass
 over (tokens, posteriors) that sums K numbers, and the driver holds K numbers a step.
 
 Domains of `labels`: toxic (toxic = 1), poor (quality = 0), good (quality = 1).  Labels without a text, and null
 labels, are not used; without any usable label the posteriors are uniform.  Null texts have no tokens and rate one.
-Repeated rows and null identifiers get rates of their own; an empty table gives an empty result.
+Repeated rows and null identifiers get rates of their own (the classifier sees one text of an identifier, the least);
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as c
 
 BITS = 20
 FEATURES = 1 << BITS
-KEPT = 2048
+CERTAIN = 10.0  # standard errors at which a word has its full scale; below, it falls with their third power
 LEAST_DOCUMENTS = 2  # with a feature in the sample
 SHAPE = 5
 DOMAINS = ("good", "poor", "toxic")
@@ -60,8 +63,8 @@ def logits(weights, bias, feature, owner, shape):
     return out
 
 
-def significant(parts, labels: np.ndarray, k: int) -> np.ndarray:
-    """Place of each hashed word among those that tell domains apart, -1 for all others."""
+def scales(parts, labels: np.ndarray, k: int) -> np.ndarray:
+    """Scale of each hashed word, 0 to 1, by how significantly its shares of documents differ between domains."""
     seen, at = np.zeros((FEATURES, k)), 0
     for feature, owner, shape in parts:
         np.add.at(seen, (feature, labels[at + owner]), 1)
@@ -73,11 +76,7 @@ def significant(parts, labels: np.ndarray, k: int) -> np.ndarray:
     for j in np.flatnonzero((of > 0) & (of < n)):
         error = np.sqrt(share * (1 - share) * (1 / of[j] + 1 / (n - of[j])))
         most = np.maximum(most, np.abs(seen[:, j] / of[j] - (total - seen[:, j]) / (n - of[j])) / np.maximum(error, 1e-12))
-    known = np.flatnonzero((most > 0) & (total >= LEAST_DOCUMENTS))
-    chosen = np.sort(known[np.lexsort((known, -most[known]))[:KEPT]])
-    place = np.full(FEATURES, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    return place
+    return np.where((most > 1) & (total >= LEAST_DOCUMENTS), np.minimum(most / CERTAIN, 1) ** 3, 0)
 
 
 def only(place: np.ndarray, feature: np.ndarray, owner: np.ndarray):
@@ -90,35 +89,43 @@ def softmax(z):
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(parts, labels: np.ndarray, k: int, rounds: int = 12):
-    """(place, weights, bias): softmax regression by Adagrad over blocks of documents (feature, owner, shape)."""
-    place = significant(parts, labels, k)
+def fit(parts, labels: np.ndarray, k: int, rounds: int = 30, steps: int = 1000):
+    """(place, weights, bias): softmax regression by Adagrad over blocks of documents (feature, owner, shape), in so many
+    rounds and steps at least."""
+    scale = scales(parts, labels, k)
+    place = np.full(FEATURES, -1, np.int32)
+    chosen = np.flatnonzero(scale)
+    place[chosen] = np.arange(len(chosen))
+    scale = scale[chosen][:, None]
     parts = [(*only(place, feature, owner), shape) for feature, owner, shape in parts]
-    weights, bias = np.zeros((place.max() + 1, k)), np.zeros((SHAPE, k))
+    weights, bias = np.zeros((len(chosen), k)), np.zeros((SHAPE, k))
     seen_w, seen_b = np.full(weights.shape, 1e-6), np.full((SHAPE, k), 1e-6)
-    for _ in range(rounds):
+    for _ in range(max(rounds, -(-steps // len(parts)))):
         at = 0
         for feature, owner, shape in parts:
             y = labels[at : at + len(shape)]
             at += len(shape)
-            error = softmax(logits(weights, bias, feature, owner, shape))
+            used, nth = np.unique(feature, return_inverse=True)
+            error = softmax(logits(weights[used] * scale[used], bias, nth, owner, shape))
             error[np.arange(len(y)), y] -= 1
-            used = np.unique(feature)
-            nth = np.searchsorted(used, feature)
-            g = np.stack([np.bincount(nth, error[owner, j], minlength=len(used)) for j in range(k)], axis=1) / len(y) + 1e-5 * weights[used]
+            g = np.stack([np.bincount(nth, error[owner, j], minlength=len(used)) for j in range(k)], axis=1) * scale[used] / len(y) + 1e-5 * weights[used]
             seen_w[used] += g * g
             weights[used] -= 0.3 * g / np.sqrt(seen_w[used])
             g = shape.T @ error / len(y)
             seen_b += g * g
             bias -= 0.1 * g / np.sqrt(seen_b)
-    return place, weights, bias
+    return place, weights * scale, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str):
-    """(place, weights, bias) fitted on at most `sample` labelled texts."""
+def train(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, id_col: str, text_col: str):
+    """(place, weights, bias) fitted on at most `sample` labelled texts of `sample_bytes` together."""
     known = labels.selectExpr("doc_id id", "CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 0 END y").where("id IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = c.columns(docs, id=id_col, text=text_col).join(known, "id").toArrow().sort_by("id")  # `sample` rows at most
+    rows = c.columns(docs, id=id_col, text=text_col).join(F.broadcast(known), "id")  # `sample` small rows
+    rows = c.materialise(rows.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
+    within = rows.select("id", F.octet_length("text").alias("text_bytes"))
+    within = within.withColumn("run", F.sum(F.coalesce("text_bytes", F.lit(0))).over(W.orderBy(F.xxhash64("id"), "id"))).where(F.col("run") <= sample_bytes)  # over `sample` numbers
+    rows = rows.join(F.broadcast(within.select("id")), "id").toArrow().sort_by("id")
     parts, ys = [], []
     for at in range(0, rows.num_rows, 128):
         part = rows.slice(at, 128).combine_chunks()
@@ -139,8 +146,8 @@ def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return rate
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_totals: dict[str, float] | None = None) -> DataFrame:
-    """(row: struct of the identifier and the carried columns, n_tokens long, p_<domain>, rate double), one per input row.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 20_000, sample_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_totals: dict[str, float] | None = None) -> DataFrame:
+    """(row: struct<id, carried: struct of the carried columns>, n_tokens long, p_<domain>, rate double), one per input row.
 
     targets: shares of the token total by domain; keep_totals: instead, factors by a document's likeliest domain, and
     the targets are the domains' expected totals of documents so weighted (rates that meet them exist therefore: the
@@ -148,8 +155,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     spark = docs.sparkSession
     c.prepare(spark)
-    model = spark.sparkContext.broadcast(train(docs, labels, sample, id_col, text_col))  # FEATURES places, KEPT x K weights
-    row = F.struct(docs[f"`{id_col}`"].alias("id"), *(docs[f"`{x}`"] for x in carry or []))
+    model = spark.sparkContext.broadcast(train(docs, labels, sample, sample_bytes, id_col, text_col))  # FEATURES places and as many weights at most
+    row = c.carried_row(docs, id_col, carry)
     df = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), row.alias("row"))
 
     def predict(batches):
