@@ -46,6 +46,8 @@ END = np.uint64(0xE4D0F7E87000A5C3)
 START = np.uint64(0)  # the context of a text's first token
 STEP = np.uint64(0x9E3779B97F4A7C15)
 PAIRS, TOKENS, HOT, HOT_COUNTS = range(4)
+TOTALS, STATE = 10, 100  # kinds of rows of state s: TOTALS + s, STATE + s
+FLUSH_BYTES = c.FLUSH_BYTES // 2  # a token takes more memory than its text
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -238,11 +240,13 @@ class Model:
 class Pairs:
     """A bucket's dishes: word and context (frequent index, or number of frequent ones + local index), training count.
 
-    keys: the rarer contexts; totals: (owner, state, tables, customers) of them, as the owners sent them.
+    keys: the rarer contexts; totals: (owner, state, tables, customers) of them, as the owners sent them; state: tables of
+    dishes and seats of rare words in the parent, by state.
     """
 
-    def __init__(self, bucket: int, model: Model, word, context, count, rare: int, keys: np.ndarray, n: int, totals=()) -> None:
+    def __init__(self, bucket: int, model: Model, word, context, count, rare: int, keys: np.ndarray, n: int, totals=(), state=None) -> None:
         self.bucket, self.model, self.word, self.context, self.count, self.rare, self.keys = bucket, model, word, context, count, rare, keys
+        self.state = state or {}
         self.owner = (keys % np.uint64(n)).astype(np.int64)
         order = np.argsort(self.owner, kind="stable")
         self.tables, self.customers = {}, None
@@ -266,27 +270,29 @@ class Pairs:
     def context_customers(self) -> np.ndarray:
         return np.concatenate([self.model.customers, np.empty(0) if self.customers is None else self.customers])[self.context]
 
-    def states(self, upto: int):
-        """(tables of dishes, the parent's predictions of them, customers and tables of rare words) of each state.
-
-        A state follows from the one before and numbers drawn by bucket and state, so it is the same whenever it is needed.
-        """
-        tables, seats, predicted = (self.count > 0).astype(np.float64), None, None
-        for s in range(upto + 1):
-            rng = np.random.default_rng([self.bucket, s])
-            if s:
-                tables = self.model.reseated(s, self.count, tables, self.context_tables(s - 1), predicted, rng)
-            customers = self.rare_customers(tables)
-            seats = self.model.parent_seats(s, customers, seats, rng)
-            if s < len(self.model.states):
-                now = self.model.states[s]
-                predicted = np.concatenate([now["frequent"], self.model.parent(now, customers, seats)])[self.word] if len(self.word) else np.empty(0)
-            yield tables, predicted, customers, seats
+    def parents(self, s: int) -> np.ndarray:
+        """The parent's predictions of each dish in a state."""
+        tables, seats = self.state[s]
+        now = self.model.states[s]
+        every = np.concatenate([now["frequent"], self.model.parent(now, self.rare_customers(tables), seats)])
+        return every[self.word] if len(self.word) else np.empty(0)
+
+    def advance(self, s: int) -> np.ndarray:
+        """Draws state s from the one before; returns the rare words' customers in the parent."""
+        rng = np.random.default_rng([self.bucket, s])
+        tables, seats = (self.count > 0).astype(np.float64), None
+        if s:
+            before, seats = self.state[s - 1]
+            tables = self.model.reseated(s, self.count, before, self.context_tables(s - 1), self.parents(s - 1), rng)
+        customers = self.rare_customers(tables)
+        self.state[s] = tables, self.model.parent_seats(s, customers, seats, rng)
+        return customers
 
 
 def _sums(pairs: Pairs, s: int):
     """What state s sums over buckets: (kind, index, value); kinds 4 and 5: tables and customers of all its rarer contexts."""
-    *_, (tables, _, customers, seats) = pairs.states(s)
+    customers = pairs.advance(s)
+    tables, seats = pairs.state[s]
     shared, most = pairs.model.contexts, pairs.model.contexts + len(pairs.keys)
     by_context = np.bincount(pairs.context, tables, minlength=most)
     yield 4, np.arange(len(pairs.keys)), by_context[shared:]
@@ -343,7 +349,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             train = ~held_out(ids)[doc]
             held.append((word[train], before[train]))
             size += len(text) + len(ids)
-            if size >= c.FLUSH_BYTES:
+            if size >= FLUSH_BYTES:
                 yield from flush()
                 held, size = [], 0
         if held:
@@ -377,29 +383,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     shared = spark.sparkContext.broadcast(model)
 
     def tokens(batches):
-        held, size = [], 0
+        held, rows, size = [], [], 0  # (word, word before, text), (row, identifier) of each text
         m = shared.value
 
         def flush():
-            word, before, rid, ids = (np.concatenate(x) for x in zip(*held))
-            code, context, key = m.frequent(word), m.context(before), dish_key(word, before)
+            word, before, doc = (np.concatenate(x) for x in zip(*held))
+            rid, ids = (np.concatenate(x) for x in zip(*rows))
+            held.clear()
+            key = dish_key(word, before)
             hot = m.hot_index(key)
             out = c.Rows()
             warm = np.flatnonzero(hot >= 0)
             if len(warm):  # counted by text
-                row, first, at = np.unique(rid[warm], return_index=True, return_inverse=True)
-                pair, times = np.unique(at * np.int64(len(m.hot)) + hot[warm], return_counts=True)
-                row_at = pair // len(m.hot)
-                for b, *x in c.split_by(where.part_of(row[row_at]), row[row_at], ids[warm][first][row_at], pair % len(m.hot), times):
+                pair, times = np.unique(doc[warm] * np.int64(len(m.hot)) + hot[warm], return_counts=True)
+                text = pair // len(m.hot)
+                for b, *x in c.split_by(where.part_of(rid[text]), rid[text], ids[text], pair % len(m.hot), times):
                     out.add(b, HOT, c.pack(*x))
                     yield from out.batches(4 << 20)
             cold = hot < 0
-            word, before, rid, ids, code, context, key = (x[cold] for x in (word, before, rid, ids, code, context, key))
-            rows, at, doc = np.unique(rid, return_index=True, return_inverse=True)
-            row_ids = ids[at]
+            word, before, doc, key = word[cold], before[cold], doc[cold], key[cold]
+            code, context = m.frequent(word), m.context(before)
             for b, w, k, x, u, d in c.split_by(where.part(np.where(code >= 0, key, word)), word, code, context, before, doc):
                 used, own = np.unique(d, return_inverse=True)
-                out.add(b, TOKENS, c.pack(w[k < 0], k, x, u[x < 0], own, rows[used], row_ids[used]))
+                out.add(b, TOKENS, c.pack(w[k < 0], k, x, u[x < 0], own, rid[used], ids[used]))
                 yield from out.batches(4 << 20)
             yield from out.batches()
 
@@ -409,12 +415,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 rids, done = part.column("rid").to_numpy(), 0
                 for ids, text, offsets in c.blocks([part]):
                     word, before, doc = tokens_of(text, offsets)
-                    held.append((word, before, rids[done : done + len(ids)][doc], ids[doc]))
+                    held.append((word, before, (doc + sum(len(r) for r, _ in rows)).astype(np.int32)))
+                    rows.append((rids[done : done + len(ids)], ids))
                     done += len(ids)
                     size += len(text) + 8 * len(ids)
-                if size >= c.FLUSH_BYTES:
-                    yield from flush()
-                    held, size = [], 0
+                    if size >= FLUSH_BYTES:
+                        yield from flush()
+                        held, rows, size = [], [], 0
         if held:
             yield from flush()
 
@@ -473,16 +480,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     for i, times in of_kind(HOT_COUNTS).mapInArrow(summed, "i long, n long").groupBy("i").agg(F.sum("n")).collect():  # hot dishes
         model.hot_count[i] = times
 
-    def pairs_of(bucket, data, m, totals=()) -> Pairs:
+    def pairs_of(bucket: int, data: bytes, m: Model, more=()) -> Pairs:
+        """A bucket's dishes with the totals and states that came with it: (kind, data) rows."""
         word, context, trained, rare, keys = c.unpack(data)
-        return Pairs(bucket, m, word, context, trained.astype(np.float64), int(rare[0]), keys, n, [(int(t[0][0]), int(t[1][0]), *t[2:]) for t in map(c.unpack, totals)])
+        totals, state = [], {}
+        for kind, row in more:
+            if kind >= STATE:
+                state[kind - STATE] = tuple(x.astype(np.float64) for x in c.unpack(row))
+            else:
+                owner, *x = c.unpack(row)
+                totals.append((int(owner[0]), kind - TOTALS, *x))
+        return Pairs(bucket, m, word, context, trained.astype(np.float64), int(rare[0]), keys, n, totals, state)
 
-    totals = []  # of rarer contexts, a table for each state: kind 10 + state
+    results: list[DataFrame] = []  # of each state: its totals of rarer contexts and its tables, by bucket
 
     def joined(*frames) -> DataFrame:
-        """Rows of frames and all totals, a bucket to a partition."""
+        """Rows of frames, a bucket to a partition."""
         out = frames[0]
-        for t in (*frames[1:], *totals):
+        for t in frames[1:]:
             out = out.union(t)
         return c.deal(out, where)
 
@@ -507,6 +522,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 for b, key, *x in c.split_by(pairs.owner.astype(np.int32), pairs.keys, *own.values()):
                     out.add(b, 1, c.pack(np.array([pairs.bucket]), key, *x))
                     yield from out.batches(4 << 20)
+                out.add(pairs.bucket, STATE, c.pack(*(x.astype(np.int64) for x in pairs.state[s])))
                 yield from out.batches()
 
             data, sent = {}, []
@@ -516,15 +532,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 elif kind == PAIRS:
                     data[bucket] = row
                 else:
-                    sent.append(row)
+                    sent.append((kind, row))
             for bucket, row in data.items():
                 yield from send(pairs_of(bucket, row, known.value, sent))
 
         def owned(batches, s=s):
-            sums, asked, bucket = [], [], None
+            sums, asked, bucket, out = [], [], None, c.Rows()
             for bucket, kind, row in c.packed_rows(batches):
-                (asked if kind else sums).append(c.unpack(row))
-            out = c.Rows()
+                if kind == STATE:
+                    out.add(bucket, STATE + s, row)
+                else:
+                    (asked if kind else sums).append(c.unpack(row))
             if sums:
                 kind, index, value = (np.concatenate(x) for x in zip(*sums))
                 pair, at = np.unique(index * 4 + kind, return_inverse=True)
@@ -535,14 +553,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 to = 0
                 for source, key, *_ in asked:
                     to, lo = to + len(key), to
-                    out.add(int(source[0]), 10 + s, c.pack(np.array([bucket]), np.array([s]), *(x[lo:to] for x in found)))
+                    out.add(int(source[0]), TOTALS + s, c.pack(np.array([bucket]), *(x[lo:to] for x in found)))
                     yield from out.batches(4 << 20)
             yield from out.batches()
 
-        swept = (joined(of_kind(PAIRS)) if s else of_kind(PAIRS)).mapInArrow(sweep, c.PACKED)
+        swept = (joined(of_kind(PAIRS), results[-1]) if s else of_kind(PAIRS)).mapInArrow(sweep, c.PACKED)
         result = c.materialise(c.deal(swept, where).mapInArrow(owned, c.PACKED), "totals")
         sums = [c.unpack(r.data) for r in result.where("bucket < 0").collect()]  # by frequent context and word
-        totals.append(result.where("bucket >= 0"))
+        results.append(result.where("bucket >= 0"))
         kind, index, value = (np.concatenate(x) for x in zip(*sums)) if sums else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         of = lambda k, size: np.bincount(index[kind == k], value[kind == k].astype(np.float64), minlength=size)
         # the driver's part: hot dishes, and frequent words in the parent
@@ -582,14 +600,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             elif kind < HOT:
                 (places if kind == TOKENS else data)[bucket] = row
             else:
-                sent.append(row)
+                sent.append((kind, row))
         for bucket, row in data.items():
             where_ = places[bucket]
             pairs = pairs_of(bucket, row, m, sent)
             mean = np.zeros(len(pairs.word))
-            for s, (tables, predicted, *_) in enumerate(pairs.states(last)):
-                if s > BURN:
-                    mean += m.predicted_by(s, pairs.count, tables, pairs.context_tables(s), pairs.context_customers(), predicted)
+            for s in range(BURN + 1, last + 1):
+                mean += m.predicted_by(s, pairs.count, pairs.state[s][0], pairs.context_tables(s), pairs.context_customers(), pairs.parents(s))
             # a rarer word's tokens are all in this bucket, so its dishes sum to its count
             word_count = np.concatenate([m.counts.astype(np.float64), pairs.rare_customers(pairs.count)])[pairs.word] if len(pairs.word) else mean
             size, doc, rows, ids = c.unpack(where_)
@@ -612,4 +629,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return c.deal(joined(of_kind(PAIRS), of_kind(TOKENS), of_kind(HOT)).mapInArrow(predict, c.PACKED), where).mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    first = results[0].where(F.col("kind") == TOTALS)  # has the contexts' customers
+    whole = joined(of_kind(PAIRS), of_kind(TOKENS), of_kind(HOT), first, *results[BURN + 1 :])
+    return c.deal(whole.mapInArrow(predict, c.PACKED), where).mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
