@@ -9,13 +9,13 @@ nothing).  Components of links are found for every document.
    threshold is missed with probability `miss`.
 2. Documents with equal sets become one: at once where a task holds both sets, else as a pair to be confirmed.
 3. *Stars.*  The documents of a band bucket are paired with the one of them that shares most buckets with others (the
-   middle of a group of near copies), inside a task first, so that a bucket of very many documents meets elsewhere as
-   one document a task.
-4. Pairs are screened by the collision-corrected similarity that bit counts of the packed signatures give, then
-   confirmed on full sets: the most similar pair of each document first, then pairs that still join different components.
-5. *Rest.*  Documents of one bucket can be linked though neither is linked with its star's middle.  Where stars leave
-   several components that share buckets, all their documents outside the largest one are compared, by signatures,
-   with all others there, in bins of BIN documents; what the estimate lets through is confirmed as in 4.
+   middle of a group of near copies): inside a task, whose middles alone meet in the bucket, and then with the bucket's.
+4. Pairs are screened by the collision-corrected similarity that bit counts of the packed signatures give, then the
+   NEAREST of each document are confirmed on full sets.
+5. *Rest.*  Documents of one bucket can be linked though neither is linked with its star's middle.  Where several
+   components are left that share buckets, all their documents outside the largest one meet all others there, bin by
+   bin; what the estimate lets through and is not connected yet is confirmed, the most similar first.  A task gives a
+   spanning forest of its links, never all pairs.
 6. Components of all links are the result.
 
 Null texts are empty.  Rows of one identifier stand for one document (their links unite); a null identifier gets
@@ -37,10 +37,10 @@ from ._graph import components
 
 BITS = 2
 MARGIN = 5.0  # standard deviations below the threshold at which the estimate rules a pair out
-BIN = 256  # documents that a task of the rest compares with the others
-CHUNK = 4096  # others that it holds at once
-PARTNERS = 8  # of a document that the first round of the rest confirms; each round takes four times as many
-SIZES, LINKS, SAME, SETS, SIGNS, PAIRS, STARS, TEXTS, MEMBERS = range(9)
+BIN = 128  # documents on either side of a comparison of the rest
+BINS = 512  # of a cluster at most; beyond it they grow
+NEAREST = 3  # of a document's pairs that are confirmed first
+SIZES, LINKS, SAME, SETS, SIGNS, PAIRS, SHARED, STARS, TEXTS, MEMBERS = range(10)
 
 
 class Plan:
@@ -209,6 +209,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             k, w, f = key[order], who[order], who[order][first]
             pair = np.unique(np.stack([ids[f[~head]], ids[w[~head]]], axis=1), axis=0)
             out.add(bucket, PAIRS, c.pack(pair[:, 0], pair[:, 1]))
+            several = size[group[order]] > 1
+            out.add(bucket, SHARED, c.pack(k[several].view(np.int64), ids[w[several]]))
             for b, *x in c.split_by(where.part(k[head]), k[head], ids[w[head]], size[group[order]][head]):
                 out.add(b, STARS, c.pack(*x))
                 yield from out.batches(1 << 20)
@@ -245,8 +247,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = c.materialise(c.deal(settled.where(F.col("kind") == STARS), where, keys).mapInArrow(stars, "key long, id long, total long"), "minhash-stars")
     degree = met.groupBy("id").agg(F.sum("total").alias("degree"))
-    middle = met.hint("merge").join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("middle"))
-    across = met.hint("merge").join(middle, "key").where("id <> middle").selectExpr("least(id, middle) src", "greatest(id, middle) dst")
+    middle = met.hint("merge").join(degree.hint("merge"), "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("middle"))
+    every = met.select("key", "id").unionByName(of_kind(SHARED).selectExpr("a key", "b id"))
+    across = every.hint("merge").join(middle.hint("merge"), "key").where("id <> middle").selectExpr("least(id, middle) src", "greatest(id, middle) dst")
     pairs = c.materialise(of_kind(PAIRS).selectExpr("least(a, b) src", "greatest(a, b) dst").unionByName(across).distinct(), "minhash-pairs")
 
     def lows(column: pa.Array) -> np.ndarray:
@@ -287,6 +290,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = c.deal(named.mapInArrow(address, c.PACKED).unionByName(c.row_packs(slim, where, TEXTS)), where, keys)
     texts = c.materialise(dealt.mapInArrow(gather, "id long, text string"), "minhash-texts")
 
+    def sets_of(texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        x, doc = _distinct(*shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), shingle))
+        return np.split(x, np.cumsum(np.bincount(doc, minlength=len(raw)))[:-1])
+
+    def linked(one: np.ndarray, two: np.ndarray) -> bool:
+        shared = len(np.intersect1d(one, two, assume_unique=True))
+        return bool(shared > 0 and den * shared >= num * (len(one) + len(two) - shared))
+
     def compare(batches):
         """Whether the full sets of pairs reach the threshold; a text that comes again in a part is taken apart once."""
         for batch in batches:
@@ -296,15 +308,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(lo, hi - lo)
                 place: dict = {}
                 own = [[place.setdefault(t or "", len(place)) for t in part.column(x).to_pylist()] for x in ("text", "other")]
-                raw = [t.encode() for t in place]
-                x, doc = _distinct(*shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), shingle))
-                count = np.bincount(doc, minlength=len(raw))
-                sets = np.split(x, np.cumsum(count)[:-1])
-                linked = []
-                for i, j in zip(*own):
-                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    linked.append(bool(shared > 0 and den * shared >= num * (count[i] + count[j] - shared)))
-                yield pa.record_batch([part.column("src"), part.column("dst"), pa.array(linked, pa.bool_())], ["src", "dst", "linked"])
+                sets = sets_of(list(place))
+                yield pa.record_batch([part.column("src"), part.column("dst"), pa.array([linked(sets[i], sets[j]) for i, j in zip(*own)], pa.bool_())], ["src", "dst", "linked"])
 
     def confirmed(asked: DataFrame) -> DataFrame:
         """(src, dst, linked) of pairs, on the full sets of their texts."""
@@ -319,75 +324,74 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = out.hint("merge").join(label.selectExpr(f"node {end}", f"component {name}"), end, "left")
         return out.withColumns({"a": F.coalesce("a", "src"), "b": F.coalesce("b", "dst")})
 
-    best = F.max_by(F.struct("src", "dst"), F.struct("near", -F.col("src"), -F.col("dst"))).alias("p")
-    nearest = passing.select("src", "dst", "near", F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(best).select("p.src", "p.dst")
+    ends = passing.select("src", "dst", "near", F.explode(F.array("src", "dst")).alias("id"))
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("near"), "src", "dst"))  # its rank limit is applied before the shuffle
+    nearest = ends.withColumn("place", place).where(f"place <= {NEAREST}").select("src", "dst")
     checked = confirmed(nearest.unionByName(same))
     label = components(checked.where("linked").select("src", "dst"))
-    left = labelled(passing.join(checked, ["src", "dst"], "left_anti"), label).where("a <> b")
-    checked = c.materialise(checked.unionByName(confirmed(left)), "minhash-checked")
-    label = components(checked.where("linked").select("src", "dst"))
 
     # components that share buckets, without the pairs of documents that have been compared
     open_ = c.materialise(labelled(pairs, label).where("a <> b"), "minhash-open")
     clusters = components(open_.selectExpr("a src", "b dst"))
     nodes = pairs.selectExpr("inline(array(struct(src id), struct(dst id)))").distinct()
-    partners = PARTNERS
-    while not clusters.isEmpty():
+    links = checked.where("linked").select("src", "dst")
+    if not clusters.isEmpty():
         members = labelled(nodes.selectExpr("id src", "id dst"), label).selectExpr("src id", "a label")
-        members = c.materialise(members.hint("merge").join(clusters.selectExpr("node label0", "component cluster"), F.col("label") == F.col("label0")).select("id", "label", "cluster"), "minhash-members")
-        counts = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels"))
-        found = _rest(members, counts.where("size > 2 AND labels > 1"), signs, plan, lows, checked, partners)
-        if found.isEmpty():
-            break
-        checked = c.materialise(checked.unionByName(confirmed(found)), "minhash-checked")
-        label = components(checked.where("linked").select("src", "dst"))
-        open_ = labelled(open_.select("src", "dst"), label).where("a <> b")
-        clusters = components(open_.selectExpr("a src", "b dst"))
-        partners *= 4
-
-    found = components(checked.where("linked").select("src", "dst").unionByName(copies))
+        members = c.materialise(members.hint("merge").join(clusters.selectExpr("node label", "component cluster").hint("merge"), "label"), "minhash-members")
+        counts = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.sum("n").alias("size"))
+        rows = members.hint("merge").join(counts.where("size > 2").hint("merge"), "cluster").hint("merge").join(signs.hint("merge"), "id").hint("merge").join(texts.hint("merge"), "id")
+        links = c.materialise(links.unionByName(_rest(rows, plan, lows, sets_of, linked)), "minhash-links")
+
+    found = components(links.unionByName(copies))
     return (
         sizes.selectExpr(f"nullif(a, {c.NULL_ID}) id", "b n_shingles")
-        .join(found.withColumnRenamed("node", "id"), "id", "left")
+        .join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left")
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
     )
 
 
-def _rest(members: DataFrame, clusters: DataFrame, signs: DataFrame, plan: Plan, lows, checked: DataFrame, partners: int) -> DataFrame:
-    """Pairs (src, dst) to confirm of documents in different components of a cluster; none if all have been compared.
+def _rest(rows: DataFrame, plan: Plan, lows, sets_of, linked) -> DataFrame:
+    """Links (src, dst) among documents of clusters (rows: cluster, size, label, largest, id, low, text).
 
-    Each document outside its cluster's largest component is compared, by signatures, with every other document of the
-    cluster: documents are dealt to bins, and those outside go to every bin, CHUNK of them at a time.  A document's
-    `partners` most similar ones that pass the estimate and were not compared before go on; a bin gives as many more
-    as the document has been compared with, so the ones that are left out now come in a later round.
+    Each document outside its cluster's largest component meets every other document of the cluster: all are dealt to
+    bins, those outside to bins of askers too, and each pair of bins is compared in one place, a *spot*.
     """
-    rows = members.hint("merge").join(clusters, "cluster").hint("merge").join(signs, "id")
-    rows = rows.withColumn("bins", F.ceil(F.col("size") / BIN).cast("int")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    rows = rows.withColumn("bin", F.expr("cast(pmod(xxhash64(id), bins) as int)")).withColumn("chunk", F.expr("cast(pmod(xxhash64(id, 1), chunks) as int)"))
-    tried = checked.selectExpr("inline(array(struct(src id), struct(dst id)))").groupBy("id").agg(F.count(F.lit(1)).alias("tried"))
-    outside = rows.where("label <> largest").hint("merge").join(tried, "id", "left").withColumn("most", F.coalesce("tried", F.lit(0)) + partners)
-    own = rows.select("cluster", "bin", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(0).cast("long").alias("most"), "id", "label", "low")
-    asks = outside.select("cluster", F.explode(F.expr("sequence(0, bins - 1)")).alias("bin"), "chunk", "most", "id", "label", "low")
+    rows = rows.withColumn("bins", F.least(F.ceil(F.col("size") / BIN), F.lit(BINS)).cast("int"))
+    deal = lambda seed: F.expr(f"cast(pmod(xxhash64(id, {seed}), bins) as int)")
+    every = F.explode(F.expr("sequence(0, bins - 1)"))
+    own = rows.select("cluster", deal(0).alias("bin"), every.alias("chunk"), F.lit(False).alias("asks"), "id", "label", "low", "text")
+    asks = rows.where("label <> largest").select("cluster", every.alias("bin"), deal(1).alias("chunk"), F.lit(True).alias("asks"), "id", "label", "low", "text")
     spot = own.unionByName(asks).repartition("cluster", "bin", "chunk").sortWithinPartitions("cluster", "bin", "chunk")
 
     def examined(held):
-        ids, labels, most, low = (np.concatenate(x) for x in zip(*held))
-        mine, out = most == 0, []
-        for at in np.flatnonzero(~mine):
-            near = np.where((labels[mine] != labels[at]), plan.similarity(low[at], low[mine]), -1.0)
-            some = np.flatnonzero(near >= plan.least)
-            some = some[np.lexsort((ids[mine][some], -near[some]))[: most[at]]]
-            other, own_id = ids[mine][some], np.full(len(some), ids[at])
-            out.append((np.minimum(other, own_id), np.maximum(other, own_id), near[some], own_id))
-        src, dst, near, who = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
-        return pa.record_batch([pa.array(src), pa.array(dst), pa.array(near), pa.array(who)], ["src", "dst", "near", "who"])
-
-    def screen(batches):
-        """Spots come one after the other; a spot holds BIN documents and up to CHUNK or so that ask."""
+        asks, ids, labels, low, text = (np.concatenate(x) for x in zip(*held))
+        other = np.flatnonzero(~asks)
+        sets: dict[int, np.ndarray] = {}
+        root = np.unique(labels, return_inverse=True)[1]  # components, as far as links here have joined them
+        out = []
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = sets_of([text[i]])[0]
+            return sets[i]
+
+        for i in np.flatnonzero(asks).tolist():
+            apart = other[root[other] != root[i]]
+            near = plan.similarity(low[i], low[apart])
+            for j in apart[np.argsort(-near, kind="stable")[: int((near >= plan.least).sum())]].tolist():
+                if root[j] != root[i] and linked(set_of(i), set_of(j)):
+                    out.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        src, dst = zip(*out) if out else ((), ())
+        return pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    def compare(batches):
         last, held = None, []
         for batch in batches:
             at = np.stack([batch.column(x).to_numpy() for x in ("cluster", "bin", "chunk")], axis=1).astype(np.int64)
-            columns = [batch.column(x).to_numpy() for x in ("id", "label", "most")] + [lows(batch.column("low"))]
+            text = np.empty(len(at), object)
+            text[:] = [t or "" for t in batch.column("text").to_pylist()]
+            columns = [batch.column("asks").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(), batch.column("label").to_numpy(), lows(batch.column("low")), text]
             cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1, [len(at)]])
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo and last != tuple(at[lo]):
@@ -399,6 +403,4 @@ def _rest(members: DataFrame, clusters: DataFrame, signs: DataFrame, plan: Plan,
         if held:
             yield examined(held)
 
-    found = spot.mapInArrow(screen, "src long, dst long, near double, who long").join(checked.select("src", "dst"), ["src", "dst"], "left_anti")
-    place = F.row_number().over(W.partitionBy("who").orderBy(F.desc("near"), "src", "dst"))
-    return c.materialise(found.withColumn("place", place).where(f"place <= {partners}").select("src", "dst").distinct(), "minhash-rest")
+    return spot.mapInArrow(compare, "src long, dst long")

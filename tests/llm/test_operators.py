@@ -175,8 +175,8 @@ def near_rows():
 
 @pytest.mark.parametrize("small", (False, True))
 def test_minhash_chains_and_large_groups(spark, monkeypatch, small):
-    if small:  # bins of a few documents, one partner a round, several buckets to a partition
-        for name, value in (("BIN", 3), ("CHUNK", 4), ("PARTNERS", 1)):
+    if small:  # bins of a few documents, one pair of a document first, several buckets to a partition
+        for name, value in (("BIN", 3), ("BINS", 4), ("NEAREST", 1)):
             monkeypatch.setattr(minhash, name, value)
         monkeypatch.setattr(c, "MOST", 2)
     rows = near_rows()
