@@ -125,53 +125,61 @@ def info_record(number: int) -> bytes:
 
 def member(record: bytes) -> bytes:
     """A record as gzip members; the last byte of the last one is zero."""
-    return b"".join(gzip.compress(record[at : at + MEMBER_BYTES], 6, mtime=0) for at in range(0, len(record), MEMBER_BYTES))
+    return b"".join(gzip.compress(record[at : at + MEMBER_BYTES], 4, mtime=0) for at in range(0, len(record), MEMBER_BYTES))
 
 
 def read_warc(chunks):
     """(header dict, payload) of the records of WARC data that comes in chunks, by declared lengths."""
-    data, done = bytearray(), False
+    data, at, done = b"", 0, False  # what has been read and where the next record begins in it
     chunks = iter(chunks)
 
     def more(n: int) -> bool:
-        nonlocal done
-        while len(data) < n and not done:
-            part = next(chunks, None)
-            done = part is None
-            if part:
-                data.extend(part)
-        return len(data) >= n
+        """Whether n bytes from the record's beginning are there."""
+        nonlocal data, at, done
+        if len(data) - at < n and not done:
+            parts, size = [data[at:]], len(data) - at
+            while size < n and not done:
+                part = next(chunks, None)
+                done = part is None
+                if part:
+                    parts.append(part)
+                    size += len(part)
+            data, at = b"".join(parts), 0
+        return len(data) - at >= n
 
     while more(1):
-        end = data.find(b"\r\n\r\n")
+        end = data.find(b"\r\n\r\n", at) - at
         while end < 0:
-            if not more(len(data) + 1):
+            if not more(len(data) - at + 1):
                 raise ValueError("a record's header does not end")
-            end = data.find(b"\r\n\r\n")
-        lines = data[:end].decode().split("\r\n")
+            end = data.find(b"\r\n\r\n", at) - at
+        lines = data[at : at + end].decode().split("\r\n")
         if lines[0] != "WARC/1.1":
             raise ValueError(f"no record where one should begin: {lines[0][:100]!r}")
         header = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
         to = end + 4 + int(header["Content-Length"])
-        if not more(to + 4) or data[to : to + 4] != b"\r\n\r\n":
+        if not more(to + 4) or data[at + to : at + to + 4] != b"\r\n\r\n":
             raise ValueError(f"record {header.get('WARC-Record-ID')} does not end at its declared length")
-        yield header, bytes(data[end + 4 : to])
-        del data[: to + 4]
+        yield header, data[at + end + 4 : at + to]
+        at += to + 4
 
 
-def inflated(data: bytes, step: int = 1 << 20):
+def inflated(data: bytes, step: int = 1 << 20, feed: int = 1 << 16):
     """The content of concatenated gzip members, a bounded part at a time."""
-    while data:
+    at = 0
+    while at < len(data):
         unzip = zlib.decompressobj(31)
-        rest = data
         while not unzip.eof:
-            part = unzip.decompress(rest, step)
-            rest = unzip.unconsumed_tail
-            if part:
-                yield part
-            elif not unzip.eof and not rest:
-                raise ValueError("a gzip member does not end")
-        data = unzip.unused_data
+            part = unzip.unconsumed_tail
+            if not part:
+                part = data[at : at + feed]
+                at += len(part)
+                if not part:
+                    raise ValueError("a gzip member does not end")
+            out = unzip.decompress(part, step)
+            if out:
+                yield out
+        at -= len(unzip.unused_data)
 
 
 def to_arc(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -212,16 +220,17 @@ def convert(arcs: DataFrame) -> DataFrame:
 
     parsed = arcs.mapInArrow(parse, f"{fields}, payload binary").withColumn("rid", F.monotonically_increasing_id())
     parsed = parsed.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.length("payload").cast("long"))
-    large, none = parsed.where(f"length >= {REVISIT_BYTES}"), F.lit(None)
+    large, none = F.col("length") >= REVISIT_BYTES, F.lit(None)
     place = F.struct("key", "url", "rid").alias("place")
-    response = large.groupBy("digest").agg(F.min_by(F.struct("key", "url", "ip", "date", "kind", "length", "payload"), place).alias("r")).select("r.key", "r.url", "r.ip", "r.date", "r.kind", "digest", "r.length", "r.payload")
-    rows = large.select("key", "url", "ip", "date", "kind", "digest", "length", place)  # without payloads
+    group = F.when(large, F.col("digest")).otherwise(F.concat_ws("-", "digest", "rid"))  # small payloads are responses, each
+    response = parsed.groupBy(group.alias("same")).agg(F.min_by(F.struct("key", "url", "ip", "date", "kind", "digest", "length", "payload"), place).alias("r")).select("r.*")
+    rows = c.materialise(parsed.where(large).select("key", "url", "ip", "date", "kind", "digest", "length", place), "warc-rows")  # without payloads
     first = rows.groupBy("digest").agg(F.min(F.struct("place", "date")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     again = rows.join(first.hint("merge"), "digest").where("place <> first.place")
     named = F.struct(F.col("first.place.key").alias("key"), F.col("first.place.url").alias("url"), F.col("first.date").alias("date"))
     some = ["key", "url", "ip", "date", "kind", "digest", "length"]
-    whole = response.unionByName(parsed.where(f"length < {REVISIT_BYTES}").select(*some, "payload")).withColumn("first", none.cast("struct<key:bigint,url:string,date:string>"))
-    every = whole.select(*some, "payload", "first").unionByName(again.select(*some, none.cast("binary").alias("payload"), named.alias("first")))
+    whole = response.select(*some, "payload", none.cast("struct<key:bigint,url:string,date:string>").alias("first"))
+    every = whole.unionByName(again.select(*some, none.cast("binary").alias("payload"), named.alias("first")))
 
     def synthesise(batches):
         begun = False
