@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from . import _common as c
 
 CUT = 8  # about so many words to a piece of a long line
+ROUNDS = 200  # of peeling at most; a sketch that can be peeled takes far fewer
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -55,7 +56,14 @@ def digests(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(piece), bool)
     new[1:] = (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])
     number = np.arange(len(piece)) - np.maximum.accumulate(np.where(new, np.arange(len(piece)), 0))
-    return sealed(np.where(number == 0, piece, c.mix(piece + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))), owner
+    key = sealed(np.where(number == 0, piece, c.mix(piece + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+    while True:  # different pieces can share the bits that are kept; a digest must be in a sketch once
+        order = np.lexsort((key, owner))
+        key, owner = key[order], owner[order]
+        again = np.flatnonzero((key[1:] == key[:-1]) & (owner[1:] == owner[:-1])) + 1
+        if not len(again):
+            return key, owner
+        key[again] = sealed(c.mix(key[again] + np.uint64(1)))
 
 
 def _places(key: np.ndarray, third: np.ndarray) -> list[np.ndarray]:
@@ -84,13 +92,16 @@ def peel(count: np.ndarray, total: np.ndarray, third: np.ndarray):
     sketch_of = np.repeat(np.arange(len(third)), 3 * third)
     found = []
     look = np.flatnonzero(count)
-    while len(look):
+    for _ in range(ROUNDS):  # a sum that passes for a digest by chance could go out and in for ever; a larger sketch has others
+        if not len(look):
+            break
         look = look[np.abs(count[look]) == 1]
         sign = count[look]
         key = np.where(sign > 0, total[look], np.uint64(0) - total[look]) & LOW48
-        pure = sealed(key << np.uint64(16)) == key
-        look, sign, key = look[pure], sign[pure], key[pure]
         owner = sketch_of[look]
+        inside = look - base[owner]
+        pure = (sealed(key << np.uint64(16)) == key) & np.logical_or.reduce([place == inside for place in _places(key, third[owner])])
+        sign, key, owner = sign[pure], key[pure], owner[pure]
         order = np.lexsort((key, owner))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1])

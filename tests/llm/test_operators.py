@@ -230,6 +230,14 @@ def test_pieces_are_paragraphs():
     assert not piece_set("\n \n") and len(piece_set(" ".join(f"w{i}" for i in range(800)))) > 50
 
 
+def test_digests_that_share_their_bits_stay_apart(monkeypatch):
+    real_seal = fingerprints.sealed
+    monkeypatch.setattr(fingerprints, "sealed", lambda h: real_seal((h >> np.uint64(56)) << np.uint64(56)))  # of eight bits
+    raw = "\n".join(f"line {i}" for i in range(60)).encode()
+    key, owner = fingerprints.digests(np.frombuffer(raw * 2, np.uint8), np.array([0, len(raw), 2 * len(raw)]))
+    assert len(np.unique(key[owner == 0])) == (owner == 0).sum() == 60 and key[owner == 0].tolist() == key[owner == 1].tolist()
+
+
 def test_fingerprint_likeness_is_exact():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (0, 1, 30, 3000)]
