@@ -339,7 +339,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = labelled(nodes.selectExpr("id src", "id dst"), label).selectExpr("src id", "a label")
         members = c.materialise(members.hint("merge").join(clusters.selectExpr("node label", "component cluster").hint("merge"), "label"), "minhash-members")
         counts = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.sum("n").alias("size"))
-        rows = members.hint("merge").join(counts.where("size > 2").hint("merge"), "cluster").hint("merge").join(signs.hint("merge"), "id").hint("merge").join(texts.hint("merge"), "id")
+        counts = c.materialise(counts.where("size > 2"), "minhash-clusters")  # a table, so that a join with a very large cluster can be split
+        rows = members.hint("merge").join(counts.hint("merge"), "cluster").hint("merge").join(signs.hint("merge"), "id").hint("merge").join(texts.hint("merge"), "id")
         links = c.materialise(links.unionByName(_rest(rows, plan, lows, sets_of, linked)), "minhash-links")
 
     found = components(links.unionByName(copies))
