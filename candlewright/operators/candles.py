@@ -82,8 +82,9 @@ def stitch(stored: DataFrame, source: DataFrame, step: int, now: int, most: int
         source.select(*PAIR, "ts", *PRICES, F.coalesce("volume", F.lit(0.0)).alias("volume"), bucket.alias("b"), F.col("arrival").cast("long").alias("arrival"))
     )
     mine = F.when(F.col("arrival").isNull(), F.col("b"))
-    whole = by_pair("b").rangeBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("before", F.max(mine).over(whole)).withColumn("after", F.min(mine).over(by_pair("b").rangeBetween(W.currentRow, W.unboundedFollowing)))
+    # both frames begin at the partition's first row and grow, so a running value serves each row
+    whole = lambda order: by_pair(order).rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("before", F.max(mine).over(whole(F.asc("b")))).withColumn("after", F.min(mine).over(whole(F.desc("b"))))
     here = now // step
     hole = F.col("after").isNotNull() & (F.col("before") < F.col("b")) & (F.col("after") > F.col("b")) & (F.col("after") - F.col("before") - 1 <= most)
     tail = F.col("after").isNull() & (F.col("b") < here) & (F.lit(here) - F.col("before") <= most_tail)

@@ -22,10 +22,17 @@ class Scan:
     pre: int = 5
     below: float = 1.0
     source: str = "close"
+    short: int = 2
 
     @classmethod
-    def of(cls, pump_pct: float, window_days: float, bars_per_day: int, pre_days: float, merge_days: float, source: str = "close") -> Scan:
-        return cls(max(2, round(window_days * bars_per_day)), max(1, round(merge_days * bars_per_day)), 1 + pump_pct / 100, max(1, round(pre_days * bars_per_day)), 1.0, source)
+    def of(cls, pump_pct: float, window_days: float, bars_per_day: int, pre_days: float, merge_days: float, source: str = "close", short_days: float = 0.0) -> Scan:
+        n = lambda days, least: max(least, round(days * bars_per_day))
+        return cls(n(window_days, 2), n(merge_days, 1), 1 + pump_pct / 100, n(pre_days, 1), 1.0, source, n(short_days, 2))
+
+    @property
+    def history(self) -> int:
+        """Bars of a full history: a window and its past; `short` are enough for new coins."""
+        return self.window + self.pre
 
 
 def ratios(bars: DataFrame, scan: Scan) -> DataFrame:
@@ -79,13 +86,12 @@ def aged(events: DataFrame, now: int) -> DataFrame:
 
 def with_history(events: DataFrame, histories: DataFrame, scan: Scan) -> DataFrame:
     """Adds whether a pair's history (pair, bars) is shorter than a window and its past."""
-    return events.join(histories.select(*PAIR, (F.col("bars") < scan.window + scan.pre).alias("short_history")), PAIR, "left")
+    return events.join(histories.select(*PAIR, (F.col("bars") < scan.history).alias("short_history")), PAIR, "left")
 
 
-def long_enough(bars: Column, scan: Scan, short_from: int | None = None) -> Column:
+def long_enough(bars: Column, scan: Scan, short: bool = False) -> Column:
     """Whether so many bars suffice: a window and its past, or the minimum for new coins where that is allowed."""
-    full = bars >= scan.window + scan.pre
-    return full if short_from is None else full | (bars >= short_from)
+    return (bars >= scan.history) | (bars >= scan.short) if short else bars >= scan.history
 
 
 def finished(bars: DataFrame, now: int, step: int) -> DataFrame:

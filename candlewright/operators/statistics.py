@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import materialise
+from . import order
 
 MONTH_DAYS = 30.44
 AGE_EDGES = (7, 30, 90, 180, 365)
@@ -102,9 +104,11 @@ def size_histogram(pumps: DataFrame, edges: list[float] | None = None) -> DataFr
 
 
 def size_quantiles(pumps: DataFrame) -> DataFrame:
-    """(n, coins, least, p10, p25, p50, p75, p90, p99, most): interpolated percentiles of sizes."""
-    p = lambda q: F.percentile("pump_pct", q).alias(f"p{round(q * 100)}")
-    return pumps.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("base").alias("coins"), F.min("pump_pct").alias("least"), *(p(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)), F.max("pump_pct").alias("most"))
+    """(n, coins, least, p10, p25, p50, p75, p90, p99, most): interpolated percentiles of sizes, by counted ranges."""
+    shares = {f"p{round(q * 100)}": q for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)}
+    found = order.quantiles(pumps, [], "pump_pct", shares).drop("n").withColumn("k", F.lit(0))
+    whole = pumps.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("base").alias("coins"), F.min("pump_pct").alias("least"), F.max("pump_pct").alias("most"))
+    return whole.withColumn("k", F.lit(0)).join(found, "k", "left").select("n", "coins", "least", *shares, "most")
 
 
 def sources(main: DataFrame, other: DataFrame) -> DataFrame:
@@ -155,15 +159,13 @@ def shared_pumps(events: DataFrame) -> DataFrame:
 def exchanges(shared: DataFrame) -> DataFrame:
     """(exchange, pumps, share_pct, solo, shared, median_pct: the upper median), from shared_pumps.
 
-    The median is read at its place in the order of an exchange's pumps; nothing is collected.
+    The median is read at its place in the order of an exchange's pumps, found by counted ranges: an exchange may have most
+    of the pumps, and no task sorts them.
     """
-    place = F.row_number().over(W.partitionBy("exchange").orderBy("pump_pct", "base", "day")) - 1
-    n = F.count(F.lit(1)).over(W.partitionBy("exchange"))
-    rows = shared.withColumn("place", place).withColumn("n", n)
-    out = rows.groupBy("exchange").agg(
-        F.count(F.lit(1)).alias("pumps"), F.count_if(F.col("width") == 1).alias("solo"), F.count_if(F.col("width") > 1).alias("shared"),
-        F.max(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col("pump_pct"))).alias("median_pct"), F.sum(1 / F.col("width")).alias("weight"),
-    )
+    shared = materialise(shared, "shared-pumps")
+    out = shared.groupBy("exchange").agg(F.count(F.lit(1)).alias("pumps"), F.count_if(F.col("width") == 1).alias("solo"), F.count_if(F.col("width") > 1).alias("shared"), F.sum(1 / F.col("width")).alias("weight"))
+    middle = order.at_places(shared, ["exchange"], "pump_pct", lambda n: F.array(F.floor(n / 2)))
+    out = out.join(middle.select("exchange", F.map_values("at")[0].alias("median_pct")), "exchange")
     # a pump counts 1 / width on each of its exchanges, so that the weights sum to the number of pumps
     total = F.round(F.sum("weight").over(W.partitionBy(F.lit(1))))
     return out.withColumn("share_pct", F.col("pumps") / total * 100).drop("weight")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .order import ranked
 
 
 def perp_first(pairs: DataFrame) -> DataFrame:
@@ -39,24 +40,12 @@ def zombie_plan(tables: DataFrame, now: int) -> DataFrame:
 
 
 def prune_order(plan: DataFrame) -> DataFrame:
-    """The prune list, most bars gained first.  The place of a row is counted from how many rows each gain has, so that
-    only rows of one gain are sorted together."""
+    """The prune list, most bars gained first; places are counted by ranges of gains."""
     gain = F.greatest(F.lit(0), F.coalesce(F.col("perp_bars") - F.col("spot_bars"), F.lit(0)))
     out = plan.where("verdict = 'prune'").withColumn("gain", gain)
     return ranked(out, "gain", "spot", "exchange")
 
 
-def ranked(rows: DataFrame, by: str, *ties: str, place: str = "place") -> DataFrame:
-    """Adds the place of each row by a value, greatest first.
-
-    One window runs over the distinct values and their counts, not over rows; the other only within a value.
-    """
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col(by).alias("_value"), (F.sum("_n").over(W.orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    out = rows.join(before, F.col(by).eqNullSafe(F.col("_value")))
-    return out.withColumn(place, (F.row_number().over(W.partitionBy(by).orderBy(*ties)) + F.col("_before")).cast("int")).drop("_value", "_before")
-
-
 def over_prune(pruned, tables, fraction: float):
     """Whether a prune list is implausibly large and needs a second consent; counts as columns."""
     return F.lit(fraction > 0) & (tables > 0) & (pruned > fraction * tables)
@@ -82,6 +71,46 @@ def union_stable(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, columns): the schema of each Parquet file below a folder as DDL, read from the files by tasks."""
+
+    def task(frames):
+        import io
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        plain = {"int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint", "double": "double", "float": "float", "string": "string", "large_string": "string", "bool": "boolean", "date32[day]": "date", "binary": "binary"}
+
+        def ddl(kind: pa.DataType) -> str:
+            if pa.types.is_timestamp(kind):
+                return "timestamp" if kind.tz else "timestamp_ntz"
+            if pa.types.is_list(kind):
+                return f"array<{ddl(kind.value_type)}>"
+            if pa.types.is_decimal(kind):
+                return f"decimal({kind.precision},{kind.scale})"
+            return plain[str(kind)]
+
+        for frame in frames:
+            schemas = [pq.read_schema(io.BytesIO(x)) for x in frame["content"]]
+            yield frame[["file"]].assign(columns=[", ".join(f"`{f.name}` {ddl(f.type)}" for f in s) for s in schemas])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.col("path").alias("file"), "content").mapInPandas(task, "file string, columns string")
+
+
+def union_files(spark: SparkSession, path: str) -> DataFrame:
+    """Union of all tables below a folder, as union_stable has it, with the `file` that a row is from.
+
+    Files are grouped by their schema: a scan reads all files of one, so the plan grows with schemas and not with tables.
+    """
+    groups = manifest(spark, path).groupBy("columns").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("columns").collect()  # names of tables
+    frames = [spark.read.schema(g.columns).parquet(*g.files).withColumn("file", F.col("_metadata.file_path")) for g in groups]
+    if not frames:
+        raise ValueError(f"no tables in {path}")
+    return union_stable(frames)
+
+
 def retype(df: DataFrame, columns: list[str], flags: list[str] = (), never: list[str] = ()) -> DataFrame:
     """Text columns as doubles where every value that is not blank parses, else left as text; flags become booleans.
 

@@ -394,19 +394,17 @@ def lane_pulse(spark, sf_dir):
     return candles.pulse(watch, NOW, 7200, 20_000)
 
 
-def _case(templates):
-    branches = []
-    for name, text in templates.items():
-        for mark, sql in (("{B}", "upper(base)"), ("{Q}", "'USDT'"), ("{b}", "lower(base)"), ("{q}", "'usdt'")):
-            text = text.replace(mark, f"' || {sql} || '")
-        branches.append(f"WHEN '{name}' THEN '{text}'")
-    return f"CASE exchange {' '.join(branches)} ELSE '' END"
+# fixed values: trading addresses of the exchanges that occur here, as SQL
+SPOT_SQL = "CASE exchange WHEN 'bybit' THEN 'https://www.bybit.com/trade/spot/' || upper(base) || '/USDT' WHEN 'gateio' THEN 'https://www.gate.io/trade/' || upper(base) || '_USDT' WHEN 'okx' THEN 'https://www.okx.com/en/trade-spot/' || lower(base) || '-usdt' WHEN 'bitget' THEN 'https://www.bitget.com/en/spot/' || upper(base) || 'USDT_SPBL?type=spot' ELSE '' END"
+SWAP_SQL = "CASE exchange WHEN 'bybit' THEN 'https://www.bybit.com/trade/usdt/' || upper(base) || 'USDT' WHEN 'gateio' THEN 'https://www.gate.com/futures/USDT/' || upper(base) || '_USDT' WHEN 'okx' THEN 'https://www.okx.com/en/trade-swap/' || lower(base) || '-usdt-swap' WHEN 'bitget' THEN 'https://www.bitget.com/en/futures/usdt/' || upper(base) || 'USDT' ELSE '' END"
+SCAN_SPOT_SQL = "CASE exchange WHEN 'bybit' THEN 'https://www.bybit.com/ru-RU/trade/spot/' || upper(base) || '/USDT' WHEN 'gateio' THEN 'https://www.gate.io/trade/' || upper(base) || '_USDT' WHEN 'okx' THEN 'https://www.okx.com/ru/trade-spot/' || lower(base) || '-usdt' WHEN 'bitget' THEN 'https://www.bitget.com/ru/spot/' || upper(base) || 'USDT_SPBL?type=spot' ELSE '' END"
+SCAN_SWAP_SQL = "CASE exchange WHEN 'bybit' THEN 'https://www.bybit.com/trade/usdt/' || upper(base) || 'USDT' WHEN 'gateio' THEN 'https://www.gate.io/futures_trade/USDT/' || upper(base) || '_USDT' WHEN 'okx' THEN 'https://www.okx.com/ru/trade-swap/' || lower(base) || '-usdt-swap' WHEN 'bitget' THEN 'https://www.bitget.com/ru/futures/usdt/' || upper(base) || 'USDT' ELSE '' END"
 
 
 PLACES = f"(SELECT DISTINCT {BASE} AS base, CASE WHEN exchange = 'gateio' THEN 'bitget' WHEN exchange = 'okx' THEN 'elsewhere' ELSE exchange END AS exchange FROM {TAPE} UNION SELECT DISTINCT {BASE}, exchange FROM {TAPE})"
 
 
-@query(f"SELECT exchange, base, {_case(D.SPOT)} AS spot, {_case(D.SWAP)} AS swap, {_case(D.SCAN_SPOT)} AS scan_spot, {_case(D.SCAN_SWAP)} AS scan_swap FROM {PLACES}")
+@query(f"SELECT exchange, base, {SPOT_SQL} AS spot, {SWAP_SQL} AS swap, {SCAN_SPOT_SQL} AS scan_spot, {SCAN_SWAP_SQL} AS scan_swap FROM {PLACES}")
 def pair_urls(spark, sf_dir):
     e = F.col("exchange")
     one = tape(spark, sf_dir).select(S.base_of(F.col("ticker")).alias("base"), "exchange").distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import display as D
 from ..functions import scalars as S
 from ..operators import candles, lanes, liquidity, series, summary, volatility
 from ..sources import recorded, tables
@@ -148,7 +147,7 @@ def frozen_pairs(spark, sf_dir):
 
 
 
-@query(f"SELECT ticker, exchange, ts, open, high, low, close, volume, volume * low AS volume_x_low, volume * close AS volume_x_close, CASE WHEN {PERP} THEN 'swap' ELSE 'spot' END AS asset_type, CASE WHEN {PERP} THEN {C._case(D.SWAP)} ELSE {C._case(D.SPOT)} END AS url_of_trading_pair, CASE WHEN NOT {PERP} THEN {C._case(D.SWAP)} END AS url_of_swap_contract_if_it_exists, strftime(make_timestamp((ts + 10800) * 1000000), '%Y-%m-%d %H:%M:%S') AS open_time_msk, strftime(make_timestamp((ts + 21600) * 1000000), '%Y-%m-%d %H:%M:%S') AS open_time_almaty FROM (SELECT *, split_part(ticker, '/', 1) AS base FROM {BARS(QUARTER)})")
+@query(f"SELECT ticker, exchange, ts, open, high, low, close, volume, volume * low AS volume_x_low, volume * close AS volume_x_close, CASE WHEN {PERP} THEN 'swap' ELSE 'spot' END AS asset_type, CASE WHEN {PERP} THEN {C.SWAP_SQL} ELSE {C.SPOT_SQL} END AS url_of_trading_pair, CASE WHEN NOT {PERP} THEN {C.SWAP_SQL} END AS url_of_swap_contract_if_it_exists, strftime(make_timestamp((ts + 10800) * 1000000), '%Y-%m-%d %H:%M:%S') AS open_time_msk, strftime(make_timestamp((ts + 21600) * 1000000), '%Y-%m-%d %H:%M:%S') AS open_time_almaty FROM (SELECT *, split_part(ticker, '/', 1) AS base FROM {BARS(QUARTER)})")
 def decorated(spark, sf_dir):
     return candles.decorate(bars(spark, sf_dir, QUARTER).withColumn("ts_ms", F.col("ts") * 1000 + 999))
 

@@ -1,4 +1,4 @@
-"""Queries of pair lists: names, filters, drop plans, lookups, diagnosis, tables, options, snapshots, samples, demo rows."""
+"""Queries of pair lists: names, filters, drop plans, lookups, diagnosis, tables, options, snapshots, samples."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lanes, selection, summary
-from ..sources import demo, samples, snapshots, tables
+from ..sources import samples, snapshots, tables
 from ..storage import fresh_path
 from . import catalog as C
 from .catalog import BARS, BASE, DAY, LAST, NAMES, NOW, PERP, QUARTER, bars, last_rows
@@ -101,13 +101,6 @@ def prune_guard(spark, sf_dir):
     return plan.withColumn("tables", last_rows(spark, sf_dir).agg(F.count(F.lit(1))).scalar()).withColumn("too_many", summary.over_prune(F.col("pruned"), F.col("tables"), 0.2))
 
 
-@query("WITH t AS (SELECT * FROM (VALUES ('a', 10, 50, 144000.0), ('b', 90, 40, 1.0), ('c', NULL, 5, 1.0), ('d', 1, NULL, 1.0), ('e', -1, 5, 1e9), ('f', 0, 5, NULL), ('g', 3, 5, NULL), ('h', 1, 5, 'nan'::DOUBLE), ('i', 5, 5, NULL), ('j', 1, 5, 86399.0)) AS t(base, spot, perp, idle)) SELECT base, CASE base WHEN 'a' THEN 'prune' WHEN 'b' THEN 'keep' WHEN 'f' THEN 'prune' WHEN 'i' THEN 'keep' WHEN 'j' THEN 'keep' ELSE 'unknown' END AS verdict FROM t")
-def zombie_verdicts(spark, sf_dir):
-    """The rule's every branch, unknown counts and ages among them."""
-    rows = spark.sql("SELECT * FROM VALUES ('a', 10, 50, 144000D), ('b', 90, 40, 1D), ('c', NULL, 5, 1D), ('d', 1, NULL, 1D), ('e', -1, 5, 1e9D), ('f', 0, 5, NULL), ('g', 3, 5, NULL), ('h', 1, 5, double('nan')), ('i', 5, 5, NULL), ('j', 1, 5, 86399D) AS t(base, spot, perp, idle)")
-    return rows.select("base", S.zombie_verdict(F.col("spot"), F.col("perp"), F.col("idle")).alias("verdict"))
-
-
 ASKED = f"(SELECT DISTINCT {BASE} AS base, e.exchange FROM {LAST}, (VALUES ('okx'), ('bybit'), ('mexc')) AS e(exchange))"
 
 
@@ -240,25 +233,19 @@ def process_samples(spark, sf_dir):
     return samples.read(spark, path).select("pid", "comm", "rss_kb")
 
 
-@query("SELECT * FROM (SELECT t.ticker, e.exchange, (t.i * 2 + e.j + 1) * 48271 % 2147483647 AS seed FROM (VALUES (0, 'BTC/USDT:USDT'), (1, 'ETH/USDT:USDT'), (2, 'SOL/USDT:USDT')) AS t(i, ticker), (VALUES (0, 'bybit'), (1, 'okx')) AS e(j, exchange)) ORDER BY seed")
-def demo_pairs(spark, sf_dir):
-    return demo.pairs(spark, ["BTC/USDT:USDT", "ETH/USDT:USDT", "SOL/USDT:USDT"], ["bybit", "okx"])
-
-
-@query("WITH RECURSIVE s AS (SELECT 1 AS i, CAST(48271 * 7 % 2147483647 AS BIGINT) AS x UNION ALL SELECT i + 1, x * 48271 % 2147483647 FROM s WHERE i < 90), w AS (SELECT i, sum(ln(1 + (x / 2147483647.0 - 0.5) * 0.04)) OVER (ORDER BY i) AS g FROM s), c AS (SELECT i, 100 * exp(g) AS c FROM w), m AS (SELECT min(c) * 0.97 AS bottom FROM c WHERE i BETWEEN 30 AND 69) SELECT i, round(CASE WHEN i = 30 THEN bottom WHEN i = 55 THEN bottom * 1.002 WHEN i > 30 AND i < 55 THEN bottom * 1.02 ELSE c END, 6) AS close FROM c, m")
-def demo_candles(spark, sf_dir):
-    return demo.candles(spark, 7, 90, QUARTER).select(F.col("n").alias("i"), F.round("close", 6).alias("close"))
+ATR = "bid * (1 + key % 9) / 400.0"
 
 
-@query("SELECT key, round(CASE WHEN total_usd > 0 THEN greatest(0, least(1, (log10(total_usd) - log10(500)) / (log10(50000) - log10(500)))) ELSE 0 END, 6) AS depth, round(1 - greatest(0, least(1, spread_pct / 5)), 6) AS spread, round(CASE WHEN imbalance > 0 THEN greatest(0, least(1, (imbalance - 0.25) / 0.75)) * greatest(0, least(1, (4 - imbalance) / 3)) ELSE 0 END, 6) AS imbalance, CASE WHEN key % 3 = 0 THEN 0.0 ELSE key % 11 / 10.0 END AS vitality, least(1.0, key % 7 / 5.0) AS tpm, round(least(1.0, greatest(0.0, ((key % 5 - 2) * 7000 + 10000) / 20000.0)), 6) AS cvd FROM " + C.BOOK + " WHERE bid IS NOT NULL AND ask IS NOT NULL")
+@query("SELECT key, round(CASE WHEN total_usd > 0 THEN greatest(0, least(1, (log10(total_usd) - log10(500)) / (log10(50000) - log10(500)))) ELSE 0 END, 6) AS depth, round(1 - greatest(0, least(1, CASE WHEN bid > 0 THEN (ask - bid) / (" + ATR + ") * 100 ELSE 0 END / 5)), 6) AS spread, round(CASE WHEN imbalance > 0 THEN greatest(0, least(1, (imbalance - 0.25) / 0.75)) * greatest(0, least(1, (4 - imbalance) / 3)) ELSE 0 END, 6) AS imbalance, CASE WHEN key % 3 = 0 THEN 0.0 ELSE key % 11 / 10.0 END AS vitality, least(1.0, key % 7 / 5.0) AS tpm, round(CASE WHEN key % 4 = 0 THEN 0.0 ELSE key * 13 % 101 / 100.0 END, 6) AS buy, round(least(1.0, greatest(0.0, ((key % 5 - 2) * 7000 + 10000) / 20000.0)), 6) AS cvd, round(1 - least(1.0, key * 37 % 900 / 600.0), 6) AS last_trade FROM " + C.BOOK + " WHERE bid IS NOT NULL AND ask IS NOT NULL")
 def book_goodness(spark, sf_dir):
+    """All eight scores of a book and its tape; the spread counts against the pair's volatility."""
     from ..operators import liquidity
 
-    k = F.col("key")
+    k, bid = F.col("key"), F.col("bid")
     b = liquidity.book(C.levels(spark, sf_dir)).where("bid IS NOT NULL AND ask IS NOT NULL")
-    g = S.goodness(k % 11, k % 3 == 0, F.col("total_usd"), F.col("spread_pct"), F.col("imbalance"), k % 7, F.lit(None), (k % 5 - 2) * 7000, F.lit(60))
-    six = lambda x: F.round(f"g.{x}", 6).alias(x)
-    return b.select("key", g.alias("g")).select("key", six("depth"), six("spread"), six("imbalance"), six("vitality"), six("tpm"), six("cvd"))
+    spread = S.spread_of(bid, F.col("ask"), bid * (1 + k % 9) / 400.0)
+    g = S.goodness(k % 11, k % 3 == 0, F.col("total_usd"), spread, F.col("imbalance"), k % 7, F.when(k % 4 != 0, k * 13 % 101), (k % 5 - 2) * 7000, k * 37 % 900)
+    return b.select("key", g.alias("g")).select("key", *(F.round(f"g.{x}", 6).alias(x) for x in ("depth", "spread", "imbalance", "vitality", "tpm", "buy", "cvd", "last_trade")))
 
 
 @query("SELECT c_custkey, round(CASE WHEN c_acctbal * 60 > 0 THEN greatest(0, least(1, (log10(c_acctbal * 60) - log10(100000)) / (log10(500000) - log10(100000)))) ELSE 0 END, 6) AS volume_score FROM customer")

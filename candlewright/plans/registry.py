@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("catalog", "charts", "pairs", "scans", "streams")
+MODULES = ("catalog", "charts", "pairs", "scans", "stores", "streams")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracle: dict[str, str] = {}

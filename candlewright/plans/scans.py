@@ -72,10 +72,10 @@ def pump_size_percentiles(spark, sf_dir):
     return statistics.size_quantiles(pump_days(spark, sf_dir))
 
 
-EDGES = statistics.size_edges()
+EDGES = "(SELECT row_number() OVER (ORDER BY low) - 1 AS bucket, low, lead(low) OVER (ORDER BY low) AS high FROM (SELECT CAST(100 + 10 * i AS DOUBLE) AS low FROM range(0, 41) t(i) UNION ALL SELECT 500 * pow(1.5, i) FROM range(1, 11) t(i) UNION ALL SELECT 30000.0))"
 
 
-@query(f"WITH e AS (SELECT * FROM (VALUES {', '.join(f'({i}, CAST({e} AS DOUBLE), CAST({EDGES[i + 1] if i + 1 < len(EDGES) else chr(78) + chr(85) + chr(76) + chr(76)} AS DOUBLE))' for i, e in enumerate(EDGES))}) AS t(bucket, low, high)), h AS (SELECT bucket, low, high, count(base) AS n FROM e LEFT JOIN {ONE} ON pump_pct >= low AND (high IS NULL OR pump_pct < high) GROUP BY 1, 2, 3), t AS (SELECT count(*) AS total FROM {ONE}) SELECT bucket, low, high, n, n / total * 100 AS percent, sum(n) OVER (ORDER BY bucket) / total * 100 AS cumulative FROM h, t")
+@query(f"WITH h AS (SELECT bucket, low, high, count(base) AS n FROM {EDGES} LEFT JOIN {ONE} ON pump_pct >= low AND (high IS NULL OR pump_pct < high) GROUP BY 1, 2, 3), t AS (SELECT count(*) AS total FROM {ONE}) SELECT bucket, low, high, n, n / total * 100 AS percent, sum(n) OVER (ORDER BY bucket) / total * 100 AS cumulative FROM h, t")
 def pump_size_hist(spark, sf_dir):
     return statistics.size_histogram(pump_days(spark, sf_dir))
 
@@ -183,8 +183,8 @@ def pump_ages(spark, sf_dir):
 
 @query(f"SELECT ticker, exchange, bars, bars >= 10 AS full, bars >= 10 OR bars >= 4 AS with_short FROM {HISTORY}")
 def history_lengths(spark, sf_dir):
-    n = F.col("bars")
-    return histories(spark, sf_dir).select("ticker", "exchange", "bars", pumps.long_enough(n, SCAN).alias("full"), pumps.long_enough(n, SCAN, 4).alias("with_short"))
+    n, scan = F.col("bars"), pumps.Scan.of(700.0, 5, 1, 5, 5, short_days=4)
+    return histories(spark, sf_dir).select("ticker", "exchange", "bars", pumps.long_enough(n, scan).alias("full"), pumps.long_enough(n, scan, True).alias("with_short"))
 
 
 @query(f"SELECT ticker, exchange, ts, close FROM {BARS(DAY)} b WHERE ts < (SELECT max(ts) FROM {BARS(DAY)} m WHERE m.ticker = b.ticker AND m.exchange = b.exchange) OR ts + 86400 <= {NOW} - 3600")
@@ -208,12 +208,6 @@ def book_gate(spark, sf_dir):
     return pumps.gated(events(spark, sf_dir), _booked(spark, sf_dir), "C").select("ticker", "exchange", "peak_ts", "ob_grade", "ob_unverified")
 
 
-@query("SELECT * FROM (VALUES ('A', true, true), ('b', true, true), (' C ', true, true), ('D', false, true), ('F', false, true), ('', false, true), (NULL, false, true)) AS t(grade, least_c, no_limit)")
-def vitality_gate(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('A'), ('b'), (' C '), ('D'), ('F'), (''), (NULL) AS t(grade)")
-    return rows.select("grade", S.vitality_ok(F.col("grade"), "c").alias("least_c"), S.vitality_ok(F.col("grade"), "").alias("no_limit"))
-
-
 COINS = f"(SELECT {SUMMARY} FROM {TOP} GROUP BY base)"
 
 

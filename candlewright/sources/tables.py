@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path
+
 CANDLE = "ticker string, exchange string, ts long, open double, high double, low double, close double, volume double"
 
 
@@ -46,8 +48,38 @@ def candles(tape: DataFrame, step: int) -> DataFrame:
     )
 
 
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream of files, with an event time that watermarks accept."""
-    static = events(spark, sf_dir)
-    stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+CLOSING = "2100-01-01"  # event time of the row that ends a replay
+
+
+def deliver(rows: DataFrame, slices: int, late_sec: int = 0, every: int = 17, closing: bool = True) -> str:
+    """Writes an event table as files in order of delivery, `slices` of them, and returns their folder.
+
+    Every so many rows come `late_sec` after their time, in a later file if that falls there.  A closing row far ahead in a
+    file of its own moves the watermark past all others.  A slice is one file, so take as many as fit in tasks.
+    """
+    spark = rows.sparkSession
+    path = fresh_path(spark, "events")
+    late = F.when(F.col("event_id") % every == 0, F.col("t") + late_sec * 1_000_000).otherwise(F.col("t"))
+    rows = rows.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("delivered", late)
+    first, last = rows.agg(F.min("delivered"), F.max("delivered")).first()
+    width = ((last or 0) - (first or 0)) // slices + 1
+    for i in range(slices if last else 0):
+        part = rows.where(F.col("delivered").between(first + i * width, first + (i + 1) * width - 1)).drop("t", "delivered")
+        part.coalesce(1).write.mode("append").parquet(path)
+    if closing:
+        kinds = dict(rows.drop("t", "delivered").dtypes)
+        row = spark.range(1).select(*(F.lit(CLOSING if x == "ts" else None).cast(t).alias(x) for x, t in kinds.items()))
+        row.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def stream_of(spark: SparkSession, path: str, schema, each: int = 1) -> DataFrame:
+    """Delivered files as a stream, `each` of them a micro-batch, with an event time that watermarks accept."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(path)
     return stream.withColumn("event_time", F.col("ts").cast("timestamp"))
+
+
+def replay(spark: SparkSession, sf_dir: str, slices: int = 5, late_sec: int = 3000, closing: bool = True) -> DataFrame:
+    """The event table as a stream of several micro-batches, some rows late."""
+    rows = events(spark, sf_dir)
+    return stream_of(spark, deliver(rows, slices, late_sec, closing=closing), rows.schema)

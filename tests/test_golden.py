@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candlewright.functions import scalars as S
 from candlewright.operators import candles, pumps, selection, series, statistics, summary, volatility
 from candlewright.plans import scans
-from candlewright.sources import demo, recorded, snapshots
+from candlewright.sources import recorded, snapshots
 from candlewright.streaming import live
 
 BAR = "ticker string, exchange string, ts long, open double, high double, low double, close double, volume double"
@@ -233,22 +233,38 @@ def test_size_edges():
     assert edges[:3] == [100.0, 110.0, 120.0] and edges[40] == 500.0 and edges[41] == 750.0 and edges[-1] == 30_000.0
 
 
-def test_demo_candles(spark):
-    rows = demo.candles(spark, 3, 60, QUARTER).orderBy("n").collect()
-    assert len(rows) == 60 and all(r.low <= min(r.open, r.close) <= max(r.open, r.close) <= r.high for r in rows)
-    assert rows[19].close == min(r.close for r in rows[19:59]) and rows[44].close == pytest.approx(rows[19].close * 1.002)
-
-
 def test_snapshot_without_rows(spark, tmp_path):
     snapshots.save(spark.range(0), f"file://{tmp_path}/s", 5)
     assert snapshots.load(spark, f"file://{tmp_path}/s", 5, 10).columns == ["id"] and snapshots.load(spark, f"file://{tmp_path}/s", 5, 10).count() == 0
 
 
-def test_keyed_upsert_keeps_the_newest(spark, tmp_path):
-    path, schema = f"file://{tmp_path}/ticks", "ticker string, exchange string, price double, t long"
-    live.keyed_upsert(spark.createDataFrame([("A", "x", 1.0, 100), ("B", "x", 2.0, 10)], schema), path, 0, ["ticker", "exchange"], "t", 100, 20)
-    assert [r.ticker for r in spark.read.parquet(live.newest_version(spark, path)).collect()] == ["A"]
-    for _ in range(2):  # a batch that runs again
-        live.keyed_upsert(spark.createDataFrame([("A", "x", 0.0, 90), ("C", "x", 3.0, 105)], schema), path, 1, ["ticker", "exchange"], "t", 110, 20)
-        rows = spark.read.parquet(live.newest_version(spark, path)).collect()
-        assert {r.ticker: r.price for r in rows} == {"A": 1.0, "C": 3.0}
+def test_vitality_gate(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('A'), ('b'), (' C '), ('D'), ('F'), (''), (NULL) AS t(grade)")
+    found = [tuple(r) for r in rows.select("grade", S.vitality_ok(F.col("grade"), "c"), S.vitality_ok(F.col("grade"), "")).collect()]
+    assert found == [(g, g is not None and g.strip().upper() in ("A", "B", "C"), True) for g in ("A", "b", " C ", "D", "F", "", None)]
+
+
+def test_zombie_verdicts(spark):
+    """The rule's every branch, unknown counts and ages among them."""
+    rows = spark.sql("SELECT * FROM VALUES ('prune', 10, 50, 144000D), ('keep', 90, 40, 1D), ('unknown', NULL, 5, 1D), ('unknown', 1, NULL, 1D), ('unknown', -1, 5, 1e9D), ('prune', 0, 5, NULL), ('unknown', 3, 5, NULL), ('unknown', 1, 5, double('nan')), ('keep', 5, 5, NULL), ('keep', 1, 5, 86399D) AS t(want, spot, perp, idle)")
+    for r in rows.select("want", S.zombie_verdict(F.col("spot"), F.col("perp"), F.col("idle")).alias("verdict")).collect():
+        assert r.want == r.verdict
+
+
+def test_derived_scan():
+    scan = pumps.Scan.of(200, 7, 96, 1, 0.001, short_days=2)
+    assert (scan.history, scan.short) == (7 * 96 + 96, 192)
+    assert pumps.Scan.of(200, 7, 1, 1, 1).short == 2
+
+
+def test_stitch_grows_with_its_rows(spark):
+    """200,000 bars of one pair: frames that end at a partition's end would take their square."""
+    import time
+
+    n = 200_000
+    rows = spark.range(n).select(F.lit("A").alias("ticker"), F.lit("x").alias("exchange"), (F.col("id") * QUARTER).alias("ts"), *(F.lit(1.0).alias(x) for x in ("open", "high", "low", "close", "volume")), F.lit(1).alias("arrival"))
+    began = time.time()
+    found = candles.stitch(rows.where(f"ts div {QUARTER} % 3 > 0"), rows, QUARTER, n * QUARTER)
+    got = found.groupBy("added").count().collect()
+    assert {r.added: r["count"] for r in got} == {False: n - (n + 2) // 3, True: (n + 2) // 3 - 1}
+    assert time.time() - began < 30
