@@ -9,12 +9,15 @@ order of tasks, and a host with very many pages costs a reducer its different st
 
 The wrapper decides what a page's main text is.
 
-- The main region is an article or main element.  Without one it is the element that holds most of the variable text.
+- The main region is an article or main element, or one whose class says so and that holds most of the variable text.
+  Without one it is the element that holds most of the variable text.
 - In such a region without a mark, constant slots are the template: texts that are equal on CONSTANT pages (on OPTIONAL
   ones in an optional group, as a notice is), of which copies count once: pages are told apart by their longest text.
   Repeated groups whose text is links throughout are menus.  A region of nothing else keeps its texts.
 - Everywhere, elements whose name says that they are not text (menus, forms, footers and so on) go, and those whose
   class or role is a mark as a whole, or with words of layout only; outside the main region a part of a class suffices.
+- Inside a marked main region, words that text may have as well (DOUBTFUL; on paragraphs and the like all but adverts')
+  count only where the wrapper bears them out: the text is the template's, or half of it is links.
 
 Applied to a page, the wrapper yields the main region's blocks; a page that its path does not match takes the path from
 its own expression.  Trees are walked with stacks of their own, so nesting may be as deep as a page is long.
@@ -40,8 +43,10 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)", re.S)
+RAW = re.compile(r"<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>", re.I)
+ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "svg", "iframe")}
+STOP = re.compile("[\"'>]")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 # fixed values: element names
@@ -56,6 +61,9 @@ SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html",
 WHOLE = {"p", "h1", "h2", "h3", "li", "ul", "ol", "table", "tr", "dl", "pre"}  # never a region of their own
 # fixed values: words of class, id and role that mark what is not main text, words of layout beside them, marks of main text
 MARKS = {"ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget", "responses", "discussion", "alert"}
+ADS = {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored"}
+DOUBTFUL = {"alert", "discussion", "widget"}  # inside a main region the wrapper must confirm these
+TEXTUAL = {"p", "blockquote", "pre", "dd", "dt", "td", "th", "figcaption", "li"} | HEADINGS  # on these, all marks but of adverts
 COMMENTS = {"comment", "comments", "disqus", "respond", "replies", "responses"}
 LAYOUT = {"area", "bar", "block", "blocks", "bottom", "box", "buttons", "container", "content", "form", "group", "holder", "icons", "inner", "item", "items", "left", "links", "list", "media", "outer", "page", "panel", "post", "posts", "right", "section", "signup", "site", "slot", "thread", "top", "unit", "wrap", "wrapper"}
 MAIN_MARKS = {"article-body", "articlebody", "content", "entry-content", "main", "main-content", "maincontent", "post", "post-body", "post-content", "story", "story-body"}
@@ -88,13 +96,64 @@ def noise(name: str, classes: list[str], ident: str, hidden: bool) -> int:
     if name not in HEADINGS:
         for word in [*classes, ident] if name in ("div", "ul", "ol", "span", "table") or spoken else classes:
             parts = {word, *re.split("[-_]", word)} - {""}
-            if word in MARKS or (parts & MARKS and not parts - MARKS - LAYOUT - {word}):
+            if (word in MARKS or (parts & MARKS and not parts - MARKS - LAYOUT - {word})) and parts & MARKS - (MARKS - ADS if name in TEXTUAL else DOUBTFUL):
                 return ALWAYS
     if name == "header" or any({w, *re.split("[-_]", w)} & MARKS for w in [*classes, ident]):
         return OUTSIDE
     return KEEP
 
 
+def tokens(page: str):
+    """(text, None) and (tag, its match) of a page in one forward scan; comments, raw elements and declarations go.
+
+    A tag ends at the first > outside quotes, or at the first > if its quotes do not close.  Quotes that led to no end once
+    are remembered, so that tags that never close cost no second look.
+    """
+    at, end, last = 0, len(page), page.rfind(">")
+    dead: set[int] = set()
+
+    def closing(pos: int) -> int:
+        """Where the tag that goes on at pos ends, or -1."""
+        first, seen, start = -1, [], pos
+        while True:
+            m = STOP.search(page, pos)
+            if m and m[0] == ">":
+                return m.start()
+            close = page.find(m[0], m.end()) if m else -1
+            if close < 0 or close in dead:
+                dead.update(seen)
+                return page.find(">", start)
+            seen.append(close)
+            pos = close + 1
+
+    while at < end:
+        to = page.find("<", at)
+        if to != at:
+            yield page[at : to if to >= 0 else end], None
+            if to < 0:
+                return
+            at = to
+        if page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            at = to + 3 if to >= 0 else end
+            continue
+        raw = RAW.match(page, at) if at < last else None
+        if raw:
+            done = ENDS[raw[1].lower()].search(page, raw.end())
+            at = done.end() if done else end
+            continue
+        tag = TAG.match(page, at) if at < last else None
+        if tag:
+            to = closing(at + len(tag[1]) + 2)
+            yield page[at : to + 1], tag
+            at = to + 1
+        elif at < last and page[at + 1] in "!?":
+            at = page.find(">", at) + 1
+        else:
+            yield "<", None
+            at += 1
+
+
 def parse(page: str) -> Node:
     """Element tree of a page; implied end tags as browsers take them; comments, scripts and styles left out."""
     root = Node("#root", "#root")
@@ -112,14 +171,10 @@ def parse(page: str) -> Node:
             if stack[i].name in stop:
                 return
 
-    for m in TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or token == "<":
+    for token, tag in tokens(page):
+        if tag is None:
             stack[-1].kids.append(token)
             continue
-        tag = TAG.match(token)
-        if m[1] or not tag:
-            continue
         name = tag[2].lower()
         if tag[1]:
             close({name}, ())
@@ -130,7 +185,7 @@ def parse(page: str) -> Node:
             close(SELF_CLOSING[name], SCOPE - {"td", "th"} if name == "tr" else SCOPE - SELF_CLOSING[name])
         classes, ident, hidden = [], "", False
         if "=" in token or "hidden" in token.lower():
-            for a in ATTRIBUTE.finditer(token, tag.end()):
+            for a in ATTRIBUTE.finditer(token, tag.end() - tag.start()):
                 value, kind = (a[2] or a[3] or a[4] or "").lower(), a[1].lower()
                 if kind == "id":
                     ident = ident or value.strip()
@@ -381,17 +436,6 @@ def rules(wrapper: Group) -> tuple[int, bool, frozenset, frozenset]:
         path.append(chain(path[up] if up >= 0 else 0, g.label) if g.label != "#" else path[up])
         lost.append(up >= 0 and lost[up] or g.label.endswith("!"))
         stack += [(k, at) for k in reversed(g.kids)]
-    mains, inside = [], [False] * len(groups)
-    for i, g in enumerate(groups):
-        up = parent[i]
-        if up >= 0 and inside[up]:
-            inside[i] = True
-        elif g.label != "#" and not lost[i] and g.chars and is_main(g.label):
-            inside[i] = True
-            mains.append((g.label.split(".")[0].rstrip("!") == "article", g.chars, path[i]))
-    if mains:
-        return max(mains)[2], False, frozenset(), frozenset()
-
     def useful(constant: bool):
         keys, menus, out = set(), set(), [0] * len(groups)
         optional, menu = [False] * len(groups), [False] * len(groups)
@@ -413,6 +457,27 @@ def rules(wrapper: Group) -> tuple[int, bool, frozenset, frozenset]:
     out, keys, menus = useful(True)
     if not out[0]:  # all is constant: nothing tells text from template
         out, keys, menus = useful(False)
+    mains, inside = [], [False] * len(groups)
+    for i, g in enumerate(groups):
+        up = parent[i]
+        if up >= 0 and inside[up]:
+            inside[i] = True
+        elif g.label != "#" and not lost[i] and g.chars and is_main(g.label):
+            name = g.label.split(".")[0].rstrip("!")
+            if name in ("article", "main") or 2 * out[i] >= out[0]:  # a class alone must hold most of the text
+                inside[i] = True
+                mains.append((name == "article", g.chars, path[i]))
+    if mains:
+        # words of classes that are not plain marks count where the template or links bear them out
+        doubtful, keys, menus = [False] * len(groups), set(), set()
+        for i, g in enumerate(groups):
+            up = parent[i]
+            doubtful[i] = inside[i] and (up >= 0 and doubtful[up] or g.label.endswith("!"))
+            if doubtful[i] and g.label == "#" and g.text is not None and len(g.pages) >= (OPTIONAL if g.optional else CONSTANT):
+                keys.add(slot_key(path[i], g.text))
+            elif doubtful[i] and g.label.endswith("!") and 0 < g.chars <= 2 * g.linked:
+                menus.add(path[i])
+        return max(mains)[2], False, frozenset(keys), frozenset(menus)
     kids: list[list[int]] = [[] for _ in groups]
     for i, g in enumerate(groups):
         if i and g.label != "#":
@@ -427,12 +492,12 @@ def rules(wrapper: Group) -> tuple[int, bool, frozenset, frozenset]:
 
 def main_text(tree: Node, found: tuple[int, bool, frozenset, frozenset]) -> str | None:
     """Blocks of the elements at the main path, or None if the page has none."""
-    main, generic, constant, menus = found
+    main, _, constant, menus = found
     blocks: list[str] = []
     whole: list[str] = []  # with constant ones
     depth, paths = 0, []
     seen = False
-    for kind, what, more in blocks_of(tree, lambda node, path: (depth > 0 and node.drop == ALWAYS) or (generic and depth > 0 and path in menus)):
+    for kind, what, more in blocks_of(tree, lambda node, path: depth > 0 and (node.drop == ALWAYS or path in menus)):
         if kind == "in":
             paths.append(more)
             if depth or more == main:
@@ -445,7 +510,7 @@ def main_text(tree: Node, found: tuple[int, bool, frozenset, frozenset]) -> str
             text = " ".join(html_.unescape(what).split())
             if text:
                 whole.append(text)
-                if not (generic and slot_key(paths[-1], what) in constant):
+                if not (constant and slot_key(paths[-1], what) in constant):
                     blocks.append(text)
     return "\n\n".join(blocks or whole) if seen else None
 

@@ -387,6 +387,30 @@ def test_html_words_of_classes(spark):
     assert extracted(spark, [f"<article><p>first</p>{body}</article>"]) == ["first\n\na\n\nb\n\nc\n\nd\n\ne\n\nf"]
 
 
+def test_html_marks_inside_an_article_need_the_wrapper(spark):
+    words = ("notice", "alert", "discussion", "related", "search", "tags", "menu", "promo", "social", "share", "widget", "reply", "banner")
+    pages = ["<article><p>first</p>" + "".join(f'<p class="{w}">{w} {i}</p>' for w in words) + f'<div class="share">Share this</div><div class="related"><a href="#">See {i}</a></div><div class="alert"><p>Alert {i}</p></div><p class="ad">Buy {i}</p></article>' for i in range(6)]
+    for i, text in enumerate(extracted(spark, pages)):
+        assert text.split("\n\n") == ["first", *(f"{w} {i}" for w in words), f"Alert {i}"]
+
+
+def test_html_a_class_must_hold_most_of_the_text(spark):
+    pages = [f'<div class="content"><p>teaser {i}</p></div><div class="text"><p>the long article number {i} goes on</p><p>and on {i}</p></div>' for i in range(6)]
+    assert extracted(spark, pages) == [f"the long article number {i} goes on\n\nand on {i}" for i in range(6)]
+    pages = [f'<div class="x"><p>teaser {i}</p></div><div class="content"><p>the long article number {i} goes on</p></div>' for i in range(6)]
+    assert extracted(spark, pages) == [f"the long article number {i} goes on" for i in range(6)]
+
+
+def test_html_tags_that_never_close():
+    import time
+
+    began = time.time()
+    for start in ('<a "', '<a "x"', '<a ">" ', "<a '>", '<a <b "', "<!x", "<a", "<?"):
+        assert sum(1 for _ in html_extract.tokens(start * (1_000_000 // len(start)))) >= 1
+    assert time.time() - began < 10
+    assert [t for t, _ in html_extract.tokens("a<p class='>'>b</p><!-- <i> -->c<script>x<y</script>d<a 'e>f")] == ["a", "<p class='>'>", "b", "</p>", "c", "d", "<a 'e>", "f"]
+
+
 def test_html_wrapper_decides_without_marks(spark):
     """Constant slots, optional notices and repeated groups of links go, whatever their classes say."""
     menu = lambda i: "".join(f'<li><a href="/{i}{j}">Topic {i * j}</a>' for j in range(4))
