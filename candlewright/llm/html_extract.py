@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-RAW = re.compile(r"<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>", re.I)
 ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "svg", "iframe")}
 STOP = re.compile("[\"'>]")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)", re.S)
@@ -113,8 +112,8 @@ def tokens(page: str):
     dead: set[int] = set()
 
     def closing(pos: int) -> int:
-        """Where the tag that goes on at pos ends, or -1."""
-        first, seen, start = -1, [], pos
+        """Where the tag that goes on at pos ends."""
+        seen, start = [], pos
         while True:
             m = STOP.search(page, pos)
             if m and m[0] == ">":
@@ -133,20 +132,19 @@ def tokens(page: str):
             if to < 0:
                 return
             at = to
-        if page.startswith("<!--", at):
-            to = page.find("-->", at + 4)
-            at = to + 3 if to >= 0 else end
-            continue
-        raw = RAW.match(page, at) if at < last else None
-        if raw:
-            done = ENDS[raw[1].lower()].search(page, raw.end())
-            at = done.end() if done else end
-            continue
         tag = TAG.match(page, at) if at < last else None
         if tag:
-            to = closing(at + len(tag[1]) + 2)
+            ends = None if tag[1] else ENDS.get(tag[2].lower())
+            if ends:
+                done = ends.search(page, page.find(">", at) + 1)
+                at = done.end() if done else end
+                continue
+            to = closing(tag.end())
             yield page[at : to + 1], tag
             at = to + 1
+        elif page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            at = to + 3 if to >= 0 else end
         elif at < last and page[at + 1] in "!?":
             at = page.find(">", at) + 1
         else:
