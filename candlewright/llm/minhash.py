@@ -338,8 +338,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not clusters.isEmpty():
         members = labelled(nodes.selectExpr("id src", "id dst"), label).selectExpr("src id", "a label")
         members = c.materialise(members.hint("merge").join(clusters.selectExpr("node label", "component cluster").hint("merge"), "label"), "minhash-members")
-        counts = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.sum("n").alias("size"))
-        counts = c.materialise(counts.where("size > 2"), "minhash-clusters")  # a table, so that a join with a very large cluster can be split
+        counts = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("largest"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside"))
+        counts = c.materialise(counts.where("size > 2 AND outside > 0"), "minhash-clusters")  # a table, so that a join with a very large cluster can be split
         rows = members.hint("merge").join(counts.hint("merge"), "cluster").hint("merge").join(signs.hint("merge"), "id").hint("merge").join(texts.hint("merge"), "id")
         links = c.materialise(links.unionByName(_rest(rows, plan, lows, sets_of, linked)), "minhash-links")
 
@@ -352,16 +352,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _rest(rows: DataFrame, plan: Plan, lows, sets_of, linked) -> DataFrame:
-    """Links (src, dst) among documents of clusters (rows: cluster, size, label, largest, id, low, text).
+    """Links (src, dst) among documents of clusters (rows: cluster, size, outside, label, largest, id, low, text).
 
     Each document outside its cluster's largest component meets every other document of the cluster: all are dealt to
-    bins, those outside to bins of askers too, and each pair of bins is compared in one place, a *spot*.
+    bins, those outside to chunks of askers too, and each bin and chunk is compared in one place, a *spot*.  A text is
+    copied once for each chunk of askers, so a few documents outside a large component cost a copy of it.
     """
-    rows = rows.withColumn("bins", F.least(F.ceil(F.col("size") / BIN), F.lit(BINS)).cast("int"))
-    deal = lambda seed: F.expr(f"cast(pmod(xxhash64(id, {seed}), bins) as int)")
-    every = F.explode(F.expr("sequence(0, bins - 1)"))
-    own = rows.select("cluster", deal(0).alias("bin"), every.alias("chunk"), F.lit(False).alias("asks"), "id", "label", "low", "text")
-    asks = rows.where("label <> largest").select("cluster", every.alias("bin"), deal(1).alias("chunk"), F.lit(True).alias("asks"), "id", "label", "low", "text")
+    parts = lambda n: F.least(F.ceil(F.col(n) / BIN), F.lit(BINS)).cast("int")
+    rows = rows.withColumn("bins", parts("size")).withColumn("chunks", parts("outside"))
+    deal = lambda seed, n: F.expr(f"cast(pmod(xxhash64(id, {seed}), {n}) as int)")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    own = rows.select("cluster", deal(0, "bins").alias("bin"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), "id", "label", "low", "text")
+    asks = rows.where("label <> largest").select("cluster", every("bins").alias("bin"), deal(1, "chunks").alias("chunk"), F.lit(True).alias("asks"), "id", "label", "low", "text")
     spot = own.unionByName(asks).repartition("cluster", "bin", "chunk").sortWithinPartitions("cluster", "bin", "chunk")
 
     def examined(held):
