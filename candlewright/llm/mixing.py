@@ -147,7 +147,8 @@ def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = 20_000, sample_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_totals: dict[str, float] | None = None) -> DataFrame:
-    """(row: struct<id, carried: struct of the carried columns>, n_tokens long, p_<domain>, rate double), one per input row.
+    """(row: struct<id, carried: struct of the carried columns>, n_tokens long, p_<domain>, rate, residual double), one per
+    input row; residual: the largest share of tokens by which the rates miss a target, so that a missed one shows.
 
     targets: shares of the token total by domain; keep_totals: instead, factors by a document's likeliest domain, and
     the targets are the domains' expected totals of documents so weighted (rates that meet them exist therefore: the
@@ -212,4 +213,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             rate = rates_of(p, steps)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(n > 0, rate, 1.0))], [*batch.schema.names, "rate"])
 
-    return known.mapInArrow(rated, f"row {kind}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
+    return known.mapInArrow(rated, f"row {kind}, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double").withColumn("residual", F.lit(float(best)))

@@ -111,7 +111,7 @@ def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select(F.col("row.id").alias("doc_id"), "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate")
+    return found.select(F.col("row.id").alias("doc_id"), "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "residual")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
