@@ -290,7 +290,7 @@ class Counter:
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         n = len(points)
         if not n:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int32)
         kind = self.classes(points)
         edge = np.cumsum([0, *map(len, texts)])
         first = np.zeros(n + 4, bool)
@@ -330,7 +330,7 @@ class Counter:
         out[inside] = total[word] + self.counts[self.at[slot[word]] + inside - begin[word]]
         self.begins, self.solid = begin, solid
         base = np.concatenate([total, total[-1:]])[np.concatenate([np.cumsum(start) - start, [len(begin)]])[edge[:-1]]]
-        return out - np.repeat(base, np.diff(edge))
+        return (out - np.repeat(base, np.diff(edge))).astype(np.int32)
 
     def slots(self, hashes: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """Where the words' counts are kept; counts of new words are made."""
@@ -442,7 +442,7 @@ class Counter:
         parts = [lower(unicodedata.normalize("NFC", text[a:b])) for a, b in zip(edge, edge[1:])]
         whole = "".join(parts)
         ends = np.cumsum([len(x) for x in parts])
-        counts = np.empty(len(text), np.int64)
+        counts = np.empty(len(text), np.int32)
         out = self.block([whole])
         begin, solid = self.begins, self.solid
         counts[np.array(edge[1:]) - 1] = out[ends - 1]
@@ -509,7 +509,7 @@ class Counter:
                 parts.append(x + base if base else x)
                 if k + 1 < len(own):
                     base += (int(x[n - 1]) if n else 0) + 1
-                    parts.append(np.array([base]))
+                    parts.append(np.array([base], np.int32))
             out.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
         return out
 
@@ -523,15 +523,15 @@ def lower(text: str) -> str:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    steps = np.diff(counts, prepend=0)
-    small = not len(steps) or np.abs(steps).max() < 128
+    steps = np.diff(counts, prepend=np.int32(0))
+    small = not len(steps) or (steps.min() >= -128 and steps.max() < 128)
     return (b"1" if small else b"4") + zstandard.ZstdCompressor(level=1).compress(steps.astype(np.int8 if small else np.int32).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """Counts after each code point."""
     raw = zstandard.ZstdDecompressor().decompress(data[1:])
-    return np.cumsum(np.frombuffer(raw, np.int8 if data[:1] == b"1" else np.int32), dtype=np.int64)
+    return np.cumsum(np.frombuffer(raw, np.int8 if data[:1] == b"1" else np.int32), dtype=np.int32)
 
 
 def vocabulary_of(spec: str) -> Vocabulary:
