@@ -39,17 +39,29 @@ def unescaped(column: str) -> str:
     return column
 
 
-def log_of(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = 512) -> DataFrame:
-    """The event log that streams each row as a message: a start, and deltas of `chunk` code points."""
+def log_of(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = 512, revisions: bool = False) -> DataFrame:
+    """The event log that streams each row as a message: a start, and deltas of `chunk` code points.
+
+    revisions: a third of the messages are regenerated after a first draft, and a third are edited as a whole after their
+    first delta, so that their last event holds the text.
+    """
     col = lambda x: f"`{x}`"
     df = rows.selectExpr(f"{col(conversation)} conversation", "monotonically_increasing_id() message", f"{col(turn)} turn", f"coalesce({col(role)}, '') role", f"coalesce({col(text)}, '') text")
-    deltas = f"transform(sequence(0, cast((length(text) - 1) div {chunk} as int)), i -> named_struct('seq', i + 1L, 'kind', 'delta', 'text', substring(text, i * {chunk} + 1, {chunk})))"
-    events = f"concat(array(named_struct('seq', 0L, 'kind', 'start', 'text', role)), CASE WHEN length(text) > 0 THEN {deltas} ELSE array() END)"
+    event = lambda seq, kind, value: f"named_struct('seq', {seq}, 'kind', '{kind}', 'text', {value})"
+    deltas = lambda first: f"transform(sequence(0, cast((length(text) - 1) div {chunk} as int)), i -> {event(f'i + {first}L', 'delta', f'substring(text, i * {chunk} + 1, {chunk})')})"
+    begun, later = f"substring(text, 1, {chunk})", deltas(1)
+    if revisions:
+        way = "pmod(xxhash64(conversation, turn, role), 3)"
+        again = f"concat(array({event('1L', 'delta', f'reverse({begun})')}, {event('2L', 'regenerate', 'cast(null as string)')}), {deltas(3)})"
+        edited = f"array({event('1L', 'delta', begun)}, {event('2L', 'edit', 'text')})"
+        later = f"CASE {way} WHEN 0 THEN {later} WHEN 1 THEN {again} ELSE {edited} END"
+    events = f"concat(array({event('0L', 'start', 'role')}), CASE WHEN length(text) > 0 THEN {later} ELSE array() END)"
     return df.select("conversation", "message", "turn", F.explode(F.expr(events)).alias("e")).selectExpr("conversation", "message", "turn", "e.seq", "e.kind", "CASE WHEN e.kind = 'start' THEN e.text END role", "CASE WHEN e.kind <> 'start' THEN e.text END text")
 
 
 def fold(log: DataFrame) -> DataFrame:
-    """(conversation, turn, role, text): final messages.  Text before a message's last edit or regeneration is left out first."""
+    """(conversation, turn, role, text): final messages.  A message's events are gathered; those before its last edit or
+    regeneration are passed over when its text is put together."""
     events = F.sort_array(F.collect_list(F.struct("seq", "kind", "text"))).alias("events")
     folded = log.groupBy("conversation", "message").agg(
         F.min("turn").alias("turn"), F.max("role").alias("role"), F.max(F.expr("kind = 'drop'")).alias("dropped"),

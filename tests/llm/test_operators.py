@@ -592,6 +592,103 @@ def test_pitman_yor_probabilities_sum_to_one(spark):
         assert p[""] + x.sum() == pytest.approx(1, abs=1e-6) and (x > 0).all() and x[0] > x[2]
 
 
+def plain_pitman_yor(train, sweeps=80, burn=30, seed=5):
+    """Customers seated one by one at tables of context restaurants and of their parent: {(context, word): prediction}."""
+    rng = np.random.default_rng(seed)
+    tokens = [(u, w) for text in train for u, w in zip([None, *text], [*text, "</s>"])]
+    count = collections.Counter(tokens)
+    words = sorted({w for _, w in tokens})
+    share = lambda values: float(np.clip(sum(v == 1 for v in values) / max(sum(v == 1 for v in values) + 2 * sum(v == 2 for v in values), 1), 0.1, 0.95))
+    d, e = share(count.values()), share(collections.Counter(w for _, w in count).values())
+    low, high = {}, {}  # tables' customers of dishes: {(context, word): [n, ...]}, {word: [n, ...]}
+    customers, tables, up, up_tables, v = collections.Counter(), collections.Counter(), 0, 0, len(words)
+
+    def parent(w):
+        own = high.get(w, [])
+        return (sum(own) - e * len(own) + (1 + e * up_tables) / (v + 1)) / (1 + up)
+
+    def take(own, at):
+        own[at] -= 1
+        if not own[at]:
+            del own[at]
+            return True
+        return False
+
+    def add_parent(w):
+        nonlocal up, up_tables
+        own = high.setdefault(w, [])
+        weight = [n - e for n in own] + [(1 + e * up_tables) / (v + 1)]
+        at = rng.choice(len(weight), p=np.array(weight) / sum(weight))
+        if at == len(own):
+            own.append(0)
+            up_tables += 1
+        own[at] += 1
+        up += 1
+
+    def drop_parent(w):
+        nonlocal up, up_tables
+        own = high[w]
+        up -= 1
+        up_tables -= take(own, rng.choice(len(own), p=np.array(own) / sum(own)))
+
+    def add(u, w):
+        own = low.setdefault((u, w), [])
+        weight = [n - d for n in own] + [(1 + d * tables[u]) * parent(w)]
+        at = rng.choice(len(weight), p=np.array(weight) / sum(weight))
+        if at == len(own):
+            own.append(0)
+            tables[u] += 1
+            add_parent(w)
+        own[at] += 1
+        customers[u] += 1
+
+    def drop(u, w):
+        own = low[u, w]
+        customers[u] -= 1
+        if take(own, rng.choice(len(own), p=np.array(own) / sum(own))):
+            tables[u] -= 1
+            drop_parent(w)
+
+    for u, w in tokens:
+        add(u, w)
+    found = collections.defaultdict(float)
+    for k in range(sweeps):
+        for u, w in tokens:
+            drop(u, w)
+            add(u, w)
+        if k >= burn:
+            for u in [None, *words, "?"]:
+                for w in [*words, "?"]:
+                    own = low.get((u, w), [])
+                    found[u, w] += (sum(own) - d * len(own) + (1 + d * tables[u]) * parent(w)) / (1 + customers[u]) / (sweeps - burn)
+    return found, set(words)
+
+
+def test_pitman_yor_equals_a_plain_sampler(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(25)]
+    share = 1 / np.arange(1, 26)
+    follow = {u: rng.permutation(share) * rng.random(25) + share / 8 for u in (None, *vocabulary)}
+
+    def text():
+        out, u = [], None
+        for _ in range(rng.integers(3, 15)):
+            u = vocabulary[rng.choice(25, p=follow[u] / follow[u].sum())]
+            out.append(u)
+        return out
+
+    ids = np.arange(400)
+    texts = {int(i): text() + (["new"] if i % 50 == 0 else []) for i in ids}
+    test = [int(i) for i in ids[pitman_yor.held_out(ids)]]
+    found, words = plain_pitman_yor([texts[int(i)] for i in ids[~pitman_yor.held_out(ids)]])
+    got = {r.id: r for r in pitman_yor.score(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")).collect()}
+    name = lambda w: w if w in words else "?"
+    want = {i: sum(np.log10(found[u if u is None else name(u), name(w)]) for u, w in zip([None, *texts[i]], [*texts[i], "</s>"])) for i in test}
+    n = sum(got[i].n_tokens for i in test)
+    assert abs(sum(got[i].score - want[i] for i in test)) / n < 0.01
+    assert sum(abs(got[i].score - want[i]) for i in test) / n < 0.02
+
+
 def test_pitman_yor_hot_dishes_are_only_kept_elsewhere(spark, monkeypatch):
     rows = [(i, "of the " * (i % 5 + 1) + f"w{i % 30} end") for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

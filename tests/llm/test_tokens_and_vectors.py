@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from candlewright.llm import delta_lloyd, token_counts, vector_codes
 from candlewright.llm import queries as registered
 
+from oracle import compare
+
 SF = "/root/testdata/sf0.01"
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -192,3 +194,8 @@ def test_empty_and_few_vectors(spark):
     huge = spark.createDataFrame([(1, [3e38] * 64, 0), (2, [-3e38] * 64, 0), (3, [0.0] * 64, 0)], df.schema)
     assert {r.distance for r in delta_lloyd.cluster(huge).collect()} == {0}
     assert {r.error for r in vector_codes.compress(huge).collect()} == {0}
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_minhash_dedup", "op5_warc", "op12_delta_lloyd", "op13_vector_codes"])
+def test_query_matches_its_sql(spark, name):
+    compare(spark, SF, registered.queries()[name], registered.oracle_sql()[name])
