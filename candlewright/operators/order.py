@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 
 RANGES = 64
+SMALL_BYTES = 64 << 20  # of cuts or places that are broadcast
 
 
 def cuts(rows: DataFrame, group: list[str], value: str, ranges: int = RANGES) -> DataFrame:
@@ -29,7 +30,12 @@ def range_of(value: Column, cuts: Column) -> Column:
 
 
 def _with_cuts(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    return _join(rows, cuts(rows, group, value), group)
+    return _join(rows, _if_small(materialise(cuts(rows, group, value), "cuts")), group)
+
+
+def _if_small(stored: DataFrame) -> DataFrame:
+    """A stored table with a row or so for each group, broadcast if it is small: rows of a hot group then stay where they are."""
+    return F.broadcast(stored) if stored.count() * RANGES * 16 <= SMALL_BYTES else stored
 
 
 def at_places(rows: DataFrame, group: list[str], value: str, places, most: int = 1_000_000) -> DataFrame:
@@ -49,7 +55,8 @@ def at_places(rows: DataFrame, group: list[str], value: str, places, most: int =
         before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         hit = _join(asked, counts.withColumn("_before", before), keys).where("_left >= _before AND _left < _before + _k")
         hit = materialise(hit.select(*keys, "n", "place", (F.col("_left") - F.col("_before")).alias("_left"), "_r"), "places")
-        inside = _join(parts, hit.select(*keys, "_r").distinct(), [*keys, "_r"], "left_semi")
+        wanted = materialise(hit.select(*keys, "_r").distinct(), "wanted")
+        inside = _join(parts, _if_small(wanted), [*keys, "_r"], "left_semi")
         by_value = materialise(inside.groupBy(*keys, "_r", "_v").agg(F.sum("_k").alias("_k")), "range-values")
         if (by_value.groupBy(*keys, "_r").count().agg(F.max("count")).first()[0] or 0) <= most:
             break

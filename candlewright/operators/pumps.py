@@ -35,45 +35,62 @@ class Scan:
         return self.window + self.pre
 
 
-def ratios(bars: DataFrame, scan: Scan) -> DataFrame:
-    """Adds idx, start (first least bar of the window), low_price, peak_price and ratio; unknown prices give 0.
+def ratios_by_source(bars: DataFrame, scan: Scan, sources: tuple[str, ...]) -> DataFrame:
+    """A row for each bar and price source (close, or high_low: from lows to highs): idx, start (first least bar of the
+    window), low_price, peak_price and ratio; unknown prices give 0.
 
-    The least bar brings its own past along (the highest price over the `pre` bars before it), so nothing is collected.
+    All sources share one shuffle and one sort by pair.  The least bar brings its own past along (the highest price over the
+    `pre` bars before it), so nothing is collected.
     """
-    low, peak = ("close", "close") if scan.source == "close" else ("low", "high")
-    price = "close" if scan.source == "close" else "high"
     df = bars.withColumn("idx", F.row_number().over(by_pair()) - 1)
-    df = df.withColumn("before", F.max(price).over(by_pair().rowsBetween(-scan.pre, -1)))
     frame = by_pair().rowsBetween(-(scan.window - 1), 0)
-    bad = F.max(F.when(F.isnan(low) | F.col(low).isNull(), 1).otherwise(0)).over(frame)
-    least = F.struct(F.col(low).alias("p"), F.col("idx").alias("i"), F.col("ts").alias("t"), F.col("before").alias("b"))
-    df = df.withColumn("bad", bad).withColumn("m", F.min(least).over(frame))
-    ratio = F.col(peak) / F.col("m.p")
-    good = (F.col("bad") == 0) & (F.col("m.p") > 0) & F.col(peak).isNotNull() & ~F.isnan(peak)
-    return df.select(
-        *PAIR, "ts", "idx", F.col("m.i").alias("start"), F.col("m.t").alias("start_ts"), F.col("m.p").alias("low_price"), F.col(peak).alias("peak_price"),
-        F.col("m.b").alias("pre_max"), F.when(good, ratio).otherwise(0.0).alias("ratio"),
-    )
+    names = {x: ("close", "close", "close") if x == "close" else ("low", "high", "high") for x in sources}
+    df = df.withColumns({f"before_{x}": F.max(price).over(by_pair().rowsBetween(-scan.pre, -1)) for x, (_, _, price) in names.items()})
+    df = df.withColumns({f"bad_{x}": F.max(F.when(F.isnan(low) | F.col(low).isNull(), 1).otherwise(0)).over(frame) for x, (low, _, _) in names.items()})
+    least = lambda x, low: F.struct(F.col(low).alias("p"), F.col("idx").alias("i"), F.col("ts").alias("t"), F.col(f"before_{x}").alias("b"))
+    df = df.withColumns({f"m_{x}": F.min(least(x, low)).over(frame) for x, (low, _, _) in names.items()})
 
+    def found(x: str, peak: str) -> Column:
+        m = F.col(f"m_{x}")
+        good = (F.col(f"bad_{x}") == 0) & (m.p > 0) & F.col(peak).isNotNull() & ~F.isnan(peak)
+        ratio = F.when(good, F.col(peak) / m.p).otherwise(0.0)
+        return F.struct(F.lit(x).alias("source"), m.i.alias("start"), m.t.alias("start_ts"), m.p.alias("low_price"), F.col(peak).alias("peak_price"), m.b.alias("pre_max"), ratio.alias("ratio"))
 
-def detect_at(bars: DataFrame, scan: Scan, thresholds: list[float]) -> DataFrame:
-    """Pumps at each of several thresholds (column threshold: the ratio), from one pass over the bars.
+    return df.select(*PAIR, "ts", "idx", F.inline(F.array(*(found(x, peak) for x, (_, peak, _) in names.items()))))
 
-    A bar over several thresholds is repeated for those only, so the lowest one bounds what goes on.
-    """
-    over = F.explode(F.filter(F.array(*map(F.lit, sorted(float(t) for t in thresholds))), lambda t: F.col("ratio") > t)).alias("threshold")
-    hits = ratios(bars, scan).select("*", over)
-    w = W.partitionBy("threshold", *PAIR).orderBy("idx")
+
+def ratios(bars: DataFrame, scan: Scan) -> DataFrame:
+    """ratios_by_source of the scan's own source."""
+    return ratios_by_source(bars, scan, (scan.source,)).drop("source")
+
+
+def _islands(hits: DataFrame, by: list[str], scan: Scan) -> DataFrame:
+    """One row for each run of hits of a pair (and `by`): the first greatest ratio."""
+    w = W.partitionBy(*by, *PAIR).orderBy("idx")
     hits = hits.withColumn("new", F.when(F.col("idx") - F.lag("idx").over(w) <= scan.merge_gap, 0).otherwise(1))
     hits = hits.withColumn("island", F.sum("new").over(w))
     best = F.max_by(F.struct("ts", "start_ts", "low_price", "peak_price", "pre_max", "ratio"), F.struct("ratio", -F.col("idx")))
-    out = hits.groupBy("threshold", *PAIR, "island").agg(best.alias("e")).select("threshold", *PAIR, "e.*")
+    out = hits.groupBy(*by, *PAIR, "island").agg(best.alias("e")).select(*by, *PAIR, "e.*")
     return out.select(
-        "threshold", *PAIR, S.base_of(F.col("ticker")).alias("base"), F.col("ts").alias("peak_ts"), "start_ts", F.col("low_price").alias("min_price"), "peak_price", "pre_max",
+        *by, *PAIR, S.base_of(F.col("ticker")).alias("base"), F.col("ts").alias("peak_ts"), "start_ts", F.col("low_price").alias("min_price"), "peak_price", "pre_max",
         F.round((F.col("ratio") - 1) * 100, 6).alias("pump_pct"), ((F.col("ts") - F.col("start_ts")) / 86400.0).alias("span_days"),
     )
 
 
+def detect_at(bars: DataFrame, scan: Scan, thresholds: list[float]) -> DataFrame:
+    """Pumps at each of several thresholds (column threshold: the ratio), from one pass over the bars.
+
+    A bar over several thresholds is repeated for those only, so the lowest one bounds what goes on.
+    """
+    over = F.explode(F.filter(F.array(*map(F.lit, sorted(float(t) for t in thresholds))), lambda t: F.col("ratio") > t)).alias("threshold")
+    return _islands(ratios(bars, scan).select("*", over), ["threshold"], scan)
+
+
+def detect_sources(bars: DataFrame, scan: Scan, sources: tuple[str, ...] = ("close", "high_low")) -> DataFrame:
+    """Pumps of each price source (column source), from one pass over the bars."""
+    return _islands(ratios_by_source(bars, scan, sources).where(F.col("ratio") > scan.ratio), ["source"], scan)
+
+
 def detect(bars: DataFrame, scan: Scan) -> DataFrame:
     """One row for each pump: islands of bars over the threshold, represented by the first greatest ratio."""
     return detect_at(bars, scan, [scan.ratio]).drop("threshold")

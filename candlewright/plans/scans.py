@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lanes, pumps, statistics
+from ..storage import materialise
 from . import catalog as C
-from .catalog import BARS, BASE, DAY, NOW, PUMPS, SCAN, SUMMARY, WICK, bars, events
+from .catalog import BARS, BASE, DAY, NOW, PUMPS, SCAN, SUMMARY, bars, events
 from .registry import query
 
 LEVELS = (4.0, 8.0, 12.0, 20.0)
@@ -83,18 +84,26 @@ def pump_size_hist(spark, sf_dir):
 KEYS = "SELECT DISTINCT base, peak_ts // 86400 AS day FROM "
 
 
+def sides(spark, sf_dir):
+    """Pumps by closes and by lows and highs: one scan of the bars, whose few pumps are kept."""
+    both = materialise(pumps.detect_sources(bars(spark, sf_dir), SCAN), "pumps-by-source")
+    return tuple(both.where(F.col("source") == x).drop("source") for x in ("close", "high_low"))
+
+
 def _keys(df):
     return df.select("base", F.floor(F.col("peak_ts") / 86400).alias("day"))
 
 
 @query(f"{KEYS}{PUMPS()} INTERSECT {KEYS}{PUMPS('low', 'high')}")
 def source_intersect(spark, sf_dir):
-    return _keys(events(spark, sf_dir)).intersect(_keys(events(spark, sf_dir, WICK)))
+    main, other = sides(spark, sf_dir)
+    return _keys(main).intersect(_keys(other))
 
 
 @query(f"{KEYS}{PUMPS('low', 'high')} EXCEPT {KEYS}{PUMPS()}")
 def source_except(spark, sf_dir):
-    return _keys(events(spark, sf_dir, WICK)).subtract(_keys(events(spark, sf_dir)))
+    main, other = sides(spark, sf_dir)
+    return _keys(other).subtract(_keys(main))
 
 
 SIDES = f"(SELECT 'main' AS source, * FROM {PUMPS()} UNION ALL SELECT 'other', * FROM {PUMPS('low', 'high')})"
@@ -102,23 +111,24 @@ SIDES = f"(SELECT 'main' AS source, * FROM {PUMPS()} UNION ALL SELECT 'other', *
 
 @query(f"SELECT source, count(*) AS n, count(DISTINCT base) AS coins, median(pct) AS median_pct, CAST(sum(k) AS BIGINT) AS events FROM (SELECT source, base, peak_ts // 86400 AS day, max(pump_pct) AS pct, count(*) AS k FROM {SIDES} GROUP BY 1, 2, 3) GROUP BY 1")
 def source_comparison(spark, sf_dir):
-    return statistics.sources(events(spark, sf_dir), events(spark, sf_dir, WICK))
+    return statistics.sources(*sides(spark, sf_dir))
 
 
 @query(f"WITH m AS ({KEYS}{PUMPS()}), o AS ({KEYS}{PUMPS('low', 'high')}), c AS (SELECT * FROM m INTERSECT SELECT * FROM o), a AS (SELECT * FROM m EXCEPT SELECT * FROM o), b AS (SELECT * FROM o EXCEPT SELECT * FROM m) SELECT (SELECT count(*) FROM c) AS common, (SELECT count(DISTINCT base) FROM c) AS common_coins, (SELECT count(*) FROM a) AS only_main, (SELECT count(DISTINCT base) FROM a WHERE base NOT IN (SELECT base FROM c)) AS only_main_coins, (SELECT count(*) FROM b) AS only_other, (SELECT count(DISTINCT base) FROM b WHERE base NOT IN (SELECT base FROM c)) AS only_other_coins")
 def source_overlap(spark, sf_dir):
-    return statistics.source_overlap(events(spark, sf_dir), events(spark, sf_dir, WICK))
+    return statistics.source_overlap(*sides(spark, sf_dir))
 
 
 @query(f"WITH c AS ({KEYS}{PUMPS()}), w AS ({KEYS}{PUMPS('low', 'high')}) SELECT w.base, w.day, count(*) AS near FROM w JOIN c ON w.base = c.base AND abs(w.day - c.day) <= 3 GROUP BY 1, 2")
 def wick_nearby(spark, sf_dir):
-    w, c = _keys(events(spark, sf_dir, WICK)).distinct(), _keys(events(spark, sf_dir)).distinct().withColumnRenamed("day", "other")
+    main, other = sides(spark, sf_dir)
+    w, c = _keys(other).distinct(), _keys(main).distinct().withColumnRenamed("day", "other")
     return w.join(c, "base").where(F.abs(F.col("day") - F.col("other")) <= 3).groupBy("base", "day").agg(F.count(F.lit(1)).alias("near"))
 
 
 @query(f"WITH m AS (SELECT base, peak_ts // 86400 AS day, max(pump_pct) AS pct FROM {PUMPS()} GROUP BY 1, 2), w AS (SELECT base, peak_ts // 86400 AS day, max(pump_pct) AS pump_pct, max(exchange) FILTER (WHERE pump_pct = top) AS exchange FROM (SELECT *, max(pump_pct) OVER (PARTITION BY base, peak_ts // 86400) AS top FROM {PUMPS('low', 'high')}) GROUP BY 1, 2), x AS (SELECT w.* FROM w LEFT JOIN m ON w.base = m.base AND w.day = m.day WHERE m.day IS NULL ORDER BY pump_pct DESC, base, day LIMIT 25) SELECT x.base, x.day, x.exchange, x.pump_pct, max(m.pct) AS close_pct FROM x LEFT JOIN m ON x.base = m.base AND abs(m.day - x.day) <= 3 GROUP BY 1, 2, 3, 4".replace("w.base, w.day", "w.base, w.day"))
 def top_wicks(spark, sf_dir):
-    return statistics.top_wicks(events(spark, sf_dir), events(spark, sf_dir, WICK))
+    return statistics.top_wicks(*sides(spark, sf_dir))
 
 
 SHARED = f"(SELECT *, count(*) OVER (PARTITION BY base, day) AS width, max(own) OVER (PARTITION BY base, day) AS pct FROM (SELECT base, peak_ts // 86400 AS day, exchange, max(pump_pct) AS own FROM {PUMPS()} GROUP BY 1, 2, 3))"
