@@ -68,15 +68,19 @@ def combined(stream: DataFrame, late: str, columns: list, combine, kind: str) ->
     """Trades of an event stream combined by task before they are dealt, with a watermark.
 
     combine takes a pandas frame of `columns` to one with fewer rows, of schema `kind`, whose column t (microseconds) is
-    the row's event time.  The row that closes a replay passes by it, moves the watermark and goes.
+    the row's event time.  The row that closes a replay passes by it, moves the watermark and goes.  Trades without a time
+    are left out, as are those without a price where prices are asked for.
     """
     names = [x.split()[0] for x in kind.split(", ")]
     ahead = F.unix_micros(F.lit(CLOSING).cast("timestamp"))
-    rows = trades(stream.withColumn("ts", F.col("event_time"))).select(*columns, (F.col("t") >= ahead).alias("_ahead"))
+    rows = trades(stream.withColumn("ts", F.col("event_time"))).withColumn("event_id", F.coalesce("event_id", F.lit(-1)))
+    rows = rows.select(*columns, (F.col("t") >= ahead).alias("_ahead")).where("t IS NOT NULL")
+    if "price" in rows.columns:
+        rows = rows.where("price IS NOT NULL OR _ahead")
 
     def task(frames):
         for frame in frames:
-            far = frame["_ahead"].fillna(False).astype(bool)
+            far = frame["_ahead"].astype(bool)
             if far.any():
                 yield frame[far].reindex(columns=names)
             if not far.all():
@@ -172,7 +176,7 @@ def live_bars(stream: DataFrame, step: int, late: str = "1 hour") -> DataFrame:
             pass
 
     bar = (F.floor(F.col("t") / F.lit(1_000_000 * step)) * step).cast("long").alias("bar")
-    cents = (F.col("amount").cast("decimal(18,2)") * 100).cast("long").alias("cents")
+    cents = F.coalesce((F.col("amount").cast("decimal(18,2)") * 100).cast("long"), F.lit(0)).alias("cents")
     rows = combined(stream, late, [*PAIR, bar, "t", "event_id", "price", cents], combine, kind)
     return _stateful(rows, PAIR, Bars(), "ticker string, exchange string, ts long, open double, high double, low double, close double, volume double", "update")
 

@@ -103,6 +103,18 @@ def test_windows_are_emitted_once_and_too_late_rows_are_left_out(spark, feed):
     assert sorted((r.ts, r.close) for r in live.run_to_end(stream).collect()) == [(at(0), 10.0), (at(300), 31.0), (at(900), 1.0)]
 
 
+def test_odd_trades(spark, tmp_path):
+    """Without a time or a price, without a number, of no pair."""
+    path = f"file://{tmp_path}/in"
+    rows = [(1, None, "view", 1, 5.0), (2, START, "view", 1, None), (None, START, "view", 1, 7.0), (4, START, None, None, 8.0), (5, START + datetime.timedelta(minutes=1), "view", 1, 9.0)]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(path)
+    stream = lambda: tables.stream_of(spark, path, EVENT)
+    found = live.run_to_end(live.live_bars(stream(), 900), "update", [*PAIR, "ts"], keyed=True)
+    assert sorted((r.ticker or "", r.open, r.close, r.volume) for r in found.collect()) == [("", 8.0, 8.0, 8.0), ("VIEW/USDT", 7.0, 9.0, 16.0)]
+    found = live.run_to_end(live.ticks(stream(), 900), "update", PAIR, keyed=True)
+    assert sorted((r.ticker or "", r.price) for r in found.collect()) == [("", 8.0), ("VIEW/USDT", 9.0)]
+
+
 def test_replay_delivers_late_rows_and_a_closing_row(spark):
     path = tables.deliver(spark.createDataFrame([(i, START + datetime.timedelta(minutes=i), "view", 1, 1.0) for i in range(100)], EVENT), 4, late_sec=3000)
     rows = spark.read.schema(EVENT).parquet(path)
