@@ -33,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import conf
 from . import _common as c
 
-VOLUME_BYTES = 512 << 20  # of a file, which is read as a whole
+FILE_BYTES = 64 << 20  # of a file, which is written and read as a whole
 REVISIT_BYTES = 100
 MEMBER_BYTES = 8 << 20  # of a record in one gzip member
 VERSION_1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -207,12 +206,8 @@ def to_arc(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", htm
     return slim.mapInArrow(task, "keys array<bigint>, arc binary")
 
 
-def convert(arcs: DataFrame, most: int = VOLUME_BYTES) -> DataFrame:
-    """(key, record: gzip member, volume) of the records of ARC archives (keys, arc).
-
-    A volume is a file of its task, of up to `most` bytes (a larger record is one by itself), and begins with a warcinfo
-    record.
-    """
+def convert(arcs: DataFrame) -> DataFrame:
+    """(key, record: gzip members) of the records of ARC archives (keys, arc)."""
     c.prepare(arcs.sparkSession)
     fields = "key long, url string, ip string, date string, kind string"
 
@@ -239,32 +234,43 @@ def convert(arcs: DataFrame, most: int = VOLUME_BYTES) -> DataFrame:
     every = whole.unionByName(again.select(*some, none.cast("binary").alias("payload"), named.alias("first")))
 
     def synthesise(batches):
-        volume, size = -1, most
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                keys, made, volumes = [], [], []
-                for r in batch.slice(at, 500).to_pylist():
-                    record = member(warc_record(*(r[x] for x in some), r["payload"], tuple(r["first"].values()) if r["first"] else None))
-                    if size and size + len(record) > most:  # a file of its own, which begins with what it is
-                        volume, info = volume + 1, member(info_record(volume + 1))
-                        size = len(info)
-                        keys.append(None)
-                        made.append(info)
-                        volumes.append(volume)
-                    size += len(record)
-                    keys.append(r["key"])
-                    made.append(record)
-                    volumes.append(volume)
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(made, pa.binary()), pa.array(volumes, pa.int32())], ["key", "record", "volume"])
-
-    return every.mapInArrow(synthesise, "key long, record binary, volume int")
-
-
-def write_archives(records: DataFrame, path: str, most: int = 100_000) -> None:
-    """WARC files, one for each volume of a task, of up to `most` records; a record's last byte is the writer's line separator."""
-    body = F.expr("substring(record, 1, length(record) - 1)").cast("string")
-    with conf(records.sparkSession, spark_sql_maxConcurrentOutputFileWriters="64"):  # records come by volume and need no sort
-        records.select(body.alias("value"), "volume").write.option("lineSep", "\0").option("maxRecordsPerFile", most).partitionBy("volume").text(path)
+                rows = batch.slice(at, 500).to_pylist()
+                made = [member(warc_record(*(r[x] for x in some), r["payload"], tuple(r["first"].values()) if r["first"] else None)) for r in rows]
+                yield pa.record_batch([pa.array([r["key"] for r in rows], pa.int64()), pa.array(made, pa.binary())], ["key", "record"])
+
+    return every.mapInArrow(synthesise, "key long, record binary")
+
+
+def write_archives(records: DataFrame, path: str, most: int = 100_000, most_bytes: int = FILE_BYTES) -> None:
+    """WARC files of up to `most` records and `most_bytes` (a larger record is one by itself), each with a warcinfo record
+    before them.
+
+    Tasks join records to whole files, and the writer puts each in a file of its own; a file's last byte is the writer's
+    line separator.
+    """
+
+    def files(batches):
+        held, size, number = [], 0, 0
+
+        def whole():
+            data = b"".join([member(info_record(number)), *held])
+            return pa.record_batch([pa.array([data[:-1]], pa.binary())], ["value"])
+
+        for batch in batches:
+            for record in batch.column("record"):
+                record = record.as_py()
+                if held and (len(held) >= most or size + len(record) > most_bytes):
+                    yield whole()
+                    held, size, number = [], 0, number + 1
+                held.append(record)
+                size += len(record)
+        if held:
+            yield whole()
+
+    whole = records.select("record").mapInArrow(files, "value binary")
+    whole.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
