@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, id
     rows = c.materialise(rows.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
     within = rows.select("id", F.octet_length("text").alias("text_bytes"))
     within = within.withColumn("run", F.sum(F.coalesce("text_bytes", F.lit(0))).over(W.orderBy(F.xxhash64("id"), "id"))).where(F.col("run") <= sample_bytes)  # over `sample` numbers
-    rows = rows.join(F.broadcast(within.select("id")), "id").toArrow().sort_by("id")
+    rows = rows.join(F.broadcast(within.select("id")), "id").orderBy("id").toArrow()  # in order already: a sorted copy would take as much again
     parts, ys = [], []
     for at in range(0, rows.num_rows, 128):
         part = rows.slice(at, 128).combine_chunks()
@@ -133,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, id
         feature, owner, _, shape = features(text, offsets)
         parts.append((feature, owner, shape))
         ys.append(part.column("y").to_numpy())
+    del rows
     if not parts:
         return np.full(FEATURES, -1, np.int32), np.zeros((0, len(DOMAINS))), np.zeros((SHAPE, len(DOMAINS)))
     return fit(parts, np.concatenate(ys), len(DOMAINS))
