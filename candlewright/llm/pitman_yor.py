@@ -45,9 +45,14 @@ BURN = 1
 END = np.uint64(0xE4D0F7E87000A5C3)
 START = np.uint64(0)  # the context of a text's first token
 STEP = np.uint64(0x9E3779B97F4A7C15)
-PAIRS, TOKENS, HOT, HOT_COUNTS = range(4)
+PAIRS, TOKENS, HOT, HOT_COUNTS, ROWS = range(5)
 TOTALS, STATE = 10, 100  # kinds of rows of state s: TOTALS + s, STATE + s
 FLUSH_BYTES = c.FLUSH_BYTES // 2  # a token takes more memory than its text
+BLOCK_BYTES = 1 << 18  # tokenised at once
+PIECE = 1 << 18  # tokens in a stored cell
+WEIGHTS = 1 << 17  # weighed at once when dishes are seated
+#: A row group ends with the cell that fills it, so a scan holds one cell of a bucket and passes over other kinds of cells.
+CELLS = {"parquet.block.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -98,8 +103,8 @@ def seat(count: np.ndarray, base: np.ndarray, prediction: np.ndarray, discount:
     stirling = log_stirling(round(discount, 6))
     for same in np.split(order, cuts) if len(order) else ():
         n = int(first[same[0]])
-        for lo in range(0, len(same), max(1, (1 << 20) // n)):
-            at = same[lo : lo + max(1, (1 << 20) // n)]
+        for lo in range(0, len(same), max(1, WEIGHTS // n)):
+            at = same[lo : lo + max(1, WEIGHTS // n)]
             opening = np.log(base[at, None] + discount * np.arange(n)) + np.log(np.maximum(prediction[at, None], 1e-300))
             weight = stirling[n, 1 : n + 1] + np.cumsum(opening, axis=1)
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
@@ -329,6 +334,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
         def flush():
             word, before = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             known, at, total = np.unique(word, return_inverse=True, return_counts=True)
             out = c.Rows()
             for b, w, m in c.split_by(where.part(known), known, total):
@@ -344,14 +350,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 out.add(b, 1, c.pack(*x))
             yield from out.batches()
 
-        for ids, text, offsets in c.blocks(batches):
+        for ids, text, offsets in c.blocks(batches, BLOCK_BYTES):
             word, before, doc = tokens_of(text, offsets)
             train = ~held_out(ids)[doc]
             held.append((word[train], before[train]))
             size += len(text) + len(ids)
             if size >= FLUSH_BYTES:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
 
@@ -383,29 +389,36 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     shared = spark.sparkContext.broadcast(model)
 
     def tokens(batches):
-        held, rows, size = [], [], 0  # (word, word before, text), (row, identifier) of each text
+        held, rows, size = ([], [], []), [], 0  # words, words before, texts; (row, identifier) of each text
         m = shared.value
 
         def flush():
-            word, before, doc = (np.concatenate(x) for x in zip(*held))
+            columns = []
+            for parts in held:  # one after the other, so that only one is there twice
+                columns.append(np.concatenate(parts))
+                parts.clear()
+            word, before, doc = columns
             rid, ids = (np.concatenate(x) for x in zip(*rows))
-            held.clear()
             key = dish_key(word, before)
-            hot = m.hot_index(key)
+            hot = m.hot_index(key).astype(np.int32)
             out = c.Rows()
             warm = np.flatnonzero(hot >= 0)
             if len(warm):  # counted by text
                 pair, times = np.unique(doc[warm] * np.int64(len(m.hot)) + hot[warm], return_counts=True)
+                del warm
                 text = pair // len(m.hot)
                 for b, *x in c.split_by(where.part_of(rid[text]), rid[text], ids[text], pair % len(m.hot), times):
                     out.add(b, HOT, c.pack(*x))
                     yield from out.batches(4 << 20)
-            cold = hot < 0
-            word, before, doc, key = word[cold], before[cold], doc[cold], key[cold]
-            code, context = m.frequent(word), m.context(before)
-            for b, w, k, x, u, d in c.split_by(where.part(np.where(code >= 0, key, word)), word, code, context, before, doc):
+            code = m.frequent(word).astype(np.int32)
+            bucket = np.where(hot < 0, where.part(np.where(code >= 0, key, word)), np.int32(-1))
+            del key, hot
+            for b, w, k, u, d in c.split_by(bucket, word, code, before, doc):
+                if b < 0:  # hot
+                    continue
+                x = m.context(u)
                 used, own = np.unique(d, return_inverse=True)
-                out.add(b, TOKENS, c.pack(w[k < 0], k, x, u[x < 0], own, rid[used], ids[used]))
+                out.add(b, TOKENS, c.pack(w[k < 0], k.astype(np.int64), x, u[x < 0], own, rid[used], ids[used]))
                 yield from out.batches(4 << 20)
             yield from out.batches()
 
@@ -413,61 +426,78 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 rids, done = part.column("rid").to_numpy(), 0
-                for ids, text, offsets in c.blocks([part]):
+                for ids, text, offsets in c.blocks([part], BLOCK_BYTES):
                     word, before, doc = tokens_of(text, offsets)
-                    held.append((word, before, (doc + sum(len(r) for r, _ in rows)).astype(np.int32)))
+                    for parts, x in zip(held, (word, before, (doc + sum(len(r) for r, _ in rows)).astype(np.int32))):
+                        parts.append(x)
                     rows.append((rids[done : done + len(ids)], ids))
                     done += len(ids)
                     size += len(text) + 8 * len(ids)
                     if size >= FLUSH_BYTES:
                         yield from flush()
-                        held, rows, size = [], [], 0
-        if held:
+                        rows, size = [], 0
+        if rows:
             yield from flush()
 
     def dishes(batches):
         """A bucket's dishes, its tokens by dish, and what texts have of hot dishes."""
         held, warm, bucket = [], [], 0
         for bucket, kind, data in c.packed_rows(batches):
-            (held if kind == TOKENS else warm).append(c.unpack(data))
+            (held if kind == TOKENS else warm).append(data)
         m, out = shared.value, c.Rows()
         if warm:
-            rid, ids, hot, times = (np.concatenate(x) for x in zip(*warm))
+            rid, ids, hot, times = (np.concatenate(x) for x in zip(*map(c.unpack, warm)))
             warm.clear()
             own = np.bincount(hot, times * ~held_out(ids), minlength=len(m.hot)).astype(np.int64)
             out.add(bucket, HOT_COUNTS, c.pack(np.flatnonzero(own), own[own > 0]))
-            out.add(bucket, HOT, c.pack(rid, ids, hot, times))
+            for lo in range(0, len(rid), PIECE):
+                out.add(bucket, HOT, c.pack(*(x[lo : lo + PIECE] for x in (rid, ids, hot, times))))
+                yield from out.batches(1 << 20)
             yield from out.batches()
+            del rid, ids, hot, times
         if not held:
             return
-        rare = np.unique(np.concatenate([h[0] for h in held]))
-        keys = np.unique(np.concatenate([h[3] for h in held]))
+        # twice over the packed rows: unpacked, they are several times as large
+        found, n_tokens = [], 0
+        for data in held:
+            w, k, _, u, _, r, i = c.unpack(data)
+            found.append((np.unique(w), np.unique(u), r, i))
+            n_tokens += len(k)
+        rare, keys = (np.unique(np.concatenate([f[j] for f in found])) for j in (0, 1))
         contexts = m.contexts + len(keys)
-        rids, ids = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
-        rows, at = np.unique(rids, return_index=True)
-        ids = ids[at]
-        key, doc = [], []
-        for w, k, x, u, d, r, _ in held:
+        rows, at = np.unique(np.concatenate([f[2] for f in found]), return_index=True)
+        ids = np.concatenate([f[3] for f in found])[at]
+        del found
+        key, doc, at = np.empty(n_tokens, np.int64), np.empty(n_tokens, np.int32), 0
+        for data in held:
+            w, k, x, u, d, r, _ = c.unpack(data)
             word, context = k.copy(), x.copy()
             word[k < 0] = len(m.words) + np.searchsorted(rare, w)
             context[x < 0] = m.contexts + np.searchsorted(keys, u)
-            key.append(word * contexts + context)
-            doc.append(np.searchsorted(rows, r)[d].astype(np.int32))
+            key[at : at + len(k)] = word * contexts + context
+            doc[at : at + len(k)] = np.searchsorted(rows, r)[d]
+            at += len(k)
         held.clear()
-        key, doc = np.concatenate(key), np.concatenate(doc)
         train = ~held_out(ids)
         order = np.argsort(key)
         key, doc = key[order], doc[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
-        trained = np.add.reduceat(train[doc].astype(np.int64), first)
+        trained = np.add.reduceat(train[doc], first, dtype=np.int64)
         pair = key[first]
         out.add(bucket, PAIRS, c.pack(pair // contexts, pair % contexts, trained, np.array([len(rare)]), keys))
-        out.add(bucket, TOKENS, c.pack(size, doc, rows, ids))
+        out.add(bucket, ROWS, c.pack(rows, ids))
+        yield from out.batches()
+        piece = np.append(np.flatnonzero(np.diff(first // PIECE, prepend=-1)), len(first))
+        edge = np.append(first, len(key))
+        for lo, hi in zip(piece[:-1], piece[1:]):
+            out.add(bucket, TOKENS, c.pack(np.array([lo]), size[lo:hi], doc[edge[lo] : edge[hi]]))
+            yield from out.batches(1 << 20)
         yield from out.batches()
 
     with_row = slim.withColumn("rid", F.monotonically_increasing_id())
-    table = c.materialise(c.deal(with_row.mapInArrow(tokens, c.PACKED), where).mapInArrow(dishes, c.PACKED), "tokens")
+    table = c.materialise(c.deal(with_row.mapInArrow(tokens, c.PACKED), where).mapInArrow(dishes, c.PACKED), "tokens", **CELLS)
 
     def summed(batches):
         for _, _, data in c.packed_rows(batches):
@@ -558,7 +588,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             yield from out.batches()
 
         swept = (joined(of_kind(PAIRS), results[-1]) if s else of_kind(PAIRS)).mapInArrow(sweep, c.PACKED)
-        result = c.materialise(c.deal(swept, where).mapInArrow(owned, c.PACKED), "totals")
+        result = c.materialise(c.deal(swept, where).mapInArrow(owned, c.PACKED), "totals", **CELLS)
         sums = [c.unpack(r.data) for r in result.where("bucket < 0").collect()]  # by frequent context and word
         results.append(result.where("bucket >= 0"))
         kind, index, value = (np.concatenate(x) for x in zip(*sums)) if sums else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -588,7 +618,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     def predict(batches):
         m = final.value
         base_of = lambda k: np.log10((k + 0.5) / (m.n + 0.5 * (m.v + 1)))
-        data, places, sent, out = {}, {}, [], c.Rows()
+        data, texts, pieces, sent, out = {}, {}, {}, [], c.Rows()
         for bucket, kind, row in c.packed_rows(batches):
             if kind == HOT:
                 rid, ids, hot, times = c.unpack(row)
@@ -597,22 +627,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 known = m.counts[m.hot_word[hot]].astype(np.float64)
                 out.add(bucket, 0, c.pack(rows, ids[at], add(1).astype(np.int64), add(known > 0).astype(np.int64), add(base_of(known)), add(np.log10(m.hot_mean[hot]))))
                 yield from out.batches(4 << 20)
-            elif kind < HOT:
-                (places if kind == TOKENS else data)[bucket] = row
+            elif kind == TOKENS:
+                pieces.setdefault(bucket, []).append(row)
+            elif kind in (PAIRS, ROWS):
+                (data if kind == PAIRS else texts)[bucket] = row
             else:
                 sent.append((kind, row))
         for bucket, row in data.items():
-            where_ = places[bucket]
             pairs = pairs_of(bucket, row, m, sent)
             mean = np.zeros(len(pairs.word))
             for s in range(BURN + 1, last + 1):
                 mean += m.predicted_by(s, pairs.count, pairs.state[s][0], pairs.context_tables(s), pairs.context_customers(), pairs.parents(s))
             # a rarer word's tokens are all in this bucket, so its dishes sum to its count
             word_count = np.concatenate([m.counts.astype(np.float64), pairs.rare_customers(pairs.count)])[pairs.word] if len(pairs.word) else mean
-            size, doc, rows, ids = c.unpack(where_)
-            by = lambda x, doc=doc, size=size, rows=rows: np.bincount(doc, np.repeat(x, size), minlength=len(rows))
-            found = (np.bincount(doc, minlength=len(rows)), by((word_count > 0).astype(np.float64)).astype(np.int64), by(base_of(word_count)), by(np.log10(mean / samples)))
-            for b, *x in c.split_by(where.part_of(rows), rows, ids, *found):
+            rows, ids = c.unpack(texts[bucket])
+            of_dish = ((word_count > 0).astype(np.float64), base_of(word_count), np.log10(mean / samples))
+            n_tokens, sums = np.zeros(len(rows), np.int64), np.zeros((3, len(rows)))
+            for piece in pieces[bucket]:
+                first, size, doc = c.unpack(piece)
+                n_tokens += np.bincount(doc, minlength=len(rows))
+                for to, x in zip(sums, of_dish):
+                    to += np.bincount(doc, np.repeat(x[first[0] : first[0] + len(size)], size), minlength=len(rows))
+            for b, *x in c.split_by(where.part_of(rows), rows, ids, n_tokens, sums[0].astype(np.int64), sums[1], sums[2]):
                 out.add(b, 0, c.pack(*x))
                 yield from out.batches(4 << 20)
         yield from out.batches()
@@ -630,5 +666,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         )
 
     first = results[0].where(F.col("kind") == TOTALS)  # has the contexts' customers
-    whole = joined(of_kind(PAIRS), of_kind(TOKENS), of_kind(HOT), first, *results[BURN + 1 :])
+    whole = joined(table.where(F.col("kind") != HOT_COUNTS), first, *results[BURN + 1 :])
     return c.deal(whole.mapInArrow(predict, c.PACKED), where).mapInArrow(collect, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
